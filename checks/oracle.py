@@ -292,19 +292,19 @@ ORACLE: dict[str, str] = {
       SELECT top_dir, team, CAST(count(*) AS BIGINT) AS paths, min(path) AS first_path, max(path) AS last_path,
              {total('length')} AS old_size_bytes FROM old GROUP BY ALL""",
     "usage_two_level": f"""WITH {BASED}
-      SELECT top_level, second_level, {total('length')} AS total_size_bytes FROM levels GROUP BY 1, 2""",
+      SELECT top_level, coalesce(second_level, '-') AS second_level, {total('length')} AS total_size_bytes FROM levels GROUP BY 1, 2""",
     "usage_top_level": f"""WITH {BASED}
       SELECT top_level, {total('length')} AS total_size_bytes FROM levels GROUP BY 1""",
     "usage_levels": f"""WITH {BASED}
-      SELECT top_level, second_level, {total('length')} AS total_size_bytes, 2 AS level FROM levels GROUP BY 1, 2
-      UNION ALL SELECT top_level, NULL, {total('length')}, 1 FROM levels GROUP BY 1""",
+      SELECT top_level, coalesce(second_level, '-') AS second_level, {total('length')} AS total_size_bytes, 2 AS level FROM levels GROUP BY 1, 2
+      UNION ALL SELECT top_level, '-', {total('length')}, 1 FROM levels GROUP BY 1""",
     "dir_sizes_depth_n": f"""WITH {SPREAD}
       SELECT path, size_bytes, {si('size_bytes', 'k')} AS size_human_readable FROM sizes
       WHERE starts_with(path, '/project/abcd/') AND {LEVEL} BETWEEN 3 AND 5""",
     "all_dir_sizes": f"WITH {SPREAD} SELECT * FROM sizes",
     "listed_dir_sizes": f"""WITH {SPREAD}, {EXCL}, {MANY},
       listed AS (SELECT path FROM excl UNION ALL SELECT path FROM many)
-      SELECT l.path, size_bytes, {INVALID.format("'OK'")} AS status, {INVALID.format(si('size_bytes', 'K'))} AS size
+      SELECT l.path, coalesce(size_bytes, -1) AS size_bytes, {INVALID.format("'OK'")} AS status, {INVALID.format(si('size_bytes', 'K'))} AS size
       FROM listed l LEFT JOIN sizes s ON s.path = rtrim(l.path, '/')""",
     "usage_pivot": f"""WITH {PIVOT_SIZES}, rows AS (
         SELECT {joined("string_split(path, '/')", 1, '6')} AS base, {word_team('path', ['ib', 'eq', 'ld', 'bm'])} AS team,
@@ -330,7 +330,7 @@ ORACLE: dict[str, str] = {
         WHERE starts_with(path, '/project/abcd/') AND {LEVEL} = 3),
       c AS (SELECT path AS child, size_bytes AS child_bytes, {above('path')} AS top FROM sizes
         WHERE starts_with(path, '/project/abcd/') AND {LEVEL} = 4)
-      SELECT top, child, child_bytes, top_bytes, {PATTERN_TEAM.format('name')} AS team,
+      SELECT top, child, child_bytes, top_bytes, count(*) OVER (PARTITION BY top) AS children, {PATTERN_TEAM.format('name')} AS team,
              {binary('top_bytes')} AS top_size, {binary('child_bytes')} AS child_size FROM t JOIN c USING (top)""",
     "team_totals": f"""WITH {SPREAD}, g AS (
         SELECT {PATTERN_TEAM.format("string_split(path, '/')[4]")} AS team, {total('size_bytes')} AS total_bytes
@@ -350,7 +350,7 @@ ORACLE: dict[str, str] = {
       g AS (
         SELECT base_dir, team, {total('bytes')} AS total_bytes, CAST(0 AS TINYINT) AS is_total FROM teams GROUP BY 1, 2
         UNION ALL SELECT NULL, team, {total('bytes')}, CAST(1 AS TINYINT) FROM teams GROUP BY team)
-      SELECT *, CASE WHEN is_total = 0
+      SELECT * REPLACE (coalesce(base_dir, '-') AS base_dir), CASE WHEN is_total = 0
           THEN team || ' size in /project/abcd/efgh/ijkl/' || base_dir || ' = ' || {binary('total_bytes')}
           ELSE team || ' size for old dirs = ' || {binary('total_bytes')} END AS line FROM g""",
     "topk_usage": f"WITH {SPREAD} SELECT * FROM sizes ORDER BY size_bytes DESC, path LIMIT 50",
@@ -522,7 +522,7 @@ ORACLE: dict[str, str] = {
         SELECT top || '/' || team AS path, {total('bytes')} AS size_bytes FROM tree GROUP BY 1
         UNION ALL SELECT top, {total('bytes')} FROM tree GROUP BY 1
         UNION ALL SELECT DISTINCT 'gone' || path, NULL FROM excl)
-      SELECT path, size_bytes, {INVALID.format("'OK'")} AS status, {INVALID.format(si('size_bytes', 'K'))} AS size
+      SELECT path, coalesce(size_bytes, -1) AS size_bytes, {INVALID.format("'OK'")} AS status, {INVALID.format(si('size_bytes', 'K'))} AS size
       FROM sized""",
     "tree_directories": f"WITH {TREE} SELECT top AS path FROM tree UNION SELECT top || '/' || team FROM tree",
     "top_directories": f"WITH {TREE} SELECT DISTINCT top AS path FROM tree",

@@ -52,7 +52,7 @@ from stowline.operators.packing import pack_windows
 from stowline.operators.prefix import anti_join_by_directory, exclude_below, exclusion_keys
 from stowline.operators.versions import latest_versions, old_versions, version_directories
 from stowline.plans import cleanup, extraction, quota, retention, usage
-from stowline.session import scratch_folder
+from stowline.session import materialize, scratch_folder
 from stowline.sinks.files import (
     append_path_list,
     preview,
@@ -130,7 +130,8 @@ def old_path_lists(t):
 
 @query
 def usage_two_level(t):
-    return usage.usage_two_level(t.inventory(raw=True))
+    levels = usage.usage_two_level(t.inventory(raw=True))
+    return levels.withColumn("second_level", F.coalesce("second_level", F.lit("-")))
 
 
 @query
@@ -140,7 +141,8 @@ def usage_top_level(t):
 
 @query
 def usage_levels(t):
-    return usage.usage_levels(t.inventory(raw=True))
+    levels = usage.usage_levels(t.inventory(raw=True))
+    return levels.withColumn("second_level", F.coalesce("second_level", F.lit("-")))
 
 
 @query
@@ -156,7 +158,7 @@ def all_dir_sizes(t):
 @query
 def listed_dir_sizes(t):
     listed = t.exclusions().unionByName(t.many_exclusions())
-    return usage.listed_size_report(t.inventory(), listed)
+    return usage.listed_size_report(t.inventory(), listed).fillna(-1, ["size_bytes"])
 
 
 @query
@@ -199,7 +201,7 @@ def tops_with_children(t):
 
 @query
 def old_dir_summary(t):
-    return usage.old_directory_summary(t.size_lines())
+    return usage.old_directory_summary(t.size_lines()).fillna("-", ["base_dir"])
 
 
 @query
@@ -677,8 +679,8 @@ def live_dir_sizes(t):
     known = _placed(t).select(place.alias("path")).distinct()
     tops = known.select(parent("path").alias("path")).distinct()
     gone = t.exclusions().select(F.concat(F.lit(folder), F.lit("/gone"), "path").alias("path")).distinct()
-    sizes = cleanup.live_sizes(known.unionByName(tops).unionByName(gone))
-    return sizes.select(_relative("path", folder).alias("path"), "size_bytes", "status", "size")
+    sizes = cleanup.live_sizes(materialize(known.unionByName(tops).unionByName(gone)))
+    return sizes.select(_relative("path", folder).alias("path"), "size_bytes", "status", "size").fillna(-1, ["size_bytes"])
 
 
 @query

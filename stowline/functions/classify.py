@@ -50,7 +50,7 @@ def with_top_and_team(df: DataFrame, keywords: Sequence[str], path: str = "path"
     Shorter paths give ("unknown", "other"). The components are a column of their own, so
     that Spark splits each path once however many keywords there are.
     """
-    parts = df.withColumn("_parts", components(strip_scheme(path)))
+    parts = df.withColumn("_bare", strip_scheme(path)).withColumn("_parts", components("_bare"))
     deep_enough = F.size("_parts") >= 3
     named = parts.withColumns(
         {
@@ -58,4 +58,4 @@ def with_top_and_team(df: DataFrame, keywords: Sequence[str], path: str = "path"
             "_segment": F.lower(F.get("_parts", F.lit(3))),
         }
     )
-    return named.withColumn("team", keyword_in(F.col("_segment"), keywords)).drop("_parts", "_segment")
+    return named.withColumn("team", keyword_in(F.col("_segment"), keywords)).drop("_bare", "_parts", "_segment")

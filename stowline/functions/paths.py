@@ -84,8 +84,13 @@ def relative_to(path: Column | str, base: str) -> Column:
 
 
 def components(path: Column | str) -> Column:
-    """Non-empty components; an empty path gives one empty string."""
-    return F.split(F.trim(_col(path), F.lit("/")), "/+")
+    """Non-empty components; an empty path gives one empty string.
+
+    The plain `/` is split without a pattern, so runs of slashes are closed up first where there are any.
+    """
+    path = _col(path)
+    closed = F.when(path.contains("//"), F.regexp_replace(path, "/+", "/")).otherwise(path)
+    return F.split(F.trim(closed, F.lit("/")), "/")
 
 
 def component(path: Column | str, index: int, default: str | None = None) -> Column:

@@ -18,7 +18,7 @@ from stowline.fixed_values import (
 )
 from stowline.functions.paths import is_under
 from stowline.session import materialize
-from stowline.sources.inventory import open_path
+from stowline.sources.inventory import open_path, spread_tasks
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -74,7 +74,6 @@ def delete_paths(
     allowed_root: str,
     dry_run: bool = True,
     protected: tuple[str, ...] = (),
-    tasks: int | None = None,
 ) -> DataFrame:
     """(path, status) per listed path; directories go with everything below them.
 
@@ -82,11 +81,10 @@ def delete_paths(
     A retried task finds earlier deletes as missing. Only paths strictly below
     `allowed_root` and without `..` are touched.
     """
-    spark = paths.sparkSession
     root = allowed_root.rstrip("/")
     inside = is_under("path", root) & (F.rtrim("path", F.lit("/")) != root) & ~F.col("path").rlike("(^|/)[.][.](/|$)")
-    listed = safe_paths(paths.select("path"), protected).withColumn("allowed", inside)
-    spread = listed.repartition(tasks or spark.sparkContext.defaultParallelism * 4, "path")
+    listed = materialize(safe_paths(paths.select("path"), protected).withColumn("allowed", inside))
+    spread = spread_tasks(listed, listed.count())
     return materialize(spread.mapInPandas(_delete_job(dry_run), "path string, status string"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stowline.functions.paths import normalize
+from stowline.session import materialize
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 8 * 1024 * 1024
@@ -22,15 +23,11 @@ def _prefix(text: Column, pieces: Column | int) -> Column:
 
 
 def exclusion_keys(exclusions: DataFrame, column: str = "path") -> DataFrame:
-    """Distinct normalized exclusions with their piece count; the root is the empty first piece."""
-    norm = normalize(F.trim(F.col(column)))
-    key = F.when(norm == "/", F.lit("")).otherwise(norm)
-    return (
-        exclusions.filter(F.trim(F.col(column)) != "")
-        .select(key.alias("_key"))
-        .distinct()
-        .withColumn("_pieces", _pieces(F.col("_key")))
-    )
+    """Distinct normalized exclusions with their piece count, stored; the root is the empty first piece."""
+    trimmed = exclusions.select(F.trim(F.col(column)).alias("_key")).filter(F.col("_key") != "")
+    norm = trimmed.select(normalize("_key").alias("_key"))
+    keys = norm.select(F.when(F.col("_key") == "/", F.lit("")).otherwise(F.col("_key")).alias("_key"))
+    return materialize(keys.distinct().withColumn("_pieces", _pieces(F.col("_key"))))
 
 
 def small_depths(keys: DataFrame) -> list[int] | None:
@@ -80,9 +77,11 @@ def anti_join_by_directory(df: DataFrame, keys: DataFrame, path: str = "path") -
     )
     salts = F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint"))
     salted = keys.select("_key", F.explode(salts).alias("_salt"))
-    hit = dirs.join(salted, ["_key", "_salt"], "left_semi").select("_dir").distinct()
+    # sort-merge throughout: the sides have no bound, and oversized partitions are split
+    hit = dirs.join(salted.hint("merge"), ["_key", "_salt"], "left_semi").select("_dir").distinct()
     exact = keys.select(F.col("_key").alias("_norm"))
-    return rows.join(hit, "_dir", "left_anti").join(exact, "_norm", "left_anti").select(*df.columns)
+    kept = rows.join(hit.hint("merge"), "_dir", "left_anti").join(exact.hint("merge"), "_norm", "left_anti")
+    return kept.select(*df.columns)
 
 
 def exclude_below(

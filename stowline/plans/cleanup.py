@@ -84,7 +84,7 @@ def live_sizes(listed: DataFrame) -> DataFrame:
     A directory with an unreadable place below it is an error, whatever else it holds.
     """
     spark = listed.sparkSession
-    found = list_tree(spark, listed)
+    found = list_tree(spark, listed, with_roots=True)
     sizes = listed_sizes(found, listed)
     failed = found.filter(F.col("error").isNotNull()).select(normalize(strip_scheme("path")).alias("_dir"))
     marks = spread(failed, ancestors("_dir")).distinct().select(F.col("path").alias("_dir"), F.lit(True).alias("_failed"))

@@ -191,7 +191,7 @@ def top_child_report(inventory: DataFrame, base: str = BASE_PATH, patterns=TEAM_
     """Each top directory with its immediate children; tops without children are left out."""
     tops, children = tops_and_children(inventory, base)
     return (
-        children.join(tops.drop("children"), "top")
+        children.join(tops, "top")
         .withColumn("team", pattern_in(F.lower(relative_to("top", base)), patterns))
         .withColumn("top_size", format_binary(F.col("top_bytes")))
         .withColumn("child_size", format_binary(F.col("child_bytes")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app_name: str = "stowline", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,3 +53,13 @@ def materialize(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def joinable(side: DataFrame, max_rows: int) -> DataFrame:
+    """A stored join side: broadcast when its counted rows are few, otherwise never broadcast.
+
+    Spark's own estimate does not know how far an exploded or derived side grows.
+    """
+    if side.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(side)
+    return side.hint("merge")

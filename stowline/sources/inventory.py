@@ -24,7 +24,7 @@ INVENTORY = T.StructType(
         T.StructField("error", T.StringType(), True),
     ]
 )
-LISTING_TASKS_PER_CORE = 4
+TASKS_PER_CORE = 4
 _ROWS_PER_FRAME = 50_000
 
 
@@ -42,40 +42,53 @@ def open_path(uri: str, opened: dict):
     return opened[prefix], inside, prefix
 
 
-def _entries(uri: str, opened: dict) -> list[tuple]:
+def _row(info, prefix: str) -> list[tuple]:
     import pyarrow.fs as pafs
 
-    try:
-        fs, inside, prefix = open_path(uri, opened)
-        selector = pafs.FileSelector(inside, allow_not_found=True)
-        rows = []
-        for info in fs.get_file_info(selector):
-            is_dir = info.type == pafs.FileType.Directory
-            if is_dir or info.type == pafs.FileType.File:
-                rows.append((prefix + info.path, is_dir, 0 if is_dir else info.size or 0, info.mtime, None))
-        return rows
-    except Exception as problem:
-        # one unreadable directory becomes a row of its own and never fails the job
-        return [(uri, True, 0, None, str(problem) or type(problem).__name__)]
-
-
-def _list_job(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    opened: dict = {}
-    columns = ["path", "is_dir", "length", "mtime", "error"]
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=columns)
-        return out.assign(mtime=pd.to_datetime(out["mtime"], utc=True))
-
-    pending: list[tuple] = []
-    for directories in frames:
-        for uri in directories["path"]:
-            pending.extend(_entries(uri, opened))
-            while len(pending) >= _ROWS_PER_FRAME:
-                yield frame(pending[:_ROWS_PER_FRAME])
-                pending = pending[_ROWS_PER_FRAME:]
-    if pending:
-        yield frame(pending)
+    if info.type == pafs.FileType.Directory:
+        return [(prefix + info.path, True, 0, info.mtime, None)]
+    if info.type == pafs.FileType.File:
+        return [(prefix + info.path, False, info.size or 0, info.mtime, None)]
+    return []
+
+
+def _roots(uri: str, opened: dict) -> list[tuple]:
+    """The path's own row; a missing path has none."""
+    fs, inside, prefix = open_path(uri, opened)
+    return _row(fs.get_file_info(inside), prefix)
+
+
+def _children(uri: str, opened: dict) -> list[tuple]:
+    import pyarrow.fs as pafs
+
+    fs, inside, prefix = open_path(uri, opened)
+    return [row for info in fs.get_file_info(pafs.FileSelector(inside)) for row in _row(info, prefix)]
+
+
+def _list_job(rows_of):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened: dict = {}
+        columns = ["path", "is_dir", "length", "mtime", "error"]
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=columns)
+            return out.assign(mtime=pd.to_datetime(out["mtime"], utc=True))
+
+        pending: list[tuple] = []
+        for directories in frames:
+            for uri in directories["path"]:
+                try:
+                    pending.extend(rows_of(uri, opened))
+                except Exception as problem:
+                    # one unreadable directory becomes a row of its own and never fails the job
+                    pending.append((uri, True, 0, None, str(problem) or type(problem).__name__))
+                while len(pending) >= _ROWS_PER_FRAME:
+                    yield frame(pending[:_ROWS_PER_FRAME])
+                    pending = pending[_ROWS_PER_FRAME:]
+        if pending:
+            yield frame(pending)
+
+    return run
 
 
 def qualify(spark: SparkSession, path: str) -> str:
@@ -85,13 +98,20 @@ def qualify(spark: SparkSession, path: str) -> str:
     return default.rstrip("/") + path if is_bare else path
 
 
+def spread_tasks(paths: DataFrame, rows: int) -> DataFrame:
+    """Hash the paths over several tasks per core, fewer when there are only a few paths."""
+    tasks = paths.sparkSession.sparkContext.defaultParallelism * TASKS_PER_CORE
+    return paths.repartition(max(1, min(tasks, rows)), "path")
+
+
 def list_tree(
     spark: SparkSession,
     roots: DataFrame | Sequence[str] | str,
     pruned: DataFrame | None = None,
     max_depth: int | None = None,
+    with_roots: bool = False,
 ) -> DataFrame:
-    """Everything below the roots, listed on the executors one level at a time.
+    """Everything below the root directories, listed on the executors one level at a time.
 
     Each level's directories are spread evenly over the tasks, so one deep or wide branch
     does not end in one task. Every level is stored, so retries and later reads see one
@@ -108,26 +128,31 @@ def list_tree(
     if pruned is not None:
         frontier = exclude_below(frontier, pruned)
         # nothing below an excluded directory is visited, so equality is enough from here on
-        closed = materialize(exclusion_keys(pruned).select(F.col("_key").alias("path")))
-    tasks = spark.sparkContext.defaultParallelism * LISTING_TASKS_PER_CORE
-    found = spark.createDataFrame([], INVENTORY)
-    level = 0
+        closed = exclusion_keys(pruned).select(F.col("_key").alias("path"))
+    jobs = _list_job(_roots), _list_job(_children)
+    own = materialize(spread_tasks(frontier, frontier.count()).mapInPandas(jobs[0], INVENTORY))
+    found = own.filter(F.col("error").isNotNull() | (F.col("is_dir") & F.lit(with_roots)))
+    frontier, level = _walkable(own), 0
     while max_depth is None or level < max_depth:
-        listed = frontier.repartition(tasks, "path").mapInPandas(_list_job, INVENTORY)
+        waiting = frontier.count()
+        if waiting == 0:
+            break
+        listed = spread_tasks(frontier, waiting).mapInPandas(jobs[1], INVENTORY)
         if closed is not None:
             listed = listed.join(closed, "path", "left_anti")
         listed = materialize(listed)
         found = found.unionByName(listed)
-        frontier = listed.filter(F.col("is_dir") & F.col("error").isNull()).select("path")
-        level += 1
-        if frontier.isEmpty():
-            break
+        frontier, level = _walkable(listed), level + 1
     return found
 
 
+def _walkable(listed: DataFrame) -> DataFrame:
+    return listed.filter(F.col("is_dir") & F.col("error").isNull()).select("path")
+
+
 def outermost(roots: DataFrame) -> DataFrame:
     """Distinct roots that are not below another root, so that no tree is walked twice."""
-    given = roots.select(normalize("path").alias("path")).distinct()
+    given = materialize(roots.select(normalize("path").alias("path")).distinct())
     above = given.select("path", F.explode_outer(ancestors(parent("path"))).alias("outer"))
     inner = above.join(given.select(F.col("path").alias("outer")), "outer", "left_semi").select("path").distinct()
     return given.join(inner, "path", "left_anti")
