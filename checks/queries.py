@@ -349,7 +349,8 @@ def prefix_anti_small(t):
 @query
 def prefix_anti_large(t):
     keys = exclusion_keys(t.many_exclusions())
-    return anti_join_by_directory(t.inventory(), keys).select("path", "length")
+    depths = [row[0] for row in keys.select("_pieces").distinct().collect()]
+    return anti_join_by_directory(t.inventory(), keys, depths).select("path", "length")
 
 
 @query

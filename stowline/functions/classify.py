@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stowline.functions.paths import components, strip_scheme
+from stowline.functions.staging import once
 
 
 def first_match(text: Column, rules: Sequence[tuple[str, str]], mode: str = "substring") -> Column:
@@ -44,18 +44,21 @@ def keyword_in_segments(pieces: Column, after: int, keywords: Sequence[str], def
     return F.coalesce(F.get(hits, F.lit(0)), F.lit(default))
 
 
+# components three and four after an optional scheme and host; possessive, so a scheme never counts as a component
+_TOP_AND_SEGMENT = (
+    "^(?:[A-Za-z][A-Za-z0-9+.-]*+:(?://[^/]*+)?+)?+/*+[^/]++/++[^/]++/++([^/]++)(?:/++([^/]++))?+"
+)
+
+
 def with_top_and_team(df: DataFrame, keywords: Sequence[str], path: str = "path") -> DataFrame:
     """Add `top_dir` (third component) and `team` (from the fourth).
 
-    Shorter paths give ("unknown", "other"). The components are a column of their own, so
-    that Spark splits each path once however many keywords there are.
+    Shorter paths give ("unknown", "other").
     """
-    parts = df.withColumn("_bare", strip_scheme(path)).withColumn("_parts", components("_bare"))
-    deep_enough = F.size("_parts") >= 3
-    named = parts.withColumns(
-        {
-            "top_dir": F.when(deep_enough, F.get("_parts", F.lit(2))).otherwise(F.lit("unknown")),
-            "_segment": F.lower(F.get("_parts", F.lit(3))),
-        }
+    found = once(
+        df,
+        _top=F.regexp_extract(path, _TOP_AND_SEGMENT, 1),
+        _segment=F.lower(F.regexp_extract(path, _TOP_AND_SEGMENT, 2)),
     )
-    return named.withColumn("team", keyword_in(F.col("_segment"), keywords)).drop("_bare", "_parts", "_segment")
+    top = F.when(F.col("_top") == "", F.lit("unknown")).otherwise(F.col("_top"))
+    return found.withColumns({"top_dir": top, "team": keyword_in(F.col("_segment"), keywords)}).drop("_top", "_segment")

@@ -30,7 +30,8 @@ def normalize(path: Column | str) -> Column:
     """Cut trailing slashes; any run of slashes alone is the root."""
     path = _col(path)
     cut = F.rtrim(path, F.lit("/"))
-    return F.when((cut == "") & (path != ""), F.lit("/")).otherwise(cut)
+    trimmed = F.when(cut == "", F.lit("/")).otherwise(cut)
+    return F.when(path.endswith("/"), trimmed).otherwise(path)
 
 
 def depth(path: Column | str) -> Column:
@@ -83,16 +84,6 @@ def relative_to(path: Column | str, base: str) -> Column:
     return F.ltrim(rest, F.lit("/"))
 
 
-def components(path: Column | str) -> Column:
-    """Non-empty components; an empty path gives one empty string.
-
-    The plain `/` is split without a pattern, so runs of slashes are closed up first where there are any.
-    """
-    path = _col(path)
-    closed = F.when(path.contains("//"), F.regexp_replace(path, "/+", "/")).otherwise(path)
-    return F.split(F.trim(closed, F.lit("/")), "/")
-
-
 def component(path: Column | str, index: int, default: str | None = None) -> Column:
     """Piece `index` of the path split at `/` (piece 0 is the empty text before the first slash)."""
     piece = F.get(F.split(_col(path), "/"), F.lit(index))

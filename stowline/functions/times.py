@@ -38,8 +38,19 @@ def parse_instant(text: Column) -> Column:
     return F.when(text.rlike(_ISO_INSTANT), full.try_cast("timestamp"))
 
 
-def parse_date_time(date: Column, time: Column, fmt: str = "yyyy-MM-dd HH:mm:ss.SSS") -> Column:
-    return F.try_to_timestamp(F.concat_ws(" ", date, time), F.lit(fmt))
+def _combined(date: Column, time: Column, pattern: str) -> Column:
+    text = F.concat_ws(" ", date, time)
+    return F.when(text.rlike(pattern), text.try_cast("timestamp"))
+
+
+def parse_minute(date: Column, time: Column) -> Column:
+    """`yyyy-MM-dd` and `HH:mm`; NULL for other text and impossible dates."""
+    return _combined(date, time, "^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}$")
+
+
+def parse_millisecond(date: Column, time: Column) -> Column:
+    """`yyyy-MM-dd` and `HH:mm:ss.SSS`; NULL for other text and impossible dates."""
+    return _combined(date, time, "^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}[.][0-9]{3}$")
 
 
 def parse_day(text: Column) -> Column:

@@ -6,21 +6,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stowline.fixed_values import SIZE_INVALID
 from stowline.functions.paths import ancestor, ancestors, depth, is_under, normalize, parent, strip_scheme
+from stowline.functions.staging import once
 
 
 def _owned(inventory: DataFrame, base: str | None = None) -> DataFrame:
-    """(directory, bytes) of each row: a directory row stands for itself, a file for its parent.
-
-    The base is tested on the raw path: a test on the derived directory would be pushed
-    down and work the whole derivation out a second time.
-    """
-    if base is not None:
-        inventory = inventory.filter(is_under(strip_scheme("path"), base))
+    """(directory, bytes) of each row: a directory row stands for itself, a file for its parent."""
     bytes_ = F.when(F.col("is_dir"), F.lit(0)).otherwise(F.col("length"))
     bare = inventory.select(strip_scheme("path").alias("_bare"), "is_dir", bytes_.cast("bigint").alias("_bytes"))
     norm = bare.select(normalize("_bare").alias("_bare"), "is_dir", "_bytes")
     owner = F.when(F.col("is_dir"), F.col("_bare")).otherwise(parent("_bare"))
-    return norm.select(owner.alias("_dir"), "_bytes")
+    owned = once(norm, _dir=owner).select("_dir", "_bytes")
+    return owned if base is None else owned.filter(is_under("_dir", base))
 
 
 def _levels(base: str) -> int:
@@ -31,9 +27,10 @@ def spread(df: DataFrame, directories: Column, keep: list[str] | None = None) ->
     """One row per element of `directories` as `path`.
 
     The outer form, because for the inner one Spark pushes a size test below and works the
-    array out twice. Rows without an element leave through the callers' NULL test.
+    array out twice. Rows without an element leave through the NULL test.
     """
-    return df.select(F.explode_outer(directories).alias("path"), *(keep or []))
+    rows = df.select(F.explode_outer(directories).alias("path"), *(keep or []))
+    return rows.filter(F.col("path").isNotNull())
 
 
 def directory_sizes(inventory: DataFrame, base: str, levels: int = 1) -> DataFrame:
@@ -53,7 +50,6 @@ def directory_sizes(inventory: DataFrame, base: str, levels: int = 1) -> DataFra
     )
     return (
         spread(deepest, ancestors("_dir", first, last), ["_bytes"])
-        .filter(F.col("path").isNotNull())
         .groupBy("path")
         .agg(F.sum("_bytes").alias("size_bytes"))
     )
@@ -64,7 +60,6 @@ def all_directory_sizes(inventory: DataFrame) -> DataFrame:
     own = _owned(inventory).groupBy("_dir").agg(F.sum("_bytes").alias("_bytes"))
     return (
         spread(own, ancestors("_dir"), ["_bytes"])
-        .filter(F.col("path").isNotNull())
         .groupBy("path")
         .agg(F.sum("_bytes").alias("size_bytes"))
     )
@@ -84,7 +79,7 @@ def listed_sizes(inventory: DataFrame, listed: DataFrame, column: str = "path")
 def directories(inventory: DataFrame) -> DataFrame:
     """Distinct directories that hold an inventory row at any depth."""
     own = _owned(inventory).select("_dir").distinct()
-    return spread(own, ancestors("_dir")).filter(F.col("path").isNotNull()).distinct()
+    return spread(own, ancestors("_dir")).distinct()
 
 
 def directories_at(inventory: DataFrame, base: str, first: int = 1, last: int = 1) -> DataFrame:
@@ -92,7 +87,7 @@ def directories_at(inventory: DataFrame, base: str, first: int = 1, last: int =
     level = _levels(base)
     cut = ancestor("_dir", F.least(depth("_dir"), F.lit(level + last)))
     own = _owned(inventory, base).select(cut.alias("_dir")).distinct()
-    return spread(own, ancestors("_dir", level + first, level + last)).filter(F.col("path").isNotNull()).distinct()
+    return spread(own, ancestors("_dir", level + first, level + last)).distinct()
 
 
 def tops_and_children(inventory: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
@@ -101,16 +96,10 @@ def tops_and_children(inventory: DataFrame, base: str) -> tuple[DataFrame, DataF
     Both come from one aggregate; neither filters on its keys, so Spark runs it once.
     """
     level = _levels(base)
-    owned = _owned(inventory, base).withColumn("_depth", depth("_dir"))
+    owned = _owned(inventory, base).withColumn("_depth", depth("_dir")).filter(F.col("_depth") > level)
     second = F.when(F.col("_depth") > level + 1, ancestor("_dir", level + 2))
-    pairs = (
-        owned.groupBy(ancestor("_dir", level + 1).alias("top"), second.alias("child"))
-        .agg(
-            F.sum("_bytes").alias("bytes"),
-            F.max((F.col("_depth") > level + 1).cast("int")).alias("is_child"),
-            F.max("_depth").alias("_depth"),
-        )
-        .filter(F.col("_depth") > level)
+    pairs = owned.groupBy(ancestor("_dir", level + 1).alias("top"), second.alias("child")).agg(
+        F.sum("_bytes").alias("bytes"), F.max((F.col("_depth") > level + 1).cast("int")).alias("is_child")
     )
     tops = pairs.groupBy("top").agg(F.sum("bytes").alias("top_bytes"), F.sum("is_child").alias("children"))
     return tops, pairs.filter(F.col("is_child") == 1).select("top", "child", F.col("bytes").alias("child_bytes"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stowline.functions.paths import normalize
+from stowline.functions.staging import once
 from stowline.session import materialize
 
-BROADCAST_ROWS = 100_000
-BROADCAST_BYTES = 8 * 1024 * 1024
-BROADCAST_DEPTHS = 16
-_SALTS = 32
+# what all broadcast key sets of one exclusion may hold together
+BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def _pieces(text: Column) -> Column:
@@ -30,56 +30,47 @@ def exclusion_keys(exclusions: DataFrame, column: str = "path") -> DataFrame:
     return materialize(keys.distinct().withColumn("_pieces", _pieces(F.col("_key"))))
 
 
-def small_depths(keys: DataFrame) -> list[int] | None:
-    """Piece counts of a key set that fits the broadcast bounds, None for a larger one."""
-    seen = (
-        keys.limit(BROADCAST_ROWS + 1)
-        .agg(
-            F.count("*").alias("rows"),
-            F.coalesce(F.sum(F.octet_length("_key")), F.lit(0)).alias("bytes"),
-            F.collect_set("_pieces").alias("depths"),
-        )
-        .first()
-    )
-    if seen.rows > BROADCAST_ROWS or seen.bytes > BROADCAST_BYTES or len(seen.depths) > BROADCAST_DEPTHS:
-        return None
-    return sorted(seen.depths)
+def split_depths(keys: DataFrame) -> tuple[list[int], list[int]]:
+    """(piece counts whose keys fit the broadcast bounds together, the other piece counts).
+
+    One row per path depth comes back, never the keys.
+    """
+    sizes = keys.groupBy("_pieces").agg(F.count("*").alias("rows"), F.sum(F.octet_length("_key")).alias("bytes"))
+    small, large, rows, bytes_ = [], [], 0, 0
+    for at in sorted(sizes.collect(), key=lambda at: (at.rows, at.bytes)):
+        rows, bytes_ = rows + at.rows, bytes_ + at.bytes
+        (small if rows <= BROADCAST_ROWS and bytes_ <= BROADCAST_BYTES else large).append(at["_pieces"])
+    return sorted(small), sorted(large)
 
 
 def anti_join_by_depth(df: DataFrame, keys: DataFrame, depths: list[int], path: str = "path") -> DataFrame:
-    """One hash anti-join per exclusion depth on the path's prefix; the rows are not shuffled."""
-    out = df.withColumn("_norm", normalize(F.col(path)))
+    """One hash anti-join per exclusion depth on the path's prefix; the rows are not shuffled.
+
+    The depths must come from the small part of `split_depths`, which bounds their keys.
+    """
+    out = once(df, _norm=normalize(F.col(path)))
     for pieces in depths:
         at_depth = keys.filter(F.col("_pieces") == pieces).select("_key")
         out = out.join(F.broadcast(at_depth), _prefix(F.col("_norm"), pieces) == F.col("_key"), "left_anti")
     return out.drop("_norm")
 
 
-def anti_join_by_directory(df: DataFrame, keys: DataFrame, path: str = "path") -> DataFrame:
+def anti_join_by_directory(df: DataFrame, keys: DataFrame, depths: list[int], path: str = "path") -> DataFrame:
     """For key sets of any size: find the hit directories first, then drop their rows.
 
-    Only distinct directories are spread over their prefixes. The shallow prefixes that
-    every directory shares are salted on both sides.
+    Only distinct directories are spread, and only over the prefixes at the given depths.
+    Sort-merge throughout: the sides have no bound, and adaptive execution splits the
+    partitions of a prefix or directory that holds too much.
     """
-    rows = df.withColumn("_norm", normalize(F.col(path)))
-    rows = rows.withColumn(
-        "_dir", F.when(_pieces(F.col("_norm")) > 1, _prefix(F.col("_norm"), _pieces(F.col("_norm")) - 1))
-    )
-    prefixes = F.transform(
-        F.sequence(F.lit(1), _pieces(F.col("_dir"))), lambda pieces: _prefix(F.col("_dir"), pieces)
-    )
-    dirs = (
-        rows.select("_dir")
-        .filter(F.col("_dir").isNotNull())
-        .distinct()
-        .select("_dir", F.explode_outer(prefixes).alias("_key"))
-        .withColumn("_salt", F.pmod(F.xxhash64("_dir"), F.lit(_SALTS)))
-    )
-    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint"))
-    salted = keys.select("_key", F.explode(salts).alias("_salt"))
-    # sort-merge throughout: the sides have no bound, and oversized partitions are split
-    hit = dirs.join(salted.hint("merge"), ["_key", "_salt"], "left_semi").select("_dir").distinct()
-    exact = keys.select(F.col("_key").alias("_norm"))
+    norm = normalize(F.col(path))
+    above = F.when(_pieces(norm) > 1, _prefix(norm, _pieces(norm) - 1))
+    rows = once(df, _norm=norm, _dir=above)
+    at_depths = [F.when(_pieces(F.col("_dir")) >= pieces, _prefix(F.col("_dir"), pieces)) for pieces in depths]
+    dirs = rows.select("_dir").filter(F.col("_dir").isNotNull()).distinct()
+    spread = dirs.select("_dir", F.explode_outer(F.array(*at_depths)).alias("_key")).filter(F.col("_key").isNotNull())
+    wanted = keys.filter(F.col("_pieces").isin(depths)).select("_key")
+    hit = spread.join(wanted.hint("merge"), "_key", "left_semi").select("_dir").distinct()
+    exact = wanted.select(F.col("_key").alias("_norm"))
     kept = rows.join(hit.hint("merge"), "_dir", "left_anti").join(exact.hint("merge"), "_norm", "left_anti")
     return kept.select(*df.columns)
 
@@ -90,9 +81,8 @@ def exclude_below(
     path: str = "path",
     exclusion: str = "path",
 ) -> DataFrame:
-    """Drop the rows whose path is excluded; picks the form by the checked size of the exclusions."""
+    """Drop the rows whose path is excluded; each exclusion depth goes the way its counted size allows."""
     keys = exclusion_keys(exclusions, exclusion)
-    depths = small_depths(keys)
-    if depths is None:
-        return anti_join_by_directory(df, keys, path)
-    return anti_join_by_depth(df, keys, depths, path)
+    small, large = split_depths(keys)
+    kept = anti_join_by_depth(df, keys, small, path) if small else df
+    return anti_join_by_directory(kept, keys, large, path) if large else kept

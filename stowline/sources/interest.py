@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stowline.functions.times import parse_date_time, parse_instant
+from stowline.functions.staging import once
+from stowline.functions.times import parse_instant, parse_millisecond
 
 RIC_POSITION, START_POSITION, END_POSITION = 2, 5, 6
 START_NAME, END_NAME = "Execution_Start_Time", "Execution_End_Time"
@@ -37,9 +38,7 @@ def read_named_interest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("start", parse_instant(F.col("start_text"))).withColumn(
-        "end", parse_instant(F.col("end_text"))
-    )
+    return once(raw, start=parse_instant(F.col("start_text")), end=parse_instant(F.col("end_text")))
 
 
 def interest_windows(raw: DataFrame) -> DataFrame:
@@ -55,7 +54,7 @@ def rejected_interest(raw: DataFrame) -> DataFrame:
 
 
 def with_tick_time(rows: DataFrame, date: str = "date_column", time: str = "time_column") -> DataFrame:
-    return rows.withColumn("ts", parse_date_time(F.col(date), F.col(time)))
+    return once(rows, ts=parse_millisecond(F.col(date), F.col(time)))
 
 
 def read_ticks(spark: SparkSession, path: str, date: str = "date_column", time: str = "time_column") -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stowline.functions.times import cycle_date, parse_date_time
+from stowline.functions.staging import once
+from stowline.functions.times import cycle_date, parse_minute
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -53,20 +54,15 @@ def listing_rows(lines: DataFrame) -> DataFrame:
 
     The eighth field is the rest of the line, so paths keep their blanks.
     """
-    fields = F.split(_trimmed(), "\\s+", 8)
     field = lambda index: F.get("f", F.lit(index))
-    return (
-        lines.select(fields.alias("f"))
-        .filter(F.size("f") == 8)
-        .select(
-            field(7).alias("path"),
-            field(0).startswith("d").alias("is_dir"),
-            F.coalesce(field(4).try_cast("bigint"), F.lit(0).cast("bigint")).alias("length"),
-            parse_date_time(field(5), field(6), "yyyy-MM-dd HH:mm").alias("mtime"),
-            field(2).alias("owner"),
-            field(3).alias("owner_group"),
-        )
-        .filter(F.col("mtime").isNotNull())
+    fields = once(lines.select("value"), f=F.split(_trimmed(), "\\s+", 8)).filter(F.size("f") == 8)
+    return once(fields, mtime=parse_minute(field(5), field(6))).filter(F.col("mtime").isNotNull()).select(
+        field(7).alias("path"),
+        field(0).startswith("d").alias("is_dir"),
+        F.coalesce(field(4).try_cast("bigint"), F.lit(0).cast("bigint")).alias("length"),
+        "mtime",
+        field(2).alias("owner"),
+        field(3).alias("owner_group"),
     )
 
 

@@ -98,8 +98,10 @@ def test_prefix_forms_agree_with_brute_force(spark):
     closed = spark.createDataFrame([(c,) for c in CLOSED], "path string")
     wanted = sorted(p for p in PATHS if not excluded(p, [c.strip() for c in CLOSED if c.strip()]))
     keys = prefix.exclusion_keys(closed)
-    small = prefix.anti_join_by_depth(rows, keys, prefix.small_depths(keys))
-    large = prefix.anti_join_by_directory(rows, keys)
+    depths, none = prefix.split_depths(keys)
+    assert none == []
+    small = prefix.anti_join_by_depth(rows, keys, depths)
+    large = prefix.anti_join_by_directory(rows, keys, depths)
     assert sorted(r.path for r in small.collect()) == wanted
     assert sorted(r.path for r in large.collect()) == wanted
 
@@ -110,13 +112,14 @@ def test_the_root_excludes_every_absolute_path(spark, root):
     closed = spark.createDataFrame([(root,)], "path string")
     assert [r.path for r in prefix.exclude_below(rows, closed).collect()] == ["b/c"]
     keys = prefix.exclusion_keys(closed)
-    assert [r.path for r in prefix.anti_join_by_directory(rows, keys).collect()] == ["b/c"]
+    assert [r.path for r in prefix.anti_join_by_directory(rows, keys, [1]).collect()] == ["b/c"]
 
 
 def test_too_many_exclusions_take_the_other_form(spark, monkeypatch):
     monkeypatch.setattr(prefix, "BROADCAST_ROWS", 2)
     closed = spark.createDataFrame([(c,) for c in CLOSED], "path string")
-    assert prefix.small_depths(prefix.exclusion_keys(closed)) is None
+    small, large = prefix.split_depths(prefix.exclusion_keys(closed))
+    assert small and large
     rows = spark.createDataFrame([(p,) for p in PATHS], "path string")
     found = prefix.exclude_below(rows, closed)
     assert "BroadcastNestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
