@@ -42,7 +42,7 @@ def depth(path: Column | str) -> Column:
 
 
 def ancestor(path: Column | str, level: Column | int) -> Column:
-    """The first `level` components of an absolute path."""
+    """The first `level` components of an absolute path, all of a shorter one."""
     return _prefix(_col(path), level + 1)
 
 

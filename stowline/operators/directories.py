@@ -42,10 +42,9 @@ def directory_sizes(inventory: DataFrame, base: str, levels: int = 1) -> DataFra
     if levels < 1:
         return _owned(inventory).select(F.col("_dir").alias("path"), F.col("_bytes").alias("size_bytes")).limit(0)
     first, last = _levels(base) + 1, _levels(base) + levels
-    cut = ancestor(F.col("_dir"), F.least(depth(F.col("_dir")), F.lit(last)))
     deepest = (
         _owned(inventory, base)
-        .groupBy(cut.alias("_dir"))
+        .groupBy(ancestor("_dir", last).alias("_dir"))
         .agg(F.sum("_bytes").alias("_bytes"))
     )
     return (
@@ -67,7 +66,8 @@ def all_directory_sizes(inventory: DataFrame) -> DataFrame:
 
 def listed_sizes(inventory: DataFrame, listed: DataFrame, column: str = "path") -> DataFrame:
     """(path, size_bytes, status) for every listed line, repeats kept; unknown directories are invalid."""
-    sizes = all_directory_sizes(inventory).withColumnRenamed("path", "_dir")
+    # one row per directory of the inventory has no bound, so it is never broadcast
+    sizes = all_directory_sizes(inventory).withColumnRenamed("path", "_dir").hint("merge")
     wanted = listed.select(F.col(column).alias("path"), normalize(strip_scheme(column)).alias("_dir"))
     return wanted.join(sizes, "_dir", "left").select(
         "path",
@@ -85,8 +85,7 @@ def directories(inventory: DataFrame) -> DataFrame:
 def directories_at(inventory: DataFrame, base: str, first: int = 1, last: int = 1) -> DataFrame:
     """Directories `first`..`last` levels under `base`."""
     level = _levels(base)
-    cut = ancestor("_dir", F.least(depth("_dir"), F.lit(level + last)))
-    own = _owned(inventory, base).select(cut.alias("_dir")).distinct()
+    own = _owned(inventory, base).select(ancestor("_dir", level + last).alias("_dir")).distinct()
     return spread(own, ancestors("_dir", level + first, level + last)).distinct()
 
 

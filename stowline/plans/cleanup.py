@@ -14,6 +14,7 @@ from stowline.operators.filesystem import delete_paths, outcome_counts
 from stowline.operators.prefix import exclude_below
 from stowline.plans.retention import old_markers
 from stowline.plans.usage import size_text
+from stowline.session import joinable, materialize
 from stowline.sources.inventory import list_tree
 from stowline.sources.texts import cycle_rows
 
@@ -87,7 +88,8 @@ def live_sizes(listed: DataFrame) -> DataFrame:
     found = list_tree(spark, listed, with_roots=True)
     sizes = listed_sizes(found, listed)
     failed = found.filter(F.col("error").isNotNull()).select(normalize(strip_scheme("path")).alias("_dir"))
-    marks = spread(failed, ancestors("_dir")).distinct().select(F.col("path").alias("_dir"), F.lit(True).alias("_failed"))
+    broken = spread(failed, ancestors("_dir")).distinct()
+    marks = joinable(materialize(broken.select(F.col("path").alias("_dir"), F.lit(True).alias("_failed"))))
     joined = sizes.withColumn("_dir", normalize(strip_scheme("path"))).join(marks, "_dir", "left")
     status = F.when(F.col("_failed"), F.lit(SIZE_ERROR)).otherwise(F.col("status"))
     bytes_ = F.when(F.col("_failed").isNull(), F.col("size_bytes"))

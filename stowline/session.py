@@ -17,6 +17,8 @@ def build_session(app_name: str = "stowline", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # stored intermediate results leave the shared folder once nothing refers to them
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -55,7 +57,10 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def joinable(side: DataFrame, max_rows: int) -> DataFrame:
+BROADCAST_ROWS = 500_000
+
+
+def joinable(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A stored join side: broadcast when its counted rows are few, otherwise never broadcast.
 
     Spark's own estimate does not know how far an exploded or derived side grows.

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stowline.functions.paths import ancestors, normalize, parent
 from stowline.operators.prefix import exclude_below, exclusion_keys
-from stowline.session import materialize
+from stowline.session import joinable, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -128,7 +128,7 @@ def list_tree(
     if pruned is not None:
         frontier = exclude_below(frontier, pruned)
         # nothing below an excluded directory is visited, so equality is enough from here on
-        closed = exclusion_keys(pruned).select(F.col("_key").alias("path"))
+        closed = joinable(exclusion_keys(pruned).select(F.col("_key").alias("path")))
     jobs = _list_job(_roots), _list_job(_children)
     own = materialize(spread_tasks(frontier, frontier.count()).mapInPandas(jobs[0], INVENTORY))
     found = own.filter(F.col("error").isNotNull() | (F.col("is_dir") & F.lit(with_roots)))
@@ -154,8 +154,9 @@ def outermost(roots: DataFrame) -> DataFrame:
     """Distinct roots that are not below another root, so that no tree is walked twice."""
     given = materialize(roots.select(normalize("path").alias("path")).distinct())
     above = given.select("path", F.explode_outer(ancestors(parent("path"))).alias("outer"))
-    inner = above.join(given.select(F.col("path").alias("outer")), "outer", "left_semi").select("path").distinct()
-    return given.join(inner, "path", "left_anti")
+    outer = joinable(given.select(F.col("path").alias("outer")))
+    inner = materialize(above.join(outer, "outer", "left_semi").select("path").distinct())
+    return given.join(joinable(inner), "path", "left_anti")
 
 
 def one_level_directories(spark: SparkSession, base: str) -> DataFrame:
