@@ -15,6 +15,7 @@ from checks.views import (
     VERSION_PARENT,
     WINDOW_SECONDS,
     bare_path,
+    cycle_name,
     order_exclusion,
 )
 from stowline.fixed_values import REQUEST_TEMPLATE
@@ -115,7 +116,7 @@ LEVEL = "len(string_split(path, '/')) - 1"
 EXCL = f"excl AS (SELECT {EXCLUSION} AS path FROM nation)"
 MANY = f"""many AS (
   SELECT {order_exclusion("strftime(o_orderdate, '%Y%m%d')")} AS path FROM orders
-  UNION ALL SELECT path FROM inv WHERE length % 13 = 0)"""
+  UNION ALL SELECT path FROM inv WHERE mtime < TIMESTAMP '1996-01-01')"""
 
 
 def under(table: str) -> str:
@@ -133,6 +134,9 @@ def hits(name: str, source: str, exclusions: str) -> str:
   WHERE prefix IN (SELECT rtrim(path, '/') FROM {exclusions}))"""
 
 
+CYCLES = f"""names AS (
+  SELECT {cycle_name("strftime(o_orderdate, '%Y%m%d')", "strftime(o_orderdate, '%Y')")} AS name FROM orders),
+ cycles AS (SELECT try_strptime(regexp_extract(name, '^scheduled_deletion_([0-9]{{8}})$', 1), '%Y%m%d') AS d FROM names)"""
 DIRS = f"""{OWNED}, dirs AS (
   SELECT DISTINCT unnest(list_transform(generate_series(2, len(string_split(dir, '/'))),
     lambda k: {joined("string_split(dir, '/')", 1, 'k')})) AS path FROM owned)"""
@@ -183,10 +187,10 @@ ALL_WINDOWS = f"""wins AS (
   SELECT event_id AS row_key, 'U' || user_id AS ric, ts AS s, ts + to_seconds({WINDOW_SECONDS}) AS e FROM events)"""
 TICKS = """base AS (
   SELECT strftime(ts, '%Y-%m-%d') AS date_column, strftime(ts, '%H:%M:%S.%g') AS time_column,
-         'U' || user_id AS sym, CAST(event_id AS VARCHAR) AS tick_id, CAST(value AS VARCHAR) AS price, event_id
+         'U' || user_id AS sym, CAST(event_id AS VARCHAR) AS tick_id, CAST(value AS VARCHAR) AS price, event_type
   FROM events),
- twice AS (SELECT * FROM base UNION ALL SELECT * FROM base WHERE event_id % 3 = 0),
- ticks AS (SELECT * EXCLUDE (event_id), strptime(date_column || ' ' || time_column, '%Y-%m-%d %H:%M:%S.%g') AS ts
+ twice AS (SELECT * FROM base UNION ALL SELECT * FROM base WHERE event_type = 'click'),
+ ticks AS (SELECT * EXCLUDE (event_type), strptime(date_column || ' ' || time_column, '%Y-%m-%d %H:%M:%S.%g') AS ts
            FROM twice)"""
 
 
@@ -273,8 +277,8 @@ def pivoted(words: list[str], wrap, source: str, key: str) -> str:
 
 
 OLD_LISTED = f"""{INV}, {EXCL}, listing AS (
-  SELECT path || CASE WHEN length % 9 = 1 THEN ' copy 2' ELSE '' END AS path, length, mtime, false AS is_dir FROM inv
-  UNION ALL SELECT {above('path')}, 0, mtime, true FROM inv WHERE length % 9 = 0)"""
+  SELECT path || CASE WHEN contains(path, '/alert/') THEN ' copy 2' ELSE '' END AS path, length, mtime, false AS is_dir FROM inv
+  UNION ALL SELECT {above('path')}, 0, mtime, true FROM inv WHERE contains(path, '/model/'))"""
 INVALID = "CASE WHEN size_bytes IS NULL THEN 'INVALID_PATH' ELSE {0} END"
 
 ORACLE: dict[str, str] = {
@@ -374,7 +378,7 @@ ORACLE: dict[str, str] = {
         coalesce(nullif(regexp_extract(core, '[0-9]{{6,8}}'), ''), '-') AS digits,
         coalesce(nullif(regexp_extract(core, '[0-9]{{6,8}}'), '')[1:6], '-') AS month FROM p""",
     "path_cleaning": f"""WITH {RAW}, odd AS (
-        SELECT CASE WHEN length % 3 = 0 THEN path || '//' ELSE path END AS path FROM raw)
+        SELECT CASE WHEN contains(path, '/model/') THEN path || '//' ELSE path END AS path FROM raw)
       SELECT path, {bare('path')} AS bare, rtrim(path, '/') AS norm,
         {bare('path')} AS based,
         CASE WHEN starts_with({bare('path')}, '/project/abcd/') THEN {bare('path')}
@@ -431,12 +435,11 @@ ORACLE: dict[str, str] = {
       SELECT DISTINCT path FROM inv WHERE mtime < TIMESTAMP '{NOW}' - INTERVAL 1500 DAY
         AND path NOT IN (SELECT full_path FROM hit)""",
     "safe_path_rows": f"""WITH {INV} SELECT path, count(*) AS lines FROM inv
-      WHERE length % 11 > 3 AND path <> '/data/keep' GROUP BY path""",
+      WHERE NOT regexp_matches(path, '/(model|alert|feed|process)/') GROUP BY path""",
     "merged_exclusions": f"WITH {INV}, {EXCL}, {MANY} SELECT path FROM excl UNION SELECT path FROM many",
-    "cycle_dates": """SELECT strftime(o_orderdate, '%Y-%m-%d') AS cycle_date, count(*) AS directories
-      FROM orders WHERE o_orderkey % 10 > 1 GROUP BY 1""",
-    "cycle_status": f"""WITH n AS (SELECT min(o_orderdate) AS d FROM orders
-        WHERE o_orderkey % 10 > 1 AND o_orderdate >= DATE '{CYCLE_NOW[:10]}'),
+    "cycle_dates": f"""WITH {CYCLES} SELECT strftime(d, '%Y-%m-%d') AS cycle_date, count(*) AS directories
+      FROM cycles WHERE d IS NOT NULL GROUP BY 1""",
+    "cycle_status": f"""WITH {CYCLES}, n AS (SELECT min(d) AS d FROM cycles WHERE d >= DATE '{CYCLE_NOW[:10]}'),
       l AS (SELECT d, CAST(floor((epoch(d) - epoch(TIMESTAMP '{CYCLE_NOW}')) / 86400.0) AS BIGINT) AS days_left FROM n)
       SELECT strftime(d, '%Y-%m-%d') AS cycle_date, days_left,
         CASE WHEN d IS NULL THEN 'schedule' WHEN days_left <= 0 THEN 'delete' ELSE 'remind' END AS phase,
@@ -503,7 +506,7 @@ ORACLE: dict[str, str] = {
     "listing_file": f"""WITH {OLD_LISTED}
       SELECT path, is_dir, length, strftime(mtime, '%Y-%m-%d %H:%M') AS mtime FROM listing""",
     "path_list_file": f"WITH {INV}, {EXCL}, {MANY} SELECT path FROM excl UNION SELECT path FROM many",
-    "manifest_file": "SELECT url AS path FROM pages WHERE page_id % 5 > 1",
+    "manifest_file": "SELECT url AS path FROM pages WHERE NOT contains(url, 'page=1') AND NOT contains(url, '/fr/')",
     "size_line_file": f"WITH {SIZES} SELECT path, size FROM lines WHERE NOT starts_with(path, '/short')",
     "quota_file": f"WITH {QUOTA} {quota_columns('d')}",
     "size_report_file": f"""WITH {SPREAD}, {EXCL}

@@ -268,7 +268,7 @@ def path_parts(t):
 @query
 def path_cleaning(t):
     odd = t.inventory(raw=True).withColumn(
-        "path", F.when(F.col("length") % 3 == 0, F.concat("path", F.lit("//"))).otherwise(F.col("path"))
+        "path", F.when(F.col("path").contains("/model/"), F.concat("path", F.lit("//"))).otherwise(F.col("path"))
     )
     mounted = F.concat(F.lit("/mnt/project/abcdef"), strip_scheme("path"))
     return odd.select(
@@ -385,12 +385,13 @@ def final_list(t):
 
 @query
 def safe_path_rows(t):
+    path = F.col("path")
     odd = t.inventory().select(
-        F.when(F.col("length") % 11 == 0, F.lit(" / "))
-        .when(F.col("length") % 11 == 1, F.lit("   "))
-        .when(F.col("length") % 11 == 2, F.lit("."))
-        .when(F.col("length") % 11 == 3, F.lit("/data/keep"))
-        .otherwise(F.concat(F.lit("  "), F.col("path")))
+        F.when(path.contains("/model/"), F.lit(" / "))
+        .when(path.contains("/alert/"), F.lit("   "))
+        .when(path.contains("/feed/"), F.lit("."))
+        .when(path.contains("/process/"), F.lit("/data/keep"))
+        .otherwise(F.concat(F.lit("  "), path))
         .alias("path")
     )
     return safe_paths(odd, ("/data/keep",)).groupBy("path").agg(F.count("*").alias("lines"))
@@ -573,8 +574,8 @@ def path_list_file(t):
 def manifest_file(t):
     folder = scratch_folder(t.spark, "manifest")
     marked = t.urls().select(
-        F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("#"), "path"))
-        .when(F.col("page_id") % 5 == 1, F.lit(""))
+        F.when(F.col("path").contains("page=1"), F.concat(F.lit("#"), "path"))
+        .when(F.col("path").contains("/fr/"), F.lit(""))
         .otherwise(F.col("path"))
         .alias("path")
     )

@@ -55,6 +55,14 @@ def order_exclusion(day: str) -> str:
     return f"'/project/abcd/' || {TOP.format('o_orderkey')} || '/cd-' || {TEAM.format('o_custkey')} || '-lay/' || {day}"
 
 
+def cycle_name(day: str, year: str) -> str:
+    """Names of cycle directories, some with an impossible date or another prefix."""
+    return (
+        f"CASE o_orderpriority WHEN '1-URGENT' THEN 'scheduled_deletion_' || {year} || '1399' "
+        f"WHEN '2-HIGH' THEN 'scheduled_' || {day} ELSE 'scheduled_deletion_' || {day} END"
+    )
+
+
 VERSION_PARENT = "'/apps/' || p_brand"
 VERSION_NAME = (
     "CASE WHEN p_partkey % 17 = 0 THEN 'v' || p_size "
@@ -150,9 +158,9 @@ class Tables:
 
     @stored
     def many_exclusions(self) -> DataFrame:
-        """Date directories from `orders` and single files from the inventory."""
+        """Date directories from `orders` and the inventory's oldest files."""
         dirs = self.table("orders").selectExpr(f"{order_exclusion("date_format(o_orderdate, 'yyyyMMdd')")} AS path")
-        files = self.inventory().filter(F.col("length") % 13 == 0).select("path")
+        files = self.inventory().filter(F.col("mtime") < F.lit("1996-01-01").cast("timestamp_ntz")).select("path")
         return dirs.unionByName(files)
 
     @stored
@@ -187,35 +195,35 @@ class Tables:
 
     @stored
     def listing_lines(self) -> DataFrame:
-        """Recursive-listing text: files, a directory line for every ninth row, lines to skip."""
-        rows = self.inventory().withColumn("_k", F.col("length") % 9)
+        """Recursive-listing text: files, directory lines beside those of `model`, lines to skip."""
+        rows = self.inventory()
         files = rows.select(
             F.concat(
                 F.lit("-rw-r--r--   3 u g "),
                 F.col("length").cast("string"),
                 F.date_format("mtime", "' 'yyyy-MM-dd HH:mm' '"),
                 F.col("path"),
-                F.when(F.col("_k") == 1, F.lit(" copy 2")).otherwise(F.lit("")),
+                F.when(F.col("path").contains("/alert/"), F.lit(" copy 2")).otherwise(F.lit("")),
             ).alias("value")
         )
-        dirs = rows.filter(F.col("_k") == 0).select(
+        dirs = rows.filter(F.col("path").contains("/model/")).select(
             F.concat(
                 F.lit("drwxr-xr-x   - u g          0"),
                 F.date_format("mtime", "' 'yyyy-MM-dd HH:mm' '"),
                 F.regexp_replace("path", "/[^/]*$", ""),
             ).alias("value")
         )
-        odd = rows.filter(F.col("_k") == 2).select(
+        odd = rows.filter(F.col("path").endswith(".har")).select(
             F.concat(F.lit("-rw-r--r-- 3 u g 1 2022-99-01 00:00 "), F.col("path")).alias("value")
         )
-        short = rows.filter(F.col("_k") == 3).select(F.concat(F.lit("Found items "), F.col("path")).alias("value"))
+        short = rows.filter(F.col("path").endswith("_SUCCESS")).select(
+            F.concat(F.lit("Found items "), F.col("path")).alias("value")
+        )
         return files.unionByName(dirs).unionByName(odd).unionByName(short)
 
     def cycle_names(self) -> DataFrame:
         return self.table("orders").selectExpr(
-            "CASE WHEN o_orderkey % 10 = 0 THEN 'scheduled_deletion_' || date_format(o_orderdate, 'yyyy') || '1399' "
-            "WHEN o_orderkey % 10 = 1 THEN 'scheduled_' || date_format(o_orderdate, 'yyyyMMdd') "
-            "ELSE 'scheduled_deletion_' || date_format(o_orderdate, 'yyyyMMdd') END AS name"
+            f"{cycle_name("date_format(o_orderdate, 'yyyyMMdd')", "date_format(o_orderdate, 'yyyy')")} AS name"
         )
 
     def events(self, kind: str | None = None) -> DataFrame:
@@ -256,15 +264,15 @@ class Tables:
 
     @stored
     def tick_rows(self) -> DataFrame:
-        """Tick text columns; every third event comes twice."""
-        rows = self.events().selectExpr(
+        """Tick text columns; clicks come twice."""
+        columns = [
             "date_format(ts, 'yyyy-MM-dd') AS date_column",
             "date_format(ts, 'HH:mm:ss.SSS') AS time_column",
             "'U' || user_id AS sym",
             "CAST(event_id AS STRING) AS tick_id",
             "CAST(value AS STRING) AS price",
-        )
-        return rows.unionByName(rows.filter(F.col("tick_id").cast("bigint") % 3 == 0))
+        ]
+        return self.events().unionByName(self.events("click")).selectExpr(*columns)
 
     def urls(self) -> DataFrame:
         return self.table("pages").select("page_id", F.col("url").alias("path"))

@@ -62,9 +62,9 @@ def anti_join_by_directory(df: DataFrame, keys: DataFrame, depths: list[int], pa
     Sort-merge throughout: the sides have no bound, and adaptive execution splits the
     partitions of a prefix or directory that holds too much.
     """
-    norm = normalize(F.col(path))
+    norm = F.col("_norm")
     above = F.when(_pieces(norm) > 1, _prefix(norm, _pieces(norm) - 1))
-    rows = once(df, _norm=norm, _dir=above)
+    rows = once(once(df, _norm=normalize(F.col(path))), _dir=above)
     at_depths = [F.when(_pieces(F.col("_dir")) >= pieces, _prefix(F.col("_dir"), pieces)) for pieces in depths]
     dirs = rows.select("_dir").filter(F.col("_dir").isNotNull()).distinct()
     spread = dirs.select("_dir", F.explode_outer(F.array(*at_depths)).alias("_key")).filter(F.col("_key").isNotNull())
