@@ -10,7 +10,6 @@ from checks.views import (
     RIC,
     SIZE_PATH,
     SIZE_TEXT,
-    TEAM,
     VERSION_NAME,
     VERSION_PARENT,
     WINDOW_SECONDS,
@@ -159,12 +158,12 @@ QUOTA = f"""fields AS (
 
 def quota_columns(used: str) -> str:
     def percent(part: str, whole: str) -> str:
-        return f"CASE WHEN error OR {whole} = 0 THEN 0.0::DOUBLE ELSE round({part} / {whole}::DOUBLE * 100, 2) END"
+        return f"CASE WHEN error OR {whole} = 0 THEN 0.0::DOUBLE ELSE round({part} / {whole}::DOUBLE * 100, 2) + 0.0 END"
 
     columns = f"""location, CASE WHEN error THEN 0 ELSE a END AS ns_quota,
       CASE WHEN error THEN 0 ELSE a - b END AS ns_used, {percent('(a - b)', 'a')} AS ns_pct,
       CASE WHEN error THEN 0.0::DOUBLE ELSE round(c / {1024**4}::DOUBLE, 2) END AS space_quota_tb,
-      CASE WHEN error THEN 0.0::DOUBLE ELSE round({used} / {1024**4}::DOUBLE, 2) END AS space_used_tb,
+      CASE WHEN error THEN 0.0::DOUBLE ELSE round({used} / {1024**4}::DOUBLE, 2) + 0.0 END AS space_used_tb,
       {percent(used, 'c')} AS space_pct, error"""
     return f"SELECT *, ns_pct > 80 AS ns_alert, space_pct > 80 AS space_alert FROM (SELECT {columns} FROM marked)"
 

@@ -42,7 +42,6 @@ from stowline.operators.directories import (
     all_directory_sizes,
     directories,
     directories_at,
-    listed_sizes,
     tops_and_children,
 )
 from stowline.operators.filesystem import delete_paths, outcome_counts, safe_paths

@@ -153,7 +153,10 @@ def _walkable(listed: DataFrame) -> DataFrame:
 def outermost(roots: DataFrame) -> DataFrame:
     """Distinct roots that are not below another root, so that no tree is walked twice."""
     given = materialize(roots.select(normalize("path").alias("path")).distinct())
-    above = given.select("path", F.explode_outer(ancestors(parent("path"))).alias("outer"))
+    path = F.col("path")
+    over = ancestors(parent(path))
+    over = F.when(path.startswith("/"), F.concat(F.array(F.lit("/")), over)).otherwise(over)
+    above = given.filter(path != "/").select("path", F.explode_outer(over).alias("outer"))
     outer = joinable(given.select(F.col("path").alias("outer")))
     inner = materialize(above.join(outer, "outer", "left_semi").select("path").distinct())
     return given.join(joinable(inner), "path", "left_anti")

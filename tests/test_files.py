@@ -41,6 +41,14 @@ def test_tree_listing_takes_uris_and_nested_roots_once(spark, root):
     ]
 
 
+def test_only_the_outermost_roots_are_walked(spark):
+    given = ["/", "/a", "/a/b/", "hdfs://nn/x", "hdfs://nn/x/y", "hdfs://nn/xy"]
+    roots = spark.createDataFrame([(p,) for p in given], "path string")
+    assert sorted(r.path for r in inventory.outermost(roots).collect()) == ["/", "hdfs://nn/x", "hdfs://nn/xy"]
+    roots = spark.createDataFrame([("/a/b",), ("/a",), ("/ab",)], "path string")
+    assert sorted(r.path for r in inventory.outermost(roots).collect()) == ["/a", "/ab"]
+
+
 def test_pruned_subtrees_are_not_listed(spark, root):
     pruned = spark.createDataFrame([(f"{root}/a/",), (f"{root}/c/deep/er/f3",)], "path string")
     assert names(inventory.list_tree(spark, str(root), pruned), root) == {"b", "b/.hidden", "c", "c/deep", "c/deep/er", "empty"}

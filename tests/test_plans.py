@@ -1,9 +1,15 @@
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
-from stowline.fixed_values import KEY_FUNCTION, KEY_GROUP_SYMBOLS, KEY_MINUTES, KEY_SLOT_COUNT, KEY_SYMBOLS_PER_REQUEST, KEY_TEMPLATE
+from stowline.fixed_values import (
+    KEY_FUNCTION,
+    KEY_GROUP_SYMBOLS,
+    KEY_MINUTES,
+    KEY_SLOT_COUNT,
+    KEY_SYMBOLS_PER_REQUEST,
+    KEY_TEMPLATE,
+)
 from stowline.plans import cleanup, extraction, quota, retention, usage
 from stowline.sources.inventory import inventory_from_rows
 from stowline.sources.texts import listing_rows
