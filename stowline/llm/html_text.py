@@ -92,7 +92,7 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
         if not name:
             continue
         closing = page.startswith("</", found.start())
-        if name not in INLINE:
+        if name not in INLINE and name not in _RAW_END:
             if zone != "skip":
                 close_block()
         if closing:

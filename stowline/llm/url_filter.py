@@ -1,8 +1,9 @@
 """URL verdicts: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
 Everything runs as DataFrame functions and JVM-side trees. Features: lengths, depth, digit ratio, entropy of
-characters, parameter counts, and the blocked share of the host's suffixes among labelled URLs. Suffixes are hashed into
-`SUFFIX_BUCKETS` buckets, so the statistics, taken over all labelled URLs, are a table of bounded size.
+characters, parameter counts, and blocked shares among labelled URLs of the host's suffixes, alone and with the path's
+first segment. Suffixes are hashed into `SUFFIX_BUCKETS` buckets each, so the statistics, taken over all labelled URLs,
+are a table of bounded size.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stowline.llm.tables import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SUFFIX_BUCKETS = 4096
 TRAIN_ROWS = 20_000
@@ -22,7 +25,7 @@ _LEXICAL = (
     "url_length host_length path_length query_length path_depth host_depth digit_ratio host_digit_ratio hyphens host_hyphens "
     "entropy host_entropy parameters has_fragment is_https longest_label"
 ).split()
-_SUFFIXES = ("suffix_1", "suffix_2")
+_SUFFIXES = ("suffix_1", "suffix_2", "suffix_3", "segment", "suffix_1_segment", "suffix_3_segment")
 FEATURES = [*_LEXICAL, *(f"{name}_share" for name in _SUFFIXES)]
 
 
@@ -84,16 +87,18 @@ def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Colum
 def _with_features(urls: DataFrame, url: str) -> DataFrame:
     host, path = F.col("_host"), F.col("_path")
     made = {name: column.cast("double") for name, column in lexical_features(F.col(url), host, path).items()}
-    for labels, name in enumerate(_SUFFIXES, 1):
-        suffix = F.substring_index(host, ".", -labels)
-        made[name] = F.pmod(F.xxhash64(F.lit(labels), suffix), F.lit(SUFFIX_BUCKETS)).cast("int")
+    segment = F.substring_index(F.substring(path, 2, 1 << 30), "/", 1)
+    for name in _SUFFIXES:
+        parts = [F.substring_index(host, ".", -int(name[7]))] if name.startswith("suffix") else []
+        parts += [segment] if name.endswith("segment") else []
+        made[name] = F.pmod(F.xxhash64(F.lit(name), *parts), F.lit(SUFFIX_BUCKETS)).cast("int")
     return urls.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))}).withColumns(made)
 
 
 @dataclass
 class UrlModel:
     trees: GBTClassificationModel | None
-    statistics: dict[str, DataFrame]
+    statistics: DataFrame
     base: float
 
     def scored(self, urls: DataFrame, url: str) -> DataFrame:
@@ -105,14 +110,15 @@ class UrlModel:
         return self.trees.transform(vector).withColumn("score", vector_to_array("_probability")[1])
 
 
-def _with_shares(made: DataFrame, statistics: dict[str, DataFrame], base: float, own: Column | None) -> DataFrame:
+def _with_shares(made: DataFrame, statistics: DataFrame, base: float, own: Column | None) -> DataFrame:
     """Smoothed blocked shares of the suffix buckets; a labelled row's own label is left out of its shares."""
-    for name, table in statistics.items():
+    for name in _SUFFIXES:
+        table = statistics.filter(F.col("name") == name).select(F.col("bucket").alias(name), F.col("n").alias("_n"), F.col("blocked").alias("_blocked"))
         made = made.join(F.broadcast(table), name, "left")  # at most SUFFIX_BUCKETS rows
-        rows, blocked = F.coalesce(f"{name}_rows", F.lit(0)), F.coalesce(f"{name}_blocked", F.lit(0))
+        rows, blocked = F.coalesce("_n", F.lit(0)), F.coalesce("_blocked", F.lit(0.0))
         if own is not None:
             rows, blocked = rows - 1, blocked - own
-        made = made.withColumn(f"{name}_share", (blocked + base * PRIOR_ROWS) / (rows + PRIOR_ROWS))
+        made = made.withColumn(f"{name}_share", (blocked + base * PRIOR_ROWS) / (rows + PRIOR_ROWS)).drop("_n", "_blocked")
     return made
 
 
@@ -125,9 +131,9 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "blocked", train_row
     rows = labelled.filter(F.col(label).isin(0, 1)).select(url, F.col(label).cast("double").alias("label"))
     made = _with_features(rows, url)
     total, base = made.agg(F.count("*"), F.coalesce(F.avg("label"), F.lit(0.0))).first()
-    statistics = {
-        name: made.groupBy(name).agg(F.count("*").alias(f"{name}_rows"), F.sum("label").alias(f"{name}_blocked")) for name in _SUFFIXES
-    }
+    pairs = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.col(name).alias("bucket")) for name in _SUFFIXES)))
+    counted = made.select("label", pairs.alias("_pair")).groupBy("_pair.name", "_pair.bucket").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
+    statistics = stored(counted, "suffixes")
     if not 0 < base < 1:
         return UrlModel(None, statistics, base)
     share = min(1.0, train_rows / total)
