@@ -5,9 +5,12 @@
 2. Documents with one set are one class; its smallest id stands for it from here on.
 3. Candidates share a band. First every member of a bucket meets the bucket's centre only (a centre drawn per
    bucket, so a document meets several). Links found there merge groups of near copies, however large.
-4. Buckets that still hold more than one component meet in full, in blocks of bounded size inside the tasks:
-   pairs within one component or with set sizes too far apart are skipped, and only survivors are emitted.
-5. A candidate is compared batch by batch. After n positions with m equal, P(similarity >= threshold | m, n) under
+4. Buckets that still hold more than one component meet their best linked member in the same way: the text that copies
+   were made from is linked to all of them, though they may not be linked to each other.
+5. Buckets that still hold more than one component meet in full, in blocks of bounded size inside the tasks:
+   pairs within one component, with set sizes too far apart, or with an earlier band in common are skipped. The blocks'
+   survivors are verified block by block on sets sent once per block, so pairs never become joined rows.
+6. A candidate is compared batch by batch. After n positions with m equal, P(similarity >= threshold | m, n) under
    a uniform prior is a binomial tail; below `MISS` the pair is dropped. Survivors are verified on full sets.
 
 A pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6, less above it.
@@ -31,7 +34,7 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 BATCH = 32
 MISS = 1e-6
-BLOCK = 512
+BLOCK = 128
 
 _rng = np.random.default_rng(20240607)
 _FACTORS = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -155,52 +158,65 @@ def _pruned(pairs: DataFrame, signatures: DataFrame, kind: str) -> DataFrame:
     return pairs.select("a", "b", "_a", "_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, facts: DataFrame, key: str, text: str, kind: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, kind: str) -> DataFrame:
     """Stored pairs whose full sets reach the threshold. Only documents of some pair are read again."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [shingle_set(one).tobytes() for one in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["node", "_shingles"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for left, right in zip(batch.column(2), batch.column(3)):
                 one, other = np.frombuffer(left.as_py(), np.uint64), np.frombuffer(right.as_py(), np.uint64)
-                common = len(np.intersect1d(one, other, assume_unique=True))
-                good.append(100 * common >= PERCENT * (len(one) + len(other) - common))
+                good.append(reaches(one, other))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    needed = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
-    texts = docs.select(key, text).join(needed, key, "left_semi").mapInArrow(sets, f"node {kind}, _shingles binary")
-    # rows of one id count as one document: the one with the smallest set bytes stands for it
-    full = stored(texts.groupBy("node").agg(F.min("_shingles").alias("_shingles")), "sets")
+    full = _sets(docs, pairs.select("a").union(pairs.select("b")), key, text, kind)
     for side in "ab":
         pairs = pairs.join(full.select(F.col("node").alias(side), F.col("_shingles").alias(f"_{side}")), side)
     return stored(pairs.select("a", "b", "_a", "_b").mapInArrow(run, f"a {kind}, b {kind}"), "links")
 
 
+def reaches(one: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    common = int((one.take(np.searchsorted(one, other), mode="clip") == other).sum())
+    return 100 * common >= PERCENT * (len(one) + len(other) - common)
+
+
 def _close(one, other):
     """Sets so unlike in size cannot reach the threshold."""
     return 100 * F.least(one, other) >= PERCENT * F.greatest(one, other)
 
 
-def _rest(bands: DataFrame, found: DataFrame, signatures: DataFrame, kind: str) -> DataFrame:
-    """Surviving pairs (a, b) between different components of one bucket, met in bounded blocks.
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component, with their components as `_label`."""
+    labelled = members.join(found.withColumnRenamed("component", "_label"), "node", "left")
+    labelled = labelled.withColumn("_label", F.coalesce("_label", "node"))
+    mixed = labelled.groupBy("band").agg(F.count("*").alias("_n"), F.min("_label").alias("_low"), F.max("_label").alias("_high"))
+    # the centre has met all others, so two members have nothing left
+    mixed = mixed.filter((F.col("_n") > 2) & (F.col("_low") != F.col("_high"))).select("band")
+    return labelled.join(mixed, "band", "left_semi")
+
+
+def _best_linked(labelled: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's member with most links and its members in other components."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("_links"))
+    ranked = labelled.join(degree, "node", "left").withColumn("_links", F.coalesce("_links", F.lit(0)))
+    best = F.max(F.struct("_links", F.xxhash64("node").alias("h"), "node", "n_shingles", "_label"))
+    centres = ranked.groupBy("band").agg(best.alias("_c")).filter("_c._links > 0")
+    centres = centres.select("band", F.col("_c.node").alias("_centre"), F.col("_c.n_shingles").alias("_size"), F.col("_c._label").alias("_other"))
+    met = labelled.join(centres, "band").filter((F.col("_label") != F.col("_other")) & _close(F.col("n_shingles"), F.col("_size")))
+    return met.select(F.least("node", "_centre").alias("a"), F.greatest("node", "_centre").alias("b")).distinct()
+
+
+def _rest(labelled: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
+    """(cell, nodes, labels, left, right): the surviving pairs, as positions in `nodes`, of every block that has some.
 
     Set sizes fall into classes of ratio 4/3; a pair is at most one class apart, so a row joins the group of its
     class and that of the class below. A group of more than BLOCK rows is dealt by hash into parts, and every two
-    parts meet in a block of their own.
+    parts meet in a block of their own. A pair is taken up in the first band that it shares only.
     """
     least = least_matches()
-    labelled = bands.join(found.withColumnRenamed("component", "_label"), "node", "left")
-    labelled = labelled.withColumn("_label", F.coalesce("_label", "node"))
-    mixed = labelled.groupBy("band").agg(F.count("*").alias("_n"), F.min("_label").alias("_low"), F.max("_label").alias("_high"))
-    # the centre has met all others, so two members have nothing left
-    mixed = mixed.filter((F.col("_n") > 2) & (F.col("_low") != F.col("_high"))).select("band")
     size_class = F.floor(F.log(F.col("n_shingles")) / math.log(100 / PERCENT))
-    rows = labelled.join(mixed, "band", "left_semi").withColumn("_own", size_class)
+    rows = labelled.withColumn("_own", size_class)
     rows = rows.select("band", "node", "n_shingles", "_label", "_own", F.explode(F.array("_own", F.col("_own") - 1)).alias("_class"))
     counts = rows.groupBy("band", "_class").agg(F.count("*").alias("_n"), F.max(F.col("_own") == F.col("_class")).alias("_some"))
     counts = counts.filter((F.col("_n") > 1) & F.col("_some")).withColumn("_parts", F.ceil(F.col("_n") / BLOCK)).drop("_n", "_some")
@@ -210,20 +226,22 @@ def _rest(bands: DataFrame, found: DataFrame, signatures: DataFrame, kind: str)
         F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1),
         lambda other: F.struct(F.least(part, other).alias("i"), F.greatest(part, other).alias("j")),
     )
-    rows = rows.withColumn("_block", F.explode(blocks)).join(signatures, "node")
-    member = F.struct("node", "n_shingles", "_label", (F.col("_own") == F.col("_class")).alias("_own"), "_part", "_signature")
+    rows = rows.withColumn("_block", F.explode(blocks)).join(nodes.select("node", "_signature", "_bands"), "node")
+    member = F.struct("node", "n_shingles", "_label", (F.col("_own") == F.col("_class")).alias("_own"), "_part", "_signature", "_bands")
     groups = rows.groupBy("band", "_class", "_block").agg(F.collect_list(member).alias("_members"))  # at most about 2 * BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = [], []
-            for i, j, members in zip(*(batch.column(at).to_pylist() for at in (0, 1, 2))):
-                nodes = [member["node"] for member in members]
+            cells = []
+            for cell, band, i, j, members in zip(*(batch.column(at).to_pylist() for at in range(5))):
                 size = np.array([member["n_shingles"] for member in members])
                 own = np.array([member["_own"] for member in members])
                 part_of = np.array([member["_part"] for member in members])
                 _, label = np.unique([member["_label"] for member in members], return_inverse=True)
+                bands = np.array([member["_bands"] for member in members])
                 marks = np.frombuffer(b"".join(member["_signature"] for member in members), np.uint8).reshape(len(members), -1)
+                place = int(np.flatnonzero(bands[0] == band)[0])
+                left, right = [], []
                 for at in range(len(members) - 1):
                     other = np.arange(at + 1, len(members))
                     near = 100 * np.minimum(size[at], size[other]) >= PERCENT * np.maximum(size[at], size[other])
@@ -232,14 +250,69 @@ def _rest(bands: DataFrame, found: DataFrame, signatures: DataFrame, kind: str)
                         meet &= part_of[at] != part_of[other]
                     other = other[meet]
                     if len(other):
-                        for it in other[plausible(np.broadcast_to(marks[at], (len(other), marks.shape[1])), marks[other], least)]:
-                            left.append(min(nodes[at], nodes[it]))
-                            right.append(max(nodes[at], nodes[it]))
-            yield pa.RecordBatch.from_arrays([pa.array(left, batch_kind), pa.array(right, batch_kind)], ["a", "b"])
+                        other = other[~(bands[at, :place] == bands[other, :place]).any(axis=1)]
+                    if len(other):
+                        other = other[plausible(np.broadcast_to(marks[at], (len(other), marks.shape[1])), marks[other], least)]
+                        left += [at] * len(other)
+                        right += other.tolist()
+                if left:
+                    some, where = np.unique([left, right], return_inverse=True)
+                    where = where.reshape(2, -1).tolist()
+                    cells.append((cell, [members[at]["node"] for at in some], [members[at]["_label"] for at in some], *where))
+            columns = list(zip(*cells)) or [()] * 5
+            ids = pa.list_({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind])
+            kinds = (pa.int64(), ids, ids, pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, kinds)), ["cell", "nodes", "labels", "left", "right"])
+
+    cell = F.xxhash64("band", "_class", "_block.i", "_block.j").alias("cell")
+    return groups.select(cell, "band", "_block.i", "_block.j", "_members").mapInArrow(
+        run, f"cell long, nodes array<{kind}>, labels array<{kind}>, left array<int>, right array<int>"
+    )
+
+
+def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str, kind: str) -> DataFrame:
+    """(node, _shingles) of the needed documents, which are read again and stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [shingle_set(one).tobytes() for one in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["node", "_shingles"])
+
+    texts = docs.select(key, text).join(needed.toDF(key).distinct(), key, "left_semi")
+    # rows of one id count as one document: the one with the smallest set bytes stands for it
+    sets = texts.mapInArrow(run, f"node {kind}, _shingles binary").groupBy("node").agg(F.min("_shingles").alias("_shingles"))
+    return stored(sets, "sets")
+
+
+def _verified_cells(cells: DataFrame, docs: DataFrame, key: str, text: str, kind: str) -> DataFrame:
+    """Stored links (a, b) of stored cells. Within a cell, pairs that earlier links have joined are not verified again."""
+    sets = _sets(docs, cells.select(F.explode("nodes")), key, text, kind)
+    wanted = cells.select("cell", F.explode("nodes").alias("node"))
+    held = wanted.join(sets, "node").groupBy("cell").agg(F.collect_list(F.struct("node", "_shingles")).alias("_held"))  # at most 2 * BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for nodes, labels, left, right, sets_of in zip(*(batch.column(at).to_pylist() for at in range(5))):
+                shingles = {one["node"]: np.frombuffer(one["_shingles"], np.uint64) for one in sets_of}
+                root = {label: label for label in labels}
+
+                def top(label):
+                    while root[label] != label:
+                        label = root[label]
+                    return label
+
+                for at, it in zip(left, right):
+                    one, other = top(labels[at]), top(labels[it])
+                    if one != other and reaches(shingles[nodes[at]], shingles[nodes[it]]):
+                        root[other] = one
+                        links.append((nodes[at], nodes[it]))
+            columns = list(zip(*links)) or [(), ()]
+            ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+            yield pa.RecordBatch.from_arrays([pa.array(column, ids) for column in columns], ["a", "b"])
 
-    batch_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    met = groups.select("_block.i", "_block.j", "_members").mapInArrow(run, f"a {kind}, b {kind}")
-    return met.distinct()
+    joined = cells.join(held, "cell").select("nodes", "labels", "left", "right", "_held")
+    return stored(joined.mapInArrow(run, f"a {kind}, b {kind}"), "links")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,14 +339,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shared = stored(bands.join(buckets, "band"), "members")
     pairs = shared.filter((F.col("node") != F.col("_centre")) & _close(F.col("n_shingles"), F.col("_size")))
     pairs = pairs.select(F.least("node", "_centre").alias("a"), F.greatest("node", "_centre").alias("b")).distinct()
-    links = _verified(stored(_pruned(pairs, signatures, kind), "survivors"), docs, facts, key, text, kind)
+    links = _verified(stored(_pruned(pairs, signatures, kind), "survivors"), docs, key, text, kind)
     found = components(links)
-    rest = stored(_rest(shared.select("band", "node", "n_shingles"), found, signatures, kind), "survivors")
-    if not rest.isEmpty():
-        more = _verified(rest, docs, facts, key, text, kind)
+    members = shared.select("band", "node", "n_shingles")
+    for step in ("best linked", "rest"):
+        labelled = stored(_labelled(members, found), "mixed")
+        if labelled.isEmpty():
+            break
+        if step == "best linked":
+            survivors = stored(_pruned(_best_linked(labelled, links), signatures, kind), "survivors")
+            more = _verified(survivors, docs, key, text, kind)
+        else:
+            more = _verified_cells(stored(_rest(labelled, nodes, kind), "cells"), docs, key, text, kind)
         if not more.isEmpty():
-            found = components(links.union(more))
-    # a rep with no word set of its own class is not lost: classes keep their node
+            links = links.union(more)
+            found = components(links)
     owner = classes.join(found, "node", "left").select("_set", F.coalesce("component", "node").alias("_component"))
     joined = facts.select(key, "n_shingles", "_set").join(owner, "_set", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col(key))

@@ -67,7 +67,7 @@ def group(seed, copies, edits, size=60):
     return [" ".join(words) for words in out]
 
 
-@pytest.mark.parametrize("block", [512, 8])
+@pytest.mark.parametrize("block", [128, 8])
 def test_large_group_and_shared_passages(spark, monkeypatch, block):
     monkeypatch.setattr(near_dup, "BLOCK", block)
     rng = random.Random(5)
