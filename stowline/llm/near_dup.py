@@ -34,7 +34,7 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 BATCH = 32
 MISS = 1e-6
-BLOCK = 128
+BLOCK = 512
 
 _rng = np.random.default_rng(20240607)
 _FACTORS = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
