@@ -8,6 +8,7 @@ what the tokenizer gave for them. The bound limits memory only: a dropped chunk
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -61,6 +62,14 @@ class ChunkMemo:
         return self.young
 
 
+def byte_alphabet() -> list[str]:
+    """The printable character that byte-level BPE writes for each byte."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [byte for byte in range(256) if byte not in set(printable)]
+    shown = {byte: chr(byte) for byte in printable} | {byte: chr(256 + at) for at, byte in enumerate(others)}
+    return [shown[byte] for byte in range(256)]
+
+
 class IdEncoder:
     """Token ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit integers."""
 
@@ -69,11 +78,36 @@ class IdEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = ChunkMemo(self._chunks)
+        self.model = self.tokenizer.model
+        shown = byte_alphabet()
+        self.shown = {byte: shown[byte] for byte in range(256)}
+        self.memo = ChunkMemo(self._values)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _pre_token(self, text: str) -> bytes:
+        """The ids of one pre-token, by the library's model."""
+        # the space is the only ASCII character here that the byte alphabet writes differently
+        shown = text.replace(" ", self.shown[0x20]) if text.isascii() else text.encode().decode("latin-1").translate(self.shown)
+        tokens = self.model.tokenize(shown)
+        return struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
+
+    def _values(self, chunks: list[str]) -> list[bytes]:
+        """Most chunks are letters, or letters and one mark: one or two pre-tokens for certain. The rest goes to the tokenizer."""
+        out: list = [None] * len(chunks)
+        rest = []
+        for at, chunk in enumerate(chunks):
+            if chunk[1:].isalpha():
+                out[at] = self._pre_token(chunk)
+            elif chunk[-1] in ".," and chunk[1:-1].isalpha():
+                out[at] = self._pre_token(chunk[:-1]) + self._pre_token(chunk[-1])
+            else:
+                rest.append(at)
+        for at, ids in zip(rest, self._chunks([chunks[at] for at in rest])):
+            out[at] = ids
+        return out
+
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """Many chunks in one call; the tokens' character offsets tell them apart."""
         out: list[bytes] = []

@@ -16,15 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stowline.llm.chunks import WHITE, ChunkMemo, by_size, split_chunks
-
-
-def byte_alphabet() -> list[str]:
-    """The printable character that byte-level BPE writes for each byte."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [byte for byte in range(256) if byte not in set(printable)]
-    shown = {byte: chr(byte) for byte in printable} | {byte: chr(256 + at) for at, byte in enumerate(others)}
-    return [shown[byte] for byte in range(256)]
+from stowline.llm.chunks import WHITE, ChunkMemo, by_size, byte_alphabet, split_chunks
 
 
 class HeapMerger:
