@@ -240,7 +240,7 @@ def batched(size: int) -> str:
            FROM (SELECT DISTINCT ric FROM interest)),
  chunks AS (SELECT batch_id, list(ric ORDER BY ric) AS names FROM names GROUP BY batch_id),
  days AS (SELECT min(CAST(start_text[1:10] AS DATE)) AS low,
-                 max(CASE WHEN end_text <> 'bad' THEN CAST(end_text[1:10] AS DATE) END) AS high FROM interest)"""
+                 max(CASE WHEN end_text <> 'bad' THEN CAST(end_text[1:10] AS DATE) END) AS high FROM csv)"""
 
 
 DAY_END = "+ INTERVAL 1440 MINUTE - INTERVAL 1 MILLISECOND"
@@ -479,7 +479,7 @@ ORACLE: dict[str, str] = {
       SELECT CAST(day AS VARCHAR) AS day, {stamp('s')} AS start,
              {stamp("s + INTERVAL 7 MINUTE - INTERVAL 1 MILLISECOND")} AS "end" FROM slots""",
     "allday_requests": f"""WITH {batched(20)},
-      first AS (SELECT CAST(arg_min(start_text[1:10], row_key) AS TIMESTAMP) AS day FROM interest),
+      first AS (SELECT CAST(arg_min(start_text[1:10], row_key) AS TIMESTAMP) AS day FROM csv),
       slots AS (SELECT day + to_minutes(unnest(generate_series(0, 1439, 240))) AS s FROM first)
       SELECT batch_id, {request('s', 's + INTERVAL 240 MINUTE - INTERVAL 1 MILLISECOND', 'names')} AS request
       FROM chunks, slots""",
@@ -500,7 +500,7 @@ ORACLE: dict[str, str] = {
         || ';e:' || strftime(e, '%Y.%m.%d') || ';u:' || strftime(e, '%H:%M:%S.%g') || ';s:' || {quoted('names')}
         || ';again:' || strftime(s, '%Y%m%d') || ']' AS request FROM chunks, spans""",
     "interest_range": f"""WITH {batched(20)},
-      first AS (SELECT arg_min(start_text[1:10], row_key) AS day FROM interest)
+      first AS (SELECT arg_min(start_text[1:10], row_key) AS day FROM csv)
       SELECT CAST(low AS VARCHAR) AS start_day, CAST(high AS VARCHAR) AS end_day, day AS first_day FROM days, first""",
     "listing_file": f"""WITH {OLD_LISTED}
       SELECT path, is_dir, length, strftime(mtime, '%Y-%m-%d %H:%M') AS mtime FROM listing""",

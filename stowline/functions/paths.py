@@ -34,6 +34,11 @@ def normalize(path: Column | str) -> Column:
     return F.when(path.endswith("/"), trimmed).otherwise(path)
 
 
+def identity(path: Column | str) -> Column:
+    """What two spellings of one path share: no scheme, host or trailing slash. Used wherever a path protects another."""
+    return normalize(strip_scheme(path))
+
+
 def depth(path: Column | str) -> Column:
     """Number of components of a normalized absolute path; the root has none."""
     path = _col(path)

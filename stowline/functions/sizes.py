@@ -18,11 +18,16 @@ def _cases(branches: list[tuple[Column, Column]], last: Column) -> Column:
 
 
 def parse_size(text: Column, base: int = 1024) -> Column:
-    """`"1.5 GB"` -> whole bytes, cut down; anything malformed is 0."""
+    """`"1.5 GB"` -> whole bytes, cut down; anything malformed is 0.
+
+    A well-formed size beyond a 64-bit count is an error, so that no total loses it silently.
+    """
     factors = F.create_map(*[F.lit(item) for power, name in enumerate(_UNITS) for item in (name, float(base**power))])
     number = F.regexp_extract(text, _SIZE, 1).try_cast("double")
     factor = F.try_element_at(factors, F.upper(F.regexp_extract(text, _SIZE, 2)))
-    return F.coalesce((number * factor).try_cast("bigint"), F.lit(0).cast("bigint"))
+    size = number * factor
+    too_large = F.raise_error(F.concat(F.lit("size beyond 64 bits: "), text)).cast("bigint")
+    return F.when(size.isNull(), F.lit(0)).when(F.abs(size) >= F.lit(2.0**63), too_large).otherwise(size.try_cast("bigint"))
 
 
 def format_binary(size: Column) -> Column:

@@ -16,9 +16,9 @@ from stowline.fixed_values import (
     DELETED_DIRECTORY,
     DELETED_FILE,
 )
-from stowline.functions.paths import is_under
+from stowline.functions.paths import identity, is_under
 from stowline.session import materialize
-from stowline.sources.inventory import open_path, spread_tasks
+from stowline.sources.inventory import open_path, qualified, qualify, spread_tasks
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -81,9 +81,14 @@ def delete_paths(
     A retried task finds earlier deletes as missing. Only paths strictly below
     `allowed_root` and without `..` are touched.
     """
-    root = allowed_root.rstrip("/")
+    spark = paths.sparkSession
+    root = qualify(spark, allowed_root).rstrip("/")
+    safe = safe_paths(paths.select("path"), protected)
+    # protected paths are met under any spelling; bare paths belong to the cluster's default file system
+    safe = safe.filter(~identity("path").isin("/", *(path.rstrip("/") or "/" for path in protected)))
+    safe = safe.withColumn("path", qualified(spark, "path"))
     inside = is_under("path", root) & (F.rtrim("path", F.lit("/")) != root) & ~F.col("path").rlike("(^|/)[.][.](/|$)")
-    listed = materialize(safe_paths(paths.select("path"), protected).withColumn("allowed", inside))
+    listed = materialize(safe.withColumn("allowed", inside))
     spread = spread_tasks(listed, listed.count())
     return materialize(spread.mapInPandas(_delete_job(dry_run), "path string, status string"))
 

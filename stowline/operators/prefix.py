@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stowline.functions.paths import normalize
+from stowline.functions.paths import identity
 from stowline.functions.staging import once
 from stowline.session import materialize
 
@@ -23,9 +23,12 @@ def _prefix(text: Column, pieces: Column | int) -> Column:
 
 
 def exclusion_keys(exclusions: DataFrame, column: str = "path") -> DataFrame:
-    """Distinct normalized exclusions with their piece count, stored; the root is the empty first piece."""
+    """Distinct exclusions by path identity with their piece count, stored; the root is the empty first piece.
+
+    Schemes and hosts are left out on both sides: a bare exclusion protects qualified paths and the other way round.
+    """
     trimmed = exclusions.select(F.trim(F.col(column)).alias("_key")).filter(F.col("_key") != "")
-    norm = trimmed.select(normalize("_key").alias("_key"))
+    norm = trimmed.select(identity("_key").alias("_key"))
     keys = norm.select(F.when(F.col("_key") == "/", F.lit("")).otherwise(F.col("_key")).alias("_key"))
     return materialize(keys.distinct().withColumn("_pieces", _pieces(F.col("_key"))))
 
@@ -48,7 +51,7 @@ def anti_join_by_depth(df: DataFrame, keys: DataFrame, depths: list[int], path:
 
     The depths must come from the small part of `split_depths`, which bounds their keys.
     """
-    out = once(df, _norm=normalize(F.col(path)))
+    out = once(df, _norm=identity(path))
     for pieces in depths:
         at_depth = keys.filter(F.col("_pieces") == pieces).select("_key")
         out = out.join(F.broadcast(at_depth), _prefix(F.col("_norm"), pieces) == F.col("_key"), "left_anti")
@@ -64,7 +67,7 @@ def anti_join_by_directory(df: DataFrame, keys: DataFrame, depths: list[int], pa
     """
     norm = F.col("_norm")
     above = F.when(_pieces(norm) > 1, _prefix(norm, _pieces(norm) - 1))
-    rows = once(once(df, _norm=normalize(F.col(path))), _dir=above)
+    rows = once(once(df, _norm=identity(path)), _dir=above)
     at_depths = [F.when(_pieces(F.col("_dir")) >= pieces, _prefix(F.col("_dir"), pieces)) for pieces in depths]
     dirs = rows.select("_dir").filter(F.col("_dir").isNotNull()).distinct()
     spread = dirs.select("_dir", F.explode_outer(F.array(*at_depths)).alias("_key")).filter(F.col("_key").isNotNull())

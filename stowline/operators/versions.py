@@ -9,8 +9,12 @@ from stowline.functions.paths import file_name, parent
 
 
 def version_key(name: Column) -> Column:
-    """Numbers of a version name in order; arrays compare element by element, shorter first."""
-    return F.split(name, "[.]").try_cast("array<decimal(38,0)>")
+    """Numbers of a version name in order; arrays compare element by element, shorter first.
+
+    A number of any length is its count of digits, then the digits, without leading zeros.
+    """
+    digits = F.transform(F.split(name, "[.]"), lambda part: F.ltrim(part, F.lit("0")))
+    return F.transform(digits, lambda part: F.struct(F.length(part).alias("length"), part.alias("digits")))
 
 
 def version_directories(inventory: DataFrame) -> DataFrame:

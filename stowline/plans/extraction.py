@@ -60,6 +60,7 @@ def slot_requests(raw: DataFrame, minutes: int | None = None, symbols_per_reques
     step = interval_minutes(minutes, SLOT_MINUTES)
     batches = symbol_batches(raw, symbols_per_request)
     slots = day_slots(batches, first_day(raw).scalar(), step)
+    slots = slots.filter(F.col("start").isNotNull())  # no readable day, no request
     return slots.withColumn("request", request_text(F.col("start"), F.col("end"), F.col("syms")))
 
 
@@ -73,6 +74,7 @@ def _day_batches(raw: DataFrame, minutes: int, symbols_per_request: int, all_day
     start = day_start(F.col("day"))
     return (
         batches.select("batch_id", "syms", F.posexplode(days).alias("day_no", "day"))
+        .filter(F.col("day").isNotNull())  # no readable day, no request
         .withColumn("start", start)
         .withColumn("end", slot_end(F.col("start"), minutes))
     )

@@ -93,6 +93,7 @@ def cycle_job(
     versioned: str | None = None,
     days: int = OLD_DISTRIBUTED_DAYS,
     dry_run: bool = True,
+    protected: tuple[str, ...] = (),
 ) -> tuple[str, DataFrame | None]:
     """One run of the deletion cycle: (phase, scheduled paths or delete statuses or nothing).
 
@@ -119,4 +120,4 @@ def cycle_job(
     final = cleanup.final_list(scheduled, *lists)
     write_path_list(final, f"{place}/final_deletion_list_{day}.txt")
     written = texts.path_list_or_empty(spark, f"{place}/final_deletion_list_{day}.txt")
-    return status.phase, cleanup.delete_paths(written, allowed_root, dry_run)
+    return status.phase, cleanup.delete_paths(written, allowed_root, dry_run, protected)

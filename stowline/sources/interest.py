@@ -16,13 +16,20 @@ def _clean_ric(text: Column) -> Column:
 
 
 def raw_interest(rows: DataFrame, ric: str, start: str, end: str, key: Column | None = None) -> DataFrame:
-    """(row_key, ric, start_text, end_text) of the rows with a symbol; `row_key` follows file order."""
+    """(row_key, ric, start_text, end_text) of all rows: dates are read from rows without a symbol too.
+
+    `row_key` follows the order of rows within a file.
+    """
     return rows.select(
         (F.monotonically_increasing_id() if key is None else key).alias("row_key"),
         _clean_ric(F.col(ric)).alias("ric"),
         F.trim(F.col(start)).alias("start_text"),
         F.trim(F.col(end)).alias("end_text"),
-    ).filter(F.col("ric").isNotNull() & (F.col("ric") != ""))
+    )
+
+
+def _with_symbol(raw: DataFrame) -> DataFrame:
+    return raw.filter(F.col("ric").isNotNull() & (F.col("ric") != ""))
 
 
 def read_raw_interest(spark: SparkSession, path: str) -> DataFrame:
@@ -42,14 +49,14 @@ def parsed(raw: DataFrame) -> DataFrame:
 
 
 def interest_windows(raw: DataFrame) -> DataFrame:
-    """Rows with two readable ends."""
-    ready = parsed(raw).filter(F.col("start").isNotNull() & F.col("end").isNotNull())
+    """Rows with a symbol and two readable ends."""
+    ready = parsed(_with_symbol(raw)).filter(F.col("start").isNotNull() & F.col("end").isNotNull())
     return ready.select("row_key", "ric", "start", "end")
 
 
 def rejected_interest(raw: DataFrame) -> DataFrame:
     """Rows that `interest_windows` leaves out because an end is unreadable."""
-    bad = parsed(raw).filter(F.col("start").isNull() | F.col("end").isNull())
+    bad = parsed(_with_symbol(raw)).filter(F.col("start").isNull() | F.col("end").isNull())
     return bad.select("row_key", "ric", "start_text", "end_text")
 
 

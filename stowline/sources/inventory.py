@@ -7,9 +7,9 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from stowline.functions.paths import ancestors, normalize, parent
+from stowline.functions.paths import ancestors, identity, normalize, parent
 from stowline.operators.prefix import exclude_below, exclusion_keys
 from stowline.session import joinable, materialize
 
@@ -92,10 +92,21 @@ def _list_job(rows_of):
 
 
 def qualify(spark: SparkSession, path: str) -> str:
-    """Put the cluster's default file system before a bare path when one is configured."""
-    default = spark.conf.get("spark.hadoop.fs.defaultFS", "") or ""
-    is_bare = path.startswith("/") and default and not default.startswith("file:")
-    return default.rstrip("/") + path if is_bare else path
+    """Put the cluster's default file system before a bare path, unless it is the local one."""
+    return default_file_system(spark) + path if path.startswith("/") else path
+
+
+def default_file_system(spark: SparkSession) -> str:
+    """The default file system of the Hadoop configuration; empty when it is local."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or ""
+    return "" if default.startswith("file:") else default.rstrip("/")
+
+
+def qualified(spark: SparkSession, path: Column | str) -> Column:
+    """`qualify` for a column."""
+    column = F.col(path) if isinstance(path, str) else path
+    default = default_file_system(spark)
+    return F.when(column.startswith("/"), F.concat(F.lit(default), column)).otherwise(column) if default else column
 
 
 def spread_tasks(paths: DataFrame, rows: int) -> DataFrame:
@@ -119,7 +130,7 @@ def list_tree(
     unreadable directory gives a row with `error` set.
     """
     if isinstance(roots, DataFrame):
-        frontier = outermost(roots)
+        frontier = outermost(roots.withColumn("path", qualified(spark, "path")))
     else:
         given = [roots] if isinstance(roots, str) else list(roots)
         rows = [(qualify(spark, path),) for path in given]
@@ -128,7 +139,7 @@ def list_tree(
     if pruned is not None:
         frontier = exclude_below(frontier, pruned)
         # nothing below an excluded directory is visited, so equality is enough from here on
-        closed = joinable(exclusion_keys(pruned).select(F.col("_key").alias("path")))
+        closed = joinable(exclusion_keys(pruned).select("_key"))
     jobs = _list_job(_roots), _list_job(_children)
     own = materialize(spread_tasks(frontier, frontier.count()).mapInPandas(jobs[0], INVENTORY))
     found = own.filter(F.col("error").isNotNull() | (F.col("is_dir") & F.lit(with_roots)))
@@ -139,7 +150,7 @@ def list_tree(
             break
         listed = spread_tasks(frontier, waiting).mapInPandas(jobs[1], INVENTORY)
         if closed is not None:
-            listed = listed.join(closed, "path", "left_anti")
+            listed = listed.join(closed, identity("path") == F.col("_key"), "left_anti")
         listed = materialize(listed)
         found = found.unionByName(listed)
         frontier, level = _walkable(listed), level + 1
