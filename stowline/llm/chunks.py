@@ -1,7 +1,7 @@
 """Byte-level BPE pieces of a text, remembered per Python worker.
 
 A space after a character that is not white space always begins a new pre-token, so a text falls
-into chunks there, each tokenized without its neighbours. Most chunks repeat; a bounded memo keeps
+into chunks there, each tokenized without its neighbours. So does a line break between two such characters. Most chunks repeat; a bounded memo keeps
 what the tokenizer gave for them. The bound limits memory only: a dropped chunk is worked out again.
 """
 
@@ -16,15 +16,23 @@ import numpy as np
 
 # White space as the byte-level pre-tokenizer sees it (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_LOOSE_SPACE = re.compile(f"[{WHITE}] ")
+_WIDE_SPACE = re.compile(f"[{WHITE}]{{2}}|^\n|[{WHITE}]\\Z")
 _BREAK = re.compile(f"(?<=[^{WHITE}]) ")
 MEMO_ENTRIES = 300_000
 _JOINED_CHARS = 200_000
 
 
 def split_chunks(text: str) -> list[str]:
-    """The chunks; each but the first stands for itself with one space before it."""
-    return _BREAK.split(text) if _LOOSE_SPACE.search(text) else text.split(" ")
+    """The chunks; `spelled` tells what each but the first stands for."""
+    if not _WIDE_SPACE.search(text):
+        return text.replace("\n", " \n").split(" ")
+    first, *rest = _BREAK.split(text)
+    return [first, *(" " + chunk for chunk in rest)]
+
+
+def spelled(chunk: str) -> str:
+    """The text of a chunk after the first: the space before it is left out unless the chunk begins with white space itself."""
+    return chunk if chunk[0] in "\n " else " " + chunk
 
 
 def by_size(texts: Iterable[str | None], chars: int = 1_000_000) -> Iterator[list[str]]:
@@ -58,7 +66,7 @@ class ChunkMemo:
         known = {chunk: self.old[chunk] for chunk in absent if chunk in self.old}
         self.young.update(known)
         missing = [chunk for chunk in absent if chunk not in known]
-        self.young.update(zip(missing, self.compute([" " + chunk for chunk in missing])))
+        self.young.update(zip(missing, self.compute([spelled(chunk) for chunk in missing])))
         return self.young
 
 
@@ -81,6 +89,7 @@ class IdEncoder:
         self.model = self.tokenizer.model
         shown = byte_alphabet()
         self.shown = {byte: shown[byte] for byte in range(256)}
+        self.line_break = self._whole("\n")
         self.memo = ChunkMemo(self._values)
 
     def _whole(self, text: str) -> bytes:
@@ -98,10 +107,15 @@ class IdEncoder:
         out: list = [None] * len(chunks)
         rest = []
         for at, chunk in enumerate(chunks):
-            if chunk[1:].isalpha():
-                out[at] = self._pre_token(chunk)
-            elif chunk[-1] in ".," and chunk[1:-1].isalpha():
-                out[at] = self._pre_token(chunk[:-1]) + self._pre_token(chunk[-1])
+            body = chunk[1:-1] if chunk[-1] in ".," else chunk[1:]
+            if body.isalpha():
+                if chunk[0] == "\n":
+                    ids = self.line_break + self._pre_token(body)
+                elif (ids := self.memo.young.get(body)) is None:
+                    ids = self._pre_token(" " + body)
+                out[at] = ids + self._pre_token(chunk[-1]) if chunk[-1] in ".," else ids
+            elif chunk[-1] in WHITE:
+                out[at] = self._whole(chunk)  # its white space would join that of the next chunk
             else:
                 rest.append(at)
         for at, ids in zip(rest, self._chunks([chunks[at] for at in rest])):

@@ -38,6 +38,13 @@ def test_any_text_like_the_library(text):
     assert np.frombuffer(next(id_encoder(FILE).encode_all([text])), "<u4").tolist() == ids(text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=10).map("".join), max_size=6))
+def test_texts_of_one_group_do_not_touch(texts):
+    assert list(counter(FILE).count_all(texts)) == [len(ids(text)) for text in texts]
+    assert [np.frombuffer(one, "<u4").tolist() for one in id_encoder(FILE).encode_all(texts)] == [ids(text) for text in texts]
+
+
 def test_long_pre_token():
     text = "ab" * 20000
     assert counter(FILE).merger.count(text) == len(ids(text))
