@@ -18,7 +18,7 @@ import numpy as np
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _WIDE_SPACE = re.compile(f"[{WHITE}]{{2}}|^\n|[{WHITE}]\\Z")
 _BREAK = re.compile(f"(?<=[^{WHITE}]) ")
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 500_000
 _JOINED_CHARS = 200_000
 
 
