@@ -168,14 +168,13 @@ def quota_columns(used: str) -> str:
     return f"SELECT *, ns_pct > 80 AS ns_alert, space_pct > 80 AS space_alert FROM (SELECT {columns} FROM marked)"
 
 
-def interest(kind: str | None = "signup") -> str:
-    where = f"WHERE event_type = '{kind}'" if kind else ""
+def interest() -> str:
     iso = "'%Y-%m-%dT%H:%M:%S.%gZ'"
     return f"""csv AS (
   SELECT event_id AS row_key, replace(trim({RIC}), '"', '') AS ric, strftime(ts, {iso}) AS start_text,
          CASE WHEN event_id % 41 = 0 THEN 'bad'
               ELSE strftime(ts + to_seconds({WINDOW_SECONDS}), {iso}) END AS end_text
-  FROM events {where}),
+  FROM events),
  interest AS (SELECT * FROM csv WHERE ric <> ''),
  wins AS (
   SELECT row_key, ric, strptime(start_text, {iso}) AS s, strptime(end_text, {iso}) AS e
@@ -235,7 +234,7 @@ def request(start: str, end: str, names: str) -> str:
 
 
 def batched(size: int) -> str:
-    return f"""{interest(None)},
+    return f"""{interest()},
  names AS (SELECT ric, (row_number() OVER (ORDER BY ric) - 1) // {size} AS batch_id
            FROM (SELECT DISTINCT ric FROM interest)),
  chunks AS (SELECT batch_id, list(ric ORDER BY ric) AS names FROM names GROUP BY batch_id),
@@ -447,7 +446,7 @@ ORACLE: dict[str, str] = {
     "exact_lookup": f"""WITH {INV}, {MANY} SELECT DISTINCT path AS term FROM many
       WHERE path IN (SELECT path FROM inv)""",
     "quota_report": f"WITH {QUOTA} {quota_columns('d')}",
-    "quota_remaining": f"WITH {QUOTA} SELECT * FROM ({quota_columns('(c - d)')}) WHERE NOT error",
+    "quota_remaining": f"WITH {QUOTA} {quota_columns('(c - d)')}",
     "tick_filter": f"""WITH {TICKS}, {interest()}
       SELECT DISTINCT date_column, time_column, sym, tick_id, price, {stamp('ts')} AS ts
       FROM ticks JOIN wins ON sym = ric AND ts BETWEEN s AND e""",
@@ -516,7 +515,7 @@ ORACLE: dict[str, str] = {
       SELECT *, {binary('total_size_bytes')} AS size_human FROM g""",
     "interest_file": f"""WITH {interest()}
       SELECT ric, {stamp('s')} AS start, {stamp('e')} AS "end", 2 * count(*) AS rows FROM wins GROUP BY 1, 2, 3""",
-    "interest_rejects": f"WITH {interest(None)} SELECT * FROM interest WHERE end_text = 'bad'",
+    "interest_rejects": f"WITH {interest()} SELECT * FROM interest WHERE end_text = 'bad'",
     "tick_file": f"WITH {TICKS} SELECT * REPLACE ({stamp('ts')} AS ts) FROM ticks",
     "request_file": f"""WITH RECURSIVE {ALL_WINDOWS}, {packed(5, 20)}
       SELECT {request('s', 'e', 'names')} AS value FROM batches""",
@@ -540,5 +539,8 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT path, 'Error: outside the allowed root' FROM gone
       UNION ALL SELECT path, 'Error: outside the allowed root' FROM gone""",
     "purge_markers": "SELECT 'File Deleted (Skip Trash)' AS status, CAST(1 AS BIGINT) AS paths",
-    "outcome_count": f"WITH {INV}, {MANY} SELECT 'File Not Found' AS status, count(*) AS paths FROM many",
+    "outcome_count": f"""WITH {TREE}, {EXCL}, {MANY}, dirs AS (SELECT top FROM tree UNION SELECT top || '/' || team FROM tree)
+      SELECT 'File Not Found' AS status, count(*) AS paths FROM many
+      UNION ALL SELECT 'Directory Would Be Deleted', count(*) FROM dirs
+      UNION ALL SELECT 'Error: outside the allowed root', count(*) FROM excl""",
 }

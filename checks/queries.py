@@ -434,7 +434,7 @@ def quota_report(t):
 
 @query
 def quota_remaining(t):
-    return quota.quota_report(t.quota_lines(), fourth_field="remaining").filter(~F.col("error"))
+    return quota.quota_report(t.quota_lines(), fourth_field="remaining")
 
 
 # ---- ticks -------------------------------------------------------------------
@@ -505,7 +505,7 @@ def window_requests_by_start(t):
 
 @query
 def sym_batches(t):
-    batches = symbol_batches(t.raw_interest(None), 20)
+    batches = symbol_batches(t.raw_interest(), 20)
     return batches.select("batch_id", F.array_join("syms", ",").alias("syms"))
 
 
@@ -517,31 +517,31 @@ def slot_grid(t):
 
 @query
 def allday_requests(t):
-    return extraction.slot_requests(t.raw_interest(None), 240).select("batch_id", "request")
+    return extraction.slot_requests(t.raw_interest(), 240).select("batch_id", "request")
 
 
 @query
 def endpoint_day_requests(t):
-    return extraction.endpoint_day_requests(t.raw_interest(None)).select("batch_id", "day_no", "request")
+    return extraction.endpoint_day_requests(t.raw_interest()).select("batch_id", "day_no", "request")
 
 
 @query
 def all_day_requests(t):
-    requests = extraction.endpoint_day_requests(t.raw_interest(None), all_days=True)
+    requests = extraction.endpoint_day_requests(t.raw_interest(), all_days=True)
     return requests.select("batch_id", "day_no", "request")
 
 
 @query
 def templated_requests(t):
-    return extraction.templated_requests(t.raw_interest(None), TEMPLATE_SETTINGS).select(
+    return extraction.templated_requests(t.raw_interest(), TEMPLATE_SETTINGS).select(
         "batch_id", "day_no", "request"
     )
 
 
 @query
 def interest_range(t):
-    days = extraction.interest_range(t.raw_interest(None))
-    first = extraction.first_day(t.raw_interest(None)).scalar()
+    days = extraction.interest_range(t.raw_interest())
+    first = extraction.first_day(t.raw_interest()).scalar()
     return days.select(
         F.date_format("start_day", "yyyy-MM-dd").alias("start_day"),
         F.date_format("end_day", "yyyy-MM-dd").alias("end_day"),
@@ -629,7 +629,7 @@ def interest_file(t):
 
 @query
 def interest_rejects(t):
-    return interest.rejected_interest(t.raw_interest(None))
+    return interest.rejected_interest(t.raw_interest())
 
 
 @query
@@ -744,5 +744,8 @@ def purge_markers(t):
 
 @query
 def outcome_count(t):
-    gone = t.many_exclusions().select(F.concat(F.lit("/gone"), "path").alias("path"))
-    return outcome_counts(delete_paths(gone, "/gone", dry_run=True))
+    folder = _local(_tree(t))
+    there = inventory.list_tree(t.spark, folder, max_depth=2).filter(F.col("is_dir")).select("path")
+    gone = t.many_exclusions().select(F.concat(F.lit(f"{folder}/gone"), "path").alias("path"))
+    outside = t.exclusions().select("path")
+    return outcome_counts(delete_paths(there.unionByName(gone).unionByName(outside), folder, dry_run=True))

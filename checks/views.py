@@ -240,15 +240,12 @@ class Tables:
             f"CAST(ts AS TIMESTAMP) + make_dt_interval(0, 0, 0, {WINDOW_SECONDS}) AS end",
         )
 
-    def interest_csv(self, kind: str | None = "signup") -> DataFrame:
-        """Interest rows as CSV columns, with quoted, blank and unreadable fields."""
-        return self._interest_csv(kind)
-
     @stored
-    def _interest_csv(self, kind: str | None) -> DataFrame:
+    def interest_csv(self) -> DataFrame:
+        """An interest row per event as CSV columns, with quoted, blank and unreadable fields."""
         end = f"ts + make_dt_interval(0, 0, 0, {WINDOW_SECONDS})"
         iso = "yyyy-MM-dd''T''HH:mm:ss.SSS''Z''"
-        return self.events(kind).selectExpr(
+        return self.events().selectExpr(
             "event_type AS c0",
             "event_id AS c1",
             f"{RIC} AS RIC",
@@ -258,8 +255,8 @@ class Tables:
             f"CASE WHEN event_id % 41 = 0 THEN 'bad' ELSE date_format({end}, '{iso}') END AS Execution_End_Time",
         )
 
-    def raw_interest(self, kind: str | None = "signup") -> DataFrame:
-        rows = self.interest_csv(kind)
+    def raw_interest(self) -> DataFrame:
+        rows = self.interest_csv()
         return raw_interest(rows, "RIC", "Execution_Start_Time", "Execution_End_Time", F.col("c1"))
 
     @stored

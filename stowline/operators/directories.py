@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stowline.fixed_values import SIZE_INVALID
 from stowline.functions.paths import ancestor, ancestors, depth, is_under, normalize, parent, strip_scheme
 from stowline.functions.staging import once
+from stowline.session import joinable, materialize
 
 
 def _owned(inventory: DataFrame, base: str | None = None) -> DataFrame:
@@ -65,11 +66,16 @@ def all_directory_sizes(inventory: DataFrame) -> DataFrame:
 
 
 def listed_sizes(inventory: DataFrame, listed: DataFrame, column: str = "path") -> DataFrame:
-    """(path, size_bytes, status) for every listed line, repeats kept; unknown directories are invalid."""
-    # one row per directory of the inventory has no bound, so it is never broadcast
-    sizes = all_directory_sizes(inventory).withColumnRenamed("path", "_dir").hint("merge")
+    """(path, size_bytes, status) for every listed line, repeats kept; unknown directories are invalid.
+
+    Only ancestors that are listed go on to the second sum.
+    """
     wanted = listed.select(F.col(column).alias("path"), normalize(strip_scheme(column)).alias("_dir"))
-    return wanted.join(sizes, "_dir", "left").select(
+    keys = joinable(materialize(wanted.select("_dir").distinct()))
+    own = _owned(inventory).groupBy("_dir").agg(F.sum("_bytes").alias("_bytes"))
+    hits = spread(own, ancestors("_dir"), ["_bytes"]).withColumnRenamed("path", "_dir").join(keys, "_dir", "left_semi")
+    sizes = hits.groupBy("_dir").agg(F.sum("_bytes").alias("size_bytes"))
+    return wanted.join(sizes.hint("merge"), "_dir", "left").select(
         "path",
         "size_bytes",
         F.when(F.col("size_bytes").isNull(), F.lit(SIZE_INVALID)).otherwise(F.lit("OK")).alias("status"),

@@ -27,8 +27,8 @@ def merged_exclusions(*lists: DataFrame) -> DataFrame:
 
 
 def final_list(scheduled: DataFrame, *exclusions: DataFrame) -> DataFrame:
-    """Distinct scheduled paths outside every exclusion list given."""
-    return exclude_below(scheduled.select("path").distinct(), merged_exclusions(*exclusions))
+    """Distinct scheduled paths outside every exclusion list given; only what is left is made distinct."""
+    return exclude_below(scheduled.select("path"), merged_exclusions(*exclusions)).distinct()
 
 
 def upcoming_cycle(names: DataFrame, now: datetime | str) -> DataFrame:

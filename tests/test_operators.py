@@ -214,10 +214,34 @@ def test_covered_ranges_do_not_overlap(spark):
     rows += [("A", BASE + timedelta(minutes=11), BASE + timedelta(minutes=13))]
     found = covered_ranges(spark.createDataFrame(rows, "ric string, start timestamp, end timestamp"))
     ranges = sorted((r["from"], r["to"]) for r in found.collect())
-    assert len(ranges) == 3
+    assert len(ranges) == 2 and ranges[0][1] < ranges[1][0]
     assert sum(high - low + 1 for low, high in ranges) == 13 * 60 * 1_000_000 + 1
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_windows_of_any_length(spark, monkeypatch, limit):
+    from stowline.operators import intervals
+
+    monkeypatch.setattr(intervals, "BROADCAST_RANGES", limit)
+    rng = random.Random(8)
+    lengths = [timedelta(0), timedelta(seconds=300), timedelta(hours=5), timedelta(days=40), timedelta(days=3660)]
+    windows = [(n, f"S{n % 3}", BASE + timedelta(hours=rng.randint(0, 30_000)), rng.choice(lengths)) for n in range(60)]
+    windows = [(n, name, start, start + length) for n, name, start, length in windows]
+    windows += [(60, "S9", BASE, datetime(9999, 12, 31)), (61, "S9", datetime(1970, 1, 1), datetime(1970, 1, 1)), (62, None, BASE, BASE)]
+    ticks = [(n, f"S{rng.choice([0, 1, 2, 9])}", BASE + timedelta(minutes=rng.randint(-90_000, 7_000_000))) for n in range(800)]
+    ticks += [(800 + n, w[1], w[2 + n % 2]) for n, w in enumerate(windows)] + [(1000, "S9", BASE - timedelta(microseconds=1))]
+    w = spark.createDataFrame(windows, "row_key int, ric string, start timestamp, end timestamp")
+    t = spark.createDataFrame(ticks, "tick_id int, sym string, ts timestamp")
+    inside = lambda tick, win: tick[1] is not None and tick[1] == win[1] and win[2] <= tick[2] <= win[3]
+    kept = sorted(tick[0] for tick in ticks if any(inside(tick, win) for win in windows))
+    assert sorted(r.tick_id for r in ticks_in_windows(t, w).collect()) == kept
+    pairs = sorted((tick[0], win[0]) for tick in ticks for win in windows if inside(tick, win))
+    assert sorted((r.tick_id, r.row_key) for r in interval_join(t, w).collect()) == pairs
+    assert intervals._sliced(intervals._bounded(w), 300).groupBy("row_key").count().agg(F.max("count")).first()[0] <= 2
+    nothing = w.limit(0)
+    assert ticks_in_windows(t, nothing).count() == 0 and interval_join(t, nothing).count() == 0
+
+
 def test_symbol_batches_and_slots(spark):
     names = [(f"S{n:03d}",) for n in range(45)] * 3 + [("",), (None,)]
     found = symbol_batches(spark.createDataFrame(names, "ric string"), 20).orderBy("batch_id").collect()
