@@ -21,6 +21,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from stowline.llm.tables import stored
+from stowline.session import joinable
+
 RUN = 8  # tokens, a power of two
 PART_PAGES = 200
 PART_BYTES = 4 << 20
@@ -206,10 +209,14 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     host = F.lower(F.coalesce(F.regexp_extract(url, "://([^/?#]*)", 1), F.lit("")))
     size = F.coalesce(F.octet_length(html), F.lit(0))
     sizes = pages.groupBy(host.alias("_host")).agg(
-        F.greatest(F.ceil(F.count("*") / PART_PAGES), F.ceil(F.sum(size) / PART_BYTES), F.lit(1)).alias("_parts")
+        F.greatest(F.ceil(F.count("*") / PART_PAGES), F.ceil(F.sum(size) / PART_BYTES)).alias("_parts")
     )
-    rows = pages.select(F.col(key), F.col(url), F.col(html).alias("_html"), host.alias("_host")).join(sizes, "_host")
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64(key, url), F.col("_parts")))
+    # only hosts of several parts are joined, by broadcast as long as their counted rows and bytes are few
+    large = joinable(stored(sizes.filter("_parts > 1"), "large-hosts"))
+    rows = pages.select(F.col(key), F.col(url), F.col(html).alias("_html"), host.alias("_host")).join(large, "_host", "left")
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(key, url), F.coalesce("_parts", F.lit(1))))
     schema = f"`{key}` {types[key].dataType.simpleString()}, `{url}` string, text string, n_repeated_words long"
-    found = rows.groupBy("_host", "_part").applyInPandas(lambda group: extract_host(group, key, url), schema)
+    # one grouping column: rows that lie together by host are dealt anew by host and part
+    groups = rows.groupBy(F.struct("_host", "_part").alias("_group"))
+    found = groups.applyInPandas(lambda group: extract_host(group, key, url), schema)
     return found.select(key, url, "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated_words")
