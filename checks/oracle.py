@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.queries import CYCLE_NOW, NOW
+from checks.queries import CYCLE_MOMENTS, CYCLE_NOW, NOW
 from checks.views import (
     EXCLUSION,
     QUOTA_LINE,
@@ -248,9 +248,9 @@ PATTERN_TEAM = (
     "WHEN regexp_matches({0}, '^f|process') THEN 'Flows' ELSE 'Other' END"
 )
 TREE = f"""{INV}, parts AS (
-  SELECT path, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM inv),
+  SELECT path, mtime, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM inv),
  tree AS (
-  SELECT 'top=' || CASE WHEN len(p) < 3 THEN 'unknown' ELSE p[3] END AS top,
+  SELECT mtime, 'top=' || CASE WHEN len(p) < 3 THEN 'unknown' ELSE p[3] END AS top,
          'team=' || CASE WHEN len(p) < 4 THEN 'other' ELSE coalesce({first_word('p[4]', WORDS)}, 'other') END AS team,
          CAST(strlen(path) + 1 AS BIGINT) AS bytes FROM parts)"""
 PIVOT_SIZES = f"""{INV}, owned AS (
@@ -538,7 +538,35 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT 'gone' || path, 'File Not Found' FROM gone UNION ALL SELECT 'gone' || path, 'File Not Found' FROM gone
       UNION ALL SELECT path, 'Error: outside the allowed root' FROM gone
       UNION ALL SELECT path, 'Error: outside the allowed root' FROM gone""",
-    "purge_markers": "SELECT 'File Deleted (Skip Trash)' AS status, CAST(1 AS BIGINT) AS paths",
+    "purge_markers": f"""WITH {TREE}, marker AS (
+        SELECT top || '/' || team || '/year=' || year(mtime) || '/_SUCCESS' AS path, max(mtime) AS mtime FROM tree GROUP BY 1)
+      SELECT path, CASE WHEN floor((epoch(TIMESTAMP '{NOW}') - epoch(mtime)) / 86400) >= 1700
+        THEN 'File Deleted (Skip Trash)' ELSE 'left' END AS status FROM marker""",
+    "path_list_repeats": f"""WITH {INV}, {EXCL}, {MANY}, lines AS (
+        SELECT path FROM excl UNION ALL SELECT path FROM many UNION ALL SELECT path FROM excl)
+      SELECT path, count(*) AS lines FROM lines GROUP BY path""",
+    "raw_lines": f"SELECT {QUOTA_LINE} AS value FROM customer",
+    "summary_lines": f"""WITH {INV} SELECT path, CASE WHEN regexp_matches(path, '/(model|alert)/') THEN 0 ELSE length END AS bytes
+      FROM inv""",
+    "old_files_in_listing_file": f"""WITH {OLD_LISTED} SELECT path, length FROM listing
+      WHERE NOT is_dir AND mtime < TIMESTAMP '2000-01-01'""",
+    "old_archives_in_listing_file": f"""WITH {OLD_LISTED} SELECT path FROM listing WHERE NOT is_dir AND ends_with(path, '.har')
+      AND CAST(regexp_extract(string_split(path, '/')[-1], '[0-9]{{6}}') AS INTEGER) < 200001""",
+    "dated_directories_in_listing_file": f"""WITH {OLD_LISTED} SELECT path, length FROM listing
+      WHERE is_dir AND len(list_filter(string_split(path, '/'),
+        lambda p: regexp_full_match(p, '[0-9]{{8}}') AND TRY_CAST(p AS INTEGER) < 20000101)) > 0""",
+    "default_slot_requests": f"""WITH {batched(20)},
+      first AS (SELECT CAST(arg_min(start_text[1:10], row_key) AS TIMESTAMP) AS day FROM csv),
+      slots AS (SELECT day + to_minutes(unnest(generate_series(0, 1439, 5))) AS s FROM first)
+      SELECT minutes, batch_id, {request('s', 's + INTERVAL 5 MINUTE - INTERVAL 1 MILLISECOND', 'names')} AS request
+      FROM chunks, slots, (VALUES ('0'), ('1441'), ('none')) AS m(minutes)""",
+    "cycle_phases": f"""WITH {CYCLES}, moments AS (SELECT unnest([
+        {', '.join(f"TIMESTAMP '{now}'" for now in CYCLE_MOMENTS)}]) AS moment),
+      n AS (SELECT moment, min(CASE WHEN d >= CAST(moment AS DATE) THEN d END) AS d FROM cycles, moments GROUP BY moment),
+      l AS (SELECT moment, d, CAST(floor((epoch(d) - epoch(moment)) / 86400.0) AS BIGINT) AS days_left FROM n)
+      SELECT strftime(moment, '%Y-%m-%d %H:%M:%S') AS moment, strftime(d, '%Y-%m-%d') AS cycle_date,
+        CASE WHEN d IS NULL THEN 'schedule' WHEN days_left <= 0 THEN 'delete' ELSE 'remind' END AS phase,
+        CASE WHEN d IS NULL THEN strftime(CAST(moment AS DATE) + 4, '%Y-%m-%d') END AS planned_date FROM l""",
     "outcome_count": f"""WITH {TREE}, {EXCL}, {MANY}, dirs AS (SELECT top FROM tree UNION SELECT top || '/' || team FROM tree)
       SELECT 'File Not Found' AS status, count(*) AS paths FROM many
       UNION ALL SELECT 'Directory Would Be Deleted', count(*) FROM dirs

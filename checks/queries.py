@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -55,7 +57,7 @@ from stowline.session import materialize, scratch_folder
 from stowline.sinks.files import (
     append_path_list,
     preview,
-    publish_single_csv,
+    publish_csv,
     write_csv,
     write_path_list,
     write_requests,
@@ -65,6 +67,8 @@ from stowline.sources import interest, inventory, texts
 NOW = "2003-06-15 09:00:00"
 CUTOFF = "2000-01-01"
 CYCLE_NOW = "1998-03-01 09:00:00"
+# before all cycles, among them, and after all
+CYCLE_MOMENTS = ("1980-01-01 00:00:00", "1994-07-01 00:00:00", "1995-02-11 12:30:00", "1998-03-01 09:00:00", "2099-12-30 23:59:59")
 TEMPLATE_SETTINGS = {
     KEY_TEMPLATE: "[d:$" + KEY_SLOT + "0;t:$" + KEY_SLOT + "1;e:$" + KEY_SLOT + "2;u:$" + KEY_SLOT
     + "3;s:$" + KEY_SLOT + "4;again:$" + KEY_SLOT + "10]",
@@ -611,7 +615,7 @@ def size_report_file(t):
 @query
 def single_csv(t):
     folder = scratch_folder(t.spark, "single-report")
-    written = publish_single_csv(usage.usage_by_team(t.inventory(raw=True)), folder, "usage.csv")
+    written = publish_csv(usage.usage_by_team(t.inventory(raw=True)), folder, "usage.csv")
     return t.spark.read.csv(
         written, header=True, schema="top_dir string, team string, total_size_bytes bigint, size_human string"
     )
@@ -731,15 +735,27 @@ def delete_listed(t):
     return rows.select(shown.alias("path"), "status")
 
 
+def _touch_markers(frames):
+    """Write a success marker per row, with the time given; on the executors, into the shared folder."""
+    for frame in frames:
+        for path, seconds in zip(frame["path"], frame["seconds"]):
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "w"):
+                pass
+            os.utime(path, (seconds, seconds))
+        yield frame[["path"]]
+
+
 @query
 def purge_markers(t):
-    folder = _local(_tree(t))
-    found = inventory.list_tree(t.spark, folder)
-    statuses, counts = cleanup.purge_markers(found, "2100-01-01", folder, dry_run=False)
-    left = inventory.list_tree(t.spark, folder).filter(file_name("path") == "_SUCCESS")
-    return counts.unionByName(
-        left.select(F.lit("left").alias("status")).groupBy("status").agg(F.count("*").alias("paths"))
-    )
+    """A marker per place and year, as old as the newest file there; the old ones go."""
+    folder = _local(scratch_folder(t.spark, "markers"))
+    place = F.concat(F.lit(f"{folder}/top="), "top_dir", F.lit("/team="), "team", F.lit("/year="), F.year("mtime"), F.lit("/_SUCCESS"))
+    newest = _placed(t).groupBy(place.alias("path")).agg(F.unix_timestamp(F.max("mtime").cast("timestamp")).alias("seconds"))
+    materialize(newest.mapInPandas(_touch_markers, "path string"))
+    statuses, _ = cleanup.purge_markers(inventory.list_tree(t.spark, folder), NOW, folder, days=1700, dry_run=False)
+    left = inventory.list_tree(t.spark, folder).filter(file_name("path") == "_SUCCESS").withColumn("status", F.lit("left"))
+    return statuses.unionByName(left.select("path", "status")).select(_relative("path", folder).alias("path"), "status")
 
 
 @query
@@ -749,3 +765,75 @@ def outcome_count(t):
     gone = t.many_exclusions().select(F.concat(F.lit(f"{folder}/gone"), "path").alias("path"))
     outside = t.exclusions().select("path")
     return outcome_counts(delete_paths(there.unionByName(gone).unionByName(outside), folder, dry_run=True))
+
+
+# ---- the same work from text files, and edge settings ---------------------------
+
+
+@query
+def path_list_repeats(t):
+    folder = scratch_folder(t.spark, "repeats")
+    write_path_list(t.exclusions(), folder)
+    append_path_list(t.many_exclusions(), folder)
+    append_path_list(t.exclusions(), folder)
+    return texts.read_path_list(t.spark, folder, distinct=False).groupBy("path").agg(F.count("*").alias("lines"))
+
+
+@query
+def raw_lines(t):
+    folder = scratch_folder(t.spark, "raw-lines")
+    write_path_list(t.quota_lines(), folder, column="value")
+    return texts.read_lines(t.spark, folder)
+
+
+@query
+def summary_lines(t):
+    folder = scratch_folder(t.spark, "summary")
+    counted = F.concat_ws("   ", F.col("length").cast("string"), F.lit("12"), "path")
+    line = F.when(F.col("path").contains("/alert/"), F.col("path")).when(
+        F.col("path").contains("/model/"), F.concat(F.lit("unreadable "), "path")
+    ).otherwise(counted)
+    write_path_list(t.inventory().select(line.alias("path")), folder)
+    return texts.du_rows(texts.read_lines(t.spark, folder))
+
+
+def _listing_file(t):
+    folder = scratch_folder(t.spark, "finder-listing")
+    write_path_list(t.listing_lines(), folder, column="value")
+    return texts.read_listing(t.spark, folder)
+
+
+@query
+def old_files_in_listing_file(t):
+    return retention.before_date(_listing_file(t), CUTOFF).select("path", "length")
+
+
+@query
+def dated_directories_in_listing_file(t):
+    return retention.dated_directories(texts.directories_only(_listing_file(t)), 20000101).select("path", "length")
+
+
+@query
+def old_archives_in_listing_file(t):
+    return retention.archives_before(texts.files_only(_listing_file(t)), 200001).select("path")
+
+
+@query
+def default_slot_requests(t):
+    """Lengths outside a day, and none, mean the usual length."""
+    raw = t.raw_interest()
+    made = [
+        extraction.slot_requests(raw, minutes).select(F.lit(label).alias("minutes"), "batch_id", "request")
+        for label, minutes in (("0", 0), ("1441", 1441), ("none", None))
+    ]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+@query
+def cycle_phases(t):
+    day = lambda name: F.date_format(name, "yyyy-MM-dd").alias(name)
+    shown = [
+        cleanup.cycle_status(t.cycle_names(), now).select(F.lit(now).alias("moment"), day("cycle_date"), "phase", day("planned_date"))
+        for now in CYCLE_MOMENTS
+    ]
+    return reduce(DataFrame.unionByName, shown)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stowline.fixed_values import BASE_PATH, DEEP_BASE_PATH, MARKER_DAYS, OLD_DISTRIBUTED_DAYS
 from stowline.functions.paths import file_name
 from stowline.plans import cleanup, extraction, retention, usage
-from stowline.sinks.files import publish_single_csv, write_csv, write_path_list, write_requests
+from stowline.sinks.files import publish_csv, write_csv, write_path_list, write_requests
 from stowline.sources import interest, texts
 from stowline.sources.inventory import list_tree, one_level_directories
 
@@ -42,7 +42,7 @@ def listed_size_job(spark: SparkSession, name: str = "directory_sizes.csv") -> s
     """Live sizes of the listed directories as one `path,size` CSV; returns its place."""
     listed = texts.read_lines(spark, setting(spark, "inputPath")).select(F.col("value").alias("path"))
     sizes = cleanup.live_sizes(listed)
-    return publish_single_csv(sizes.select("path", "size"), setting(spark, "outputPath"), name)
+    return publish_csv(sizes.select("path", "size"), setting(spark, "outputPath"), name)
 
 
 def delete_job(spark: SparkSession, allowed_root: str, dry_run: bool = True, protected: tuple[str, ...] = ()) -> DataFrame:

@@ -4,11 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stowline.session import scratch_folder
-from stowline.sources.inventory import open_path, qualify
-
-SINGLE_FILE_ROWS = 1_000_000
-
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None) -> None:
     """CSV with header; `mode="errorifexists"` refuses to replace. Without `partitions` Spark sizes the files."""
@@ -16,37 +11,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", partitions: int
     out.write.mode(mode).option("header", True).csv(path)
 
 
-def publish_single_csv(df: DataFrame, folder: str, name: str, max_rows: int = SINGLE_FILE_ROWS) -> str:
-    """Write a small report as one named CSV, replacing the old one; returns what was written.
+def publish_csv(df: DataFrame, folder: str, name: str) -> str:
+    """Write a report as the CSV `folder`/`name`, replacing the old one; returns its place.
 
-    The row count is checked first. A larger result is written as a folder of part files
-    of the same name instead of being pulled through one task.
+    It is a folder of part files at every size, written in parallel, each with the header.
     """
-    import pyarrow.fs as pafs
-
-    spark = df.sparkSession
     target = f"{folder.rstrip('/')}/{name}"
-    if df.limit(max_rows + 1).count() > max_rows:
-        write_csv(df, target)
-        return target
-    staged = scratch_folder(spark, "single")
-    df.coalesce(1).write.option("header", True).csv(staged)
-    opened: dict = {}
-    fs, inside, _ = open_path(qualify(spark, staged), opened)
-    part = next(
-        info.path
-        for info in fs.get_file_info(pafs.FileSelector(inside))
-        if info.base_name.startswith("part-")
-    )
-    out_fs, out_path, _ = open_path(qualify(spark, target), opened)
-    out_fs.create_dir(out_path.rsplit("/", 1)[0], recursive=True)
-    kind = out_fs.get_file_info(out_path).type
-    if kind == pafs.FileType.File:
-        out_fs.delete_file(out_path)
-    elif kind == pafs.FileType.Directory:
-        raise ValueError(f"{target} is a directory")
-    pafs.copy_files(part, out_path, source_filesystem=fs, destination_filesystem=out_fs)
-    fs.delete_dir(inside)
+    write_csv(df, target)
     return target
 
 

@@ -15,13 +15,18 @@ def _clean_ric(text: Column) -> Column:
     return F.replace(F.trim(text), F.lit('"'), F.lit(""))
 
 
+def file_order() -> Column:
+    """Place of a row of files just read: file path, start of the block in it, position in the block."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("position"))
+
+
 def raw_interest(rows: DataFrame, ric: str, start: str, end: str, key: Column | None = None) -> DataFrame:
     """(row_key, ric, start_text, end_text) of all rows: dates are read from rows without a symbol too.
 
-    `row_key` follows the order of rows within a file.
+    Without a key column the rows come from files, and `row_key` follows the files by path and the rows in them.
     """
     return rows.select(
-        (F.monotonically_increasing_id() if key is None else key).alias("row_key"),
+        (file_order() if key is None else key).alias("row_key"),
         _clean_ric(F.col(ric)).alias("ric"),
         F.trim(F.col(start)).alias("start_text"),
         F.trim(F.col(end)).alias("end_text"),

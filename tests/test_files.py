@@ -2,9 +2,10 @@ import os
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from stowline.operators.filesystem import OUTSIDE_ROOT, delete_paths, outcome_counts
-from stowline.plans import cleanup
+from stowline.plans import cleanup, extraction
 from stowline.sinks import files
 from stowline.sources import interest, inventory, texts
 
@@ -117,14 +118,13 @@ def test_path_lists(spark, tmp_path):
     assert {r.path for r in texts.read_manifest(spark, str(tmp_path / "raw.txt")).collect()} == {"/ok", "/b\ufffd"}
 
 
-def test_single_csv_replaces_the_old_one(spark, tmp_path):
-    rows = spark.createDataFrame([("x", 1), ("y", 2)], "k string, v int")
-    for _ in range(2):
-        written = files.publish_single_csv(rows, str(tmp_path / "out"), "report.csv")
-    assert open(written).read() == "k,v\nx,1\ny,2\n"
-    assert os.listdir(tmp_path / "out") == ["report.csv"] or set(os.listdir(tmp_path / "out")) <= {"report.csv", ".report.csv.crc"}
-    large = files.publish_single_csv(rows, str(tmp_path / "big"), "report.csv", max_rows=1)
-    assert os.path.isdir(large) and spark.read.csv(large, header=True).count() == 2
+def test_named_csv_replaces_the_old_one_at_every_size(spark, tmp_path):
+    for size in (2, 5000, 0, 1):
+        rows = spark.range(size).selectExpr("CAST(id AS STRING) AS k", "id AS v").repartition(3)
+        written = files.publish_csv(rows, str(tmp_path / "out"), "report.csv")
+        assert written == f"{tmp_path}/out/report.csv" and os.path.isdir(written)
+        assert os.listdir(tmp_path / "out") == ["report.csv"]
+        assert spark.read.csv(written, header=True, schema="k string, v int").count() == size
 
 
 def test_csv_refuses_to_replace_when_asked(spark, tmp_path):
@@ -148,6 +148,20 @@ def test_interest_csv(spark, tmp_path):
         assert {r.ric for r in interest.rejected_interest(raw).collect()} == {"BBB.L", "CCC.L"}
 
 
+def test_rows_follow_file_order_over_several_files(spark, tmp_path):
+    head = "a,b,RIC,d,e,Execution_Start_Time,Execution_End_Time\n"
+    line = ",,S{0},,,2025-03-{1:02d}T10:00:00Z,2025-03-{1:02d}T11:00:00Z\n"
+    (tmp_path / "1.csv").write_text(head + line.format(0, 9))
+    # larger files are read first
+    (tmp_path / "2.csv").write_text(head + "".join(line.format(n, 1 + n % 28) for n in range(1, 3000)))
+    for read in (interest.read_raw_interest, interest.read_named_interest):
+        raw = read(spark, str(tmp_path))
+        assert str(extraction.first_day(raw).first().day)[:10] == "2025-03-09"
+        assert [r.ric for r in raw.orderBy("row_key").collect()] == [f"S{n}" for n in range(3000)]
+        requests = extraction.window_requests(interest.interest_windows(raw), max_rows=7)
+        assert requests.agg(F.sum("rows")).first()[0] == 3000
+
+
 def test_ticks_csv(spark, tmp_path):
     (tmp_path / "t.csv").write_text("date_column,time_column,sym\n2025-03-07,10:00:01.123,A\nbad,10:00:01.123,A\n")
     assert [r.ts for r in interest.read_ticks(spark, str(tmp_path / "t.csv")).collect()] == [

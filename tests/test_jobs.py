@@ -45,8 +45,8 @@ def test_listed_sizes(spark, conf, data):
     conf("inputPath", data / "list.txt")
     conf("outputPath", data / "report")
     written = jobs.listed_size_job(spark)
-    lines = open(written).read().splitlines()
-    assert lines[0] == "path,size" and set(lines[1:]) == {f"{data}/data/a,1.5 KB", f"{data}/none,INVALID_PATH"}
+    rows = spark.read.csv(written, header=True, schema="path string, size string").collect()
+    assert {tuple(row) for row in rows} == {(f"{data}/data/a", "1.5 KB"), (f"{data}/none", "INVALID_PATH")}
 
 
 def test_settings_without_default_must_be_set(spark):
