@@ -2,8 +2,9 @@
 
 Lines are compared after lower-casing, turning digits into 0 and joining words by single spaces. A line is
 above the limit when it stands in more than `line_share` of its host's distinct texts, and in more than
-`line_texts` of them; exact copies count as one text, so a group of copies does not make its own lines
-frequent. A document is depleted when its other lines hold less than `left_share` of its words.
+`line_texts` of them; exact copies count as one text, and so do near copies (the groups that near_dup finds among
+the texts whose lines may be above the limits), so a group of copies does not make its own lines frequent. A document is
+depleted when its other lines hold less than `left_share` of its words.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stowline.llm.near_dup import near_duplicates
 from stowline.llm.tables import stored
+from stowline.session import joinable
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -72,24 +75,29 @@ def _measure(text: str) -> tuple:
         seen.add(line)
         key = line_key(line)
         lines[key] = lines.get(key, 0) + size
-    return len(words), word_chars, symbols, repeats, _repeated_words(words), xxhash.xxh3_128_digest(raw), list(lines.items())
+    return len(words), word_chars, symbols, repeats, _repeated_words(words), list(lines.items())
 
 
 _NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_text", "_lines"]
 _LINES = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))
 
 
+def _digest(text: str) -> Column:
+    """Null and empty texts are one."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def measure_documents(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     """The five counts of every row, with its host, a digest of its text and its distinct lines with their words."""
     kind = docs.schema[key].dataType.simpleString()
-    narrow = docs.select(F.col(key), F.coalesce(F.col(host).cast("string"), F.lit("\x00")), F.col(text))
+    narrow = docs.select(F.col(key), F.coalesce(F.col(host).cast("string"), F.lit("\x00")), F.col(text), _digest(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*(_measure(text or "") for text in batch.column(2).to_pylist()))) or [()] * 7
+            rows = list(zip(*(_measure(text or "") for text in batch.column(2).to_pylist()))) or [()] * 6
             counts = [pa.array(column, pa.int64()) for column in rows[:5]]
-            lines = pa.array([[{"line": line, "words": words} for line, words in one] for one in rows[6]], _LINES)
-            arrays = [batch.column(0), batch.column(1), *counts, pa.array(rows[5], pa.binary()), lines]
+            lines = pa.array([[{"line": line, "words": words} for line, words in one] for one in rows[5]], _LINES)
+            arrays = [batch.column(0), batch.column(1), *counts, batch.column(3), lines]
             yield pa.RecordBatch.from_arrays(arrays, [key, "_host", *_NAMES])
 
     return narrow.mapInArrow(
@@ -99,14 +107,65 @@ def measure_documents(docs: DataFrame, key: str, text: str, host: str) -> DataFr
     )
 
 
-def frequent_lines(measured: DataFrame, line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE) -> DataFrame:
-    """(_host, line) above the limits. Distinct texts are counted after map-side combining."""
+def _candidate_lines(measured: DataFrame, line_texts: int, line_share: float) -> DataFrame:
+    """Stored (_host, _text, line, words, _texts, _above): every line that may be above the limits, in each of its exact texts.
+
+    `_above` lines are so with near copies counted apart. Their texts may turn out to be one group, so other lines are
+    tested against the host's `_texts` without them.
+    """
     texts = measured.groupBy("_host", "_text").agg(F.any_value("_lines").alias("_lines"))
+    lines = texts.select("_host", "_text", F.inline("_lines"))
+    some = lines.groupBy("_host", "line").agg(F.count("*").alias("_in")).filter(F.col("_in") > line_texts)
     per_host = measured.select("_host", "_text").distinct().groupBy("_host").agg(F.count("*").alias("_texts"))
-    lines = texts.select("_host", F.explode("_lines.line").alias("line")).groupBy("_host", "line").agg(F.count("*").alias("_in"))
-    # no line below the smallest limit is worth joining
-    some = lines.filter(F.col("_in") > line_texts)
-    return some.join(per_host, "_host").filter(F.col("_in") > F.col("_texts") * line_share).select("_host", "line")
+    some = some.join(per_host, "_host").withColumn("_above", F.col("_in") > F.col("_texts") * line_share)
+    shared = stored(lines.join(joinable(stored(some, "shared")), ["_host", "line"]), "shared-lines")
+    held = shared.filter("_above").select("_host", "_text").distinct().groupBy("_host").agg(F.count("*").alias("_held"))
+    least = F.col("_texts") - F.coalesce(F.col("_held") - 1, F.lit(0))
+    found = shared.join(joinable(stored(held, "held")), "_host", "left").filter(F.col("_in") > least * line_share)
+    return stored(found.select("_host", "_text", "line", "words", "_texts", "_above"), "candidates")
+
+
+def near_copies(candidates: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Stored (_text, _group) of the texts with candidate lines that have near copies among each other.
+
+    No other text counts for a line, so only these are compared. Texts go by their digest: keys may be null or repeat.
+    """
+    some = joinable(stored(candidates.select(F.hex("_text").alias("_id")).distinct(), "candidate-texts"))
+    named = docs.select(F.hex(_digest(text)).alias("_id"), F.col(text).alias("text")).join(some, "_id", "left_semi")
+    texts = stored(named.groupBy("_id").agg(F.any_value("text").alias("text")), "compared")
+    found = near_duplicates(texts, "_id", "text")
+    groups = found.groupBy("component_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
+    found = found.join(groups, "component_id", "left_semi")
+    return stored(found.select(F.unhex("_id").alias("_text"), F.unhex("component_id").alias("_group")), "near-copies")
+
+
+def _above_limits(candidates: DataFrame, groups: DataFrame | None, line_texts: int, line_share: float) -> DataFrame:
+    """(_host, line) above the limits. Texts, or groups of near copies, are counted after map-side combining.
+
+    In the host's number of texts, the near copies among the texts of `_above` lines count once.
+    """
+    if groups is None:
+        return candidates.filter("_above").select("_host", "line").distinct()
+    rows = candidates.join(joinable(groups), "_text", "left").withColumn("_group", F.coalesce("_group", "_text"))
+    counts = rows.groupBy("_host", "line", "_texts", "_group").count().groupBy("_host", "line", "_texts").agg(F.count("*").alias("_in"))
+    held = rows.filter("_above").select("_host", "_text", "_group").distinct()
+    sizes = held.groupBy("_host", "_group").agg((F.count("*") - 1).alias("_more")).groupBy("_host").agg(F.sum("_more").alias("_more"))
+    some = counts.filter(F.col("_in") > line_texts).join(joinable(stored(sizes, "copies")), "_host", "left")
+    texts = F.col("_texts") - F.coalesce("_more", F.lit(0))
+    return some.filter(F.col("_in") > texts * line_share).select("_host", "line")
+
+
+def frequent_lines(
+    measured: DataFrame,
+    line_texts: int = LINE_TEXTS,
+    line_share: float = LINE_SHARE,
+    docs: DataFrame | None = None,
+    text: str = "text",
+) -> DataFrame:
+    """(_host, line) above the limits. Near copies count as one text if the measured `docs` are given, exact copies always."""
+    candidates = _candidate_lines(measured, line_texts, line_share)
+    groups = None if docs is None else near_copies(candidates, docs, text)
+    return _above_limits(candidates, groups, line_texts, line_share)
 
 
 def judge_documents(
@@ -124,11 +183,10 @@ def judge_documents(
     copies of a text in one host get the same verdict. An empty table gives no rows; other columns are left out.
     """
     measured = stored(measure_documents(docs, key, text, host), "measured")
-    frequent = frequent_lines(measured, line_texts, line_share)
+    candidates = _candidate_lines(measured, line_texts, line_share)
+    frequent = _above_limits(candidates, near_copies(candidates, docs, text), line_texts, line_share)
     # worked out once for each text of a host, not for each copy
-    texts = measured.groupBy("_host", "_text").agg(F.any_value("_lines").alias("_lines"))
-    lines = texts.select("_host", "_text", F.inline("_lines"))
-    removed = lines.join(frequent, ["_host", "line"]).groupBy("_host", "_text").agg(F.sum("words").alias("_removed"))
+    removed = candidates.join(frequent, ["_host", "line"]).groupBy("_host", "_text").agg(F.sum("words").alias("_removed"))
     joined = measured.drop("_lines").join(removed, ["_host", "_text"], "left")
     return joined.select(
         key,

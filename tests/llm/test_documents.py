@@ -137,3 +137,24 @@ def test_shard_query(spark, tmp_path):
     table = spark.read.parquet(f"{SMALL}/documents.parquet")
     write_shards(table, result, f"{tmp_path}/shards")
     assert spark.read.parquet(f"{tmp_path}/shards").groupBy("shard").count().count() == len([size for size in sizes if size])
+
+
+def test_near_copies_keep_their_lines(spark):
+    """A near-copy group of a third of the rows, one word changed in each: its own lines are not frequent, a menu still is."""
+    rng = random.Random(6)
+    own = lambda words: " ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(words))
+    base = [own(12).split() for _ in range(8)]
+    near = []
+    for at in range(100):
+        lines = [list(line) for line in base]
+        lines[at % 8][rng.randrange(12)] = own(1)
+        near.append("\n".join(map(" ".join, lines)))
+    menu = "home about " + own(60)
+    others = [own(60) + "\n" + own(60) + "\n" + menu for _ in range(199)]
+    docs = documents(spark, [*near, *others, menu + "\n" + own(5)], sources=["h"] * 300)
+    result = {row.doc_id: row for row in judge_documents(docs).collect()}
+    assert {key for key, row in result.items() if row.kept} == set(range(299))
+    assert {row.n_frequent_words for key, row in result.items() if key < 100} == {0}
+    assert {row.n_frequent_words for key, row in result.items() if key >= 100} == {62}
+    measured = measure_documents(docs, "doc_id", "text", "source")
+    assert frequent_lines(measured, docs=docs).count() == 1 and frequent_lines(measured).count() == 9
