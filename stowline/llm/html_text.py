@@ -3,7 +3,8 @@
 Each page is cut into blocks, each in a zone: `article` (inside article or main), `chrome` (menus, headers, footers,
 sidebars, notices, adverts, forms, comments), `open` (neither). The pages of a host lie one after another as a
 token stream. Its suffixes, sorted by their first `RUN` tokens by prefix doubling, show which runs of tokens stand
-in two pages or more. What they cover is repeated text; the rest are unique runs.
+in two pages or more. What they cover is repeated text; the rest are unique runs. Pages of one token stream count as
+one page.
 
 Repetition alone cannot tell menus from articles here: articles share passages, adverts may be unique, and the
 wanted text is the whole article. So the markup decides where it says something (article text stays, chrome goes),
@@ -131,13 +132,16 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def repeated_tokens(stream: np.ndarray, page: np.ndarray) -> np.ndarray:
+def repeated_tokens(stream: np.ndarray, page: np.ndarray, content: np.ndarray | None = None) -> np.ndarray:
     """Which tokens lie in a run of RUN tokens that two pages share. Runs do not cross pages.
 
+    Pages of equal `content` are one page.
+
     Prefix doubling: after k rounds equal ranks mean that the suffixes agree in 2^k tokens.
     """
     size = len(stream)
     covered = np.zeros(size, bool)
+    content = page if content is None else content
     if size < 2 * RUN:
         return covered
     _, rank = np.unique(stream, return_inverse=True)
@@ -150,9 +154,9 @@ def repeated_tokens(stream: np.ndarray, page: np.ndarray) -> np.ndarray:
     whole = np.zeros(size, bool)
     whole[: size - RUN + 1] = page[: size - RUN + 1] == page[RUN - 1 :]
     suffixes = np.flatnonzero(whole)
-    suffixes = suffixes[np.lexsort((page[suffixes], rank[suffixes]))]  # the suffix array, by the first RUN tokens
+    suffixes = suffixes[np.lexsort((content[suffixes], rank[suffixes]))]  # the suffix array, by the first RUN tokens
     same = rank[suffixes[1:]] == rank[suffixes[:-1]]
-    other_page = page[suffixes[1:]] != page[suffixes[:-1]]
+    other_page = content[suffixes[1:]] != content[suffixes[:-1]]
     # pages are in order within equal suffixes, so a group with two pages has a step between some neighbours
     group = np.concatenate(([0], np.cumsum(~same)))
     shared = np.zeros(int(group[-1]) + 1 if len(group) else 1, bool)
@@ -176,7 +180,10 @@ def extract_host(pages: pd.DataFrame, key: str, url: str) -> pd.DataFrame:
             stream += [number.setdefault(word, len(number)) for word in words]
         lengths.append(len(stream) - before)
     owner = np.repeat(np.arange(len(parsed)), lengths)
-    covered = repeated_tokens(np.array(stream, np.int64), owner)
+    kinds: dict[tuple, int] = {}
+    ends = np.cumsum(lengths).tolist()
+    content = [kinds.setdefault(tuple(stream[end - n : end]), len(kinds)) for n, end in zip(lengths, ends)]
+    covered = repeated_tokens(np.array(stream, np.int64), owner, np.repeat(np.array(content, np.int64), lengths))
     at = 0
     texts, repeats = [], []
     for blocks in parsed:

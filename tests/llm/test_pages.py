@@ -171,3 +171,10 @@ def test_text_query(spark):
         parts = (" ".join(entities.unescape(re.sub("</?b>", "", part)).split()) for part in re.split("</?(?:p|h1|br)>", body))
         text = " ".join(part for part in parts if part)
         assert (result[page_id].url, result[page_id].text, result[page_id].n_chars) == (url, text, len(text))
+
+
+def test_copied_page_without_article():
+    """The same html under two urls keeps its text."""
+    text = "one two three four five six seven eight nine ten"
+    pages = pd.DataFrame({"page_id": [1, 2], "url": ["http://h/a", "https://h/a"], "_html": [f"<p>{text}</p>"] * 2})
+    assert extract_host(pages, "page_id", "url")["text"].tolist() == [text, text]
