@@ -4,7 +4,8 @@ Each page is cut into blocks, each in a zone: `article` (inside article or main)
 sidebars, notices, adverts, forms, comments), `open` (neither). The pages of a host lie one after another as a
 token stream. Its suffixes, sorted by their first `RUN` tokens by prefix doubling, show which runs of tokens stand
 in two pages or more. What they cover is repeated text; the rest are unique runs. Pages of one token stream count as
-one page.
+one page. A large host is sorted in parts; the hashes of its runs, counted over the whole host, tell each part which of its
+runs stand in other parts too.
 
 Repetition alone cannot tell menus from articles here: articles share passages, adverts may be unique, and the
 wanted text is the whole article. So the markup decides where it says something (article text stays, chrome goes),
@@ -17,9 +18,11 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from stowline.llm.tables import stored
@@ -28,6 +31,8 @@ from stowline.session import joinable
 RUN = 8  # tokens, a power of two
 PART_PAGES = 200
 PART_BYTES = 4 << 20
+BUCKETS = 256  # at most, for the runs of a host
+_PLACES = np.random.default_rng(20240608).integers(0, 1 << 63, RUN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 # Elements and class or id words that hold no main text (own choice).
 SKIPPED = frozenset("head script style noscript template svg canvas iframe object nav header footer aside form button select textarea dialog menu".split())
@@ -132,17 +137,46 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def repeated_tokens(stream: np.ndarray, page: np.ndarray, content: np.ndarray | None = None) -> np.ndarray:
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word.encode())
+        return value
+
+
+_word_hashes = _WordHashes()
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    if len(_word_hashes) > 500_000:
+        _word_hashes.clear()
+    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def run_hashes(hashes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every run of RUN tokens, the same in every process."""
+    size = max(0, len(hashes) - RUN + 1)
+    total = np.zeros(size, np.uint64)
+    for place in range(RUN):
+        total += hashes[place : place + size] * _PLACES[place]
+    total = (total ^ (total >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return total ^ (total >> np.uint64(32))
+
+
+def _stream_digest(hashes: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(hashes.tobytes())
+
+
+def repeated_tokens(stream: np.ndarray, page: np.ndarray, content: np.ndarray | None = None, elsewhere: np.ndarray | None = None) -> np.ndarray:
     """Which tokens lie in a run of RUN tokens that two pages share. Runs do not cross pages.
 
-    Pages of equal `content` are one page.
+    Pages of equal `content` are one page. Runs that begin at an `elsewhere` token are shared in any case.
 
     Prefix doubling: after k rounds equal ranks mean that the suffixes agree in 2^k tokens.
     """
     size = len(stream)
     covered = np.zeros(size, bool)
     content = page if content is None else content
-    if size < 2 * RUN:
+    if size < (2 * RUN if elsewhere is None else RUN):
         return covered
     _, rank = np.unique(stream, return_inverse=True)
     span = 1
@@ -162,16 +196,54 @@ def repeated_tokens(stream: np.ndarray, page: np.ndarray, content: np.ndarray |
     shared = np.zeros(int(group[-1]) + 1 if len(group) else 1, bool)
     shared[group[1:][same & other_page]] = True
     begins = suffixes[shared[group]] if len(suffixes) else suffixes
+    if elsewhere is not None:
+        begins = np.union1d(begins, np.flatnonzero(whole & elsewhere))
     marks = np.zeros(size + 1, np.int64)
     np.add.at(marks, begins, 1)
     np.add.at(marks, begins + RUN, -1)
     return np.cumsum(marks[:-1]) > 0
 
 
-def extract_host(pages: pd.DataFrame, key: str, url: str) -> pd.DataFrame:
-    """(key, url, text, n_repeated_words) of the pages of one part of a host."""
+def host_runs(pages: pd.DataFrame) -> pd.DataFrame:
+    """(_host, _bucket, _hashes, _streams, _of): every page's distinct runs with a digest of its token stream and its part."""
+    found: dict[str, list[tuple]] = {}
+    buckets: dict[str, int] = {}
+    for html, host, part, parts in zip(pages["_html"], pages["_host"], pages["_part"], pages["_parts"]):
+        hashes = word_hashes([word for _, text in blocks_of(html or "") for word in text.split(" ")])
+        runs = np.unique(run_hashes(hashes))
+        buckets[host] = min(int(parts), BUCKETS)
+        found.setdefault(host, []).append((runs, np.full(len(runs), _stream_digest(hashes) & 0xFFFFFFFF, np.uint32), np.full(len(runs), part, np.uint32)))
+    rows = []
+    for host, of in found.items():
+        columns = [np.concatenate(column) for column in zip(*of)]
+        bucket = columns[0] % np.uint64(buckets[host])
+        order = np.argsort(bucket, kind="stable")  # pages stay together, so digests and parts compress
+        which, begins = np.unique(bucket[order], return_index=True)
+        for one, places in zip(which.tolist(), np.split(order, begins[1:]) if len(which) else []):
+            rows.append((host, one, *(column[places].tobytes() for column in columns)))
+    return pd.DataFrame(rows, columns=["_host", "_bucket", "_hashes", "_streams", "_of"])
+
+
+def shared_runs(rows: pd.DataFrame) -> pd.DataFrame:
+    """(_host, _part, _shared): the runs of a bucket that two or more token streams of the host hold, for every part with them."""
+    kinds = (("_hashes", np.uint64), ("_streams", np.uint32), ("_of", np.uint32))
+    hashes, streams, parts = (np.frombuffer(b"".join(rows[name]), kind) for name, kind in kinds)
+    order = np.lexsort((streams, hashes))
+    hashes, streams, parts = hashes[order], streams[order], parts[order]
+    steps = (hashes[1:] == hashes[:-1]) & (streams[1:] != streams[:-1])
+    repeated = np.isin(hashes, hashes[1:][steps])
+    hashes, parts = hashes[repeated], parts[repeated]
+    order = np.argsort(parts, kind="stable")
+    which, begins = np.unique(parts[order], return_index=True)
+    held = np.split(hashes[order], begins[1:]) if len(which) else []
+    out = [(rows["_host"].iloc[0], part, np.unique(one).tobytes()) for part, one in zip(which.tolist(), held)]
+    return pd.DataFrame(out, columns=["_host", "_part", "_shared"])
+
+
+def extract_host(pages: pd.DataFrame, key: str, url: str, shared: np.ndarray | None = None) -> pd.DataFrame:
+    """(key, url, text, n_repeated_words) of the pages of one part of a host; `shared` has run hashes that other parts hold too."""
     number: dict[str, int] = {}
-    parsed, stream, lengths = [], [], []
+    parsed, stream, lengths, contents, elsewhere = [], [], [], [], []
     for page, html in enumerate(pages["_html"]):
         blocks = [(zone, text.split(" ")) for zone, text in blocks_of(html or "")]
         parsed.append(blocks)
@@ -179,11 +251,15 @@ def extract_host(pages: pd.DataFrame, key: str, url: str) -> pd.DataFrame:
         for _, words in blocks:
             stream += [number.setdefault(word, len(number)) for word in words]
         lengths.append(len(stream) - before)
+        hashes = word_hashes([word for _, words in blocks for word in words])
+        contents.append(_stream_digest(hashes))
+        if shared is not None:
+            runs = run_hashes(hashes)
+            elsewhere += [runs, np.zeros(len(hashes) - len(runs), np.uint64)]  # no run begins at a page's last tokens
     owner = np.repeat(np.arange(len(parsed)), lengths)
-    kinds: dict[tuple, int] = {}
-    ends = np.cumsum(lengths).tolist()
-    content = [kinds.setdefault(tuple(stream[end - n : end]), len(kinds)) for n, end in zip(lengths, ends)]
-    covered = repeated_tokens(np.array(stream, np.int64), owner, np.repeat(np.array(content, np.int64), lengths))
+    _, content = np.unique(np.array(contents, np.uint64), return_inverse=True)
+    marks = np.isin(np.concatenate(elsewhere), shared) if elsewhere else None
+    covered = repeated_tokens(np.array(stream, np.int64), owner, np.repeat(content, lengths), marks)
     at = 0
     texts, repeats = [], []
     for blocks in parsed:
@@ -208,7 +284,8 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     """(key, url, text, n_chars, n_repeated_words) of every page; text is empty if there is none.
 
     A host's pages are dealt by hash into parts of about PART_PAGES pages and PART_BYTES bytes, so a host that
-    holds a large share of all rows is many groups; runs are compared within a part, a random share of the host.
+    holds a large share of all rows is many groups. Hashes of the runs of such hosts are counted over all parts first, so
+the result does not depend on the parts.
     Null html is empty; null urls form one host; null and repeated keys pass through, a row each. An empty table
     gives no rows; other columns are left out.
     """
@@ -223,7 +300,21 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(key), F.col(url), F.col(html).alias("_html"), host.alias("_host")).join(large, "_host", "left")
     rows = rows.withColumn("_part", F.pmod(F.xxhash64(key, url), F.coalesce("_parts", F.lit(1))))
     schema = f"`{key}` {types[key].dataType.simpleString()}, `{url}` string, text string, n_repeated_words long"
+
+    def runs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from map(host_runs, batches)
+
+    # the pages of large hosts are parsed twice, which is cheaper than storing their tokens
+    dealt = rows.filter(F.col("_parts").isNotNull()).select("_html", "_host", "_part", "_parts")
+    runs = dealt.mapInPandas(runs_of, "_host string, _bucket long, _hashes binary, _streams binary, _of binary")
+    shared = runs.groupBy(F.struct("_host", "_bucket").alias("_group")).applyInPandas(
+        lambda one: shared_runs(one), "_host string, _part long, _shared binary"
+    )
     # one grouping column: rows that lie together by host are dealt anew by host and part
-    groups = rows.groupBy(F.struct("_host", "_part").alias("_group"))
-    found = groups.applyInPandas(lambda group: extract_host(group, key, url), schema)
+    group = F.struct("_host", "_part").alias("_group")
+
+    def extract(pages: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        return extract_host(pages, key, url, np.frombuffer(b"".join(others["_shared"]), np.uint64) if len(others) else None)
+
+    found = rows.groupBy(group).cogroup(shared.groupBy(group)).applyInPandas(extract, schema)
     return found.select(key, url, "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated_words")

@@ -173,6 +173,26 @@ def test_text_query(spark):
         assert (result[page_id].url, result[page_id].text, result[page_id].n_chars) == (url, text, len(text))
 
 
+def test_parts_of_a_host_like_the_whole(spark, monkeypatch):
+    """Runs on two or more pages of a host are found wherever its parts lie; copies of a page are one page."""
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join(f"w{one}" for one in rng.integers(0, 10**6, n))
+    quotes = [words(10) for _ in range(20)]
+    htmls = [f"<div>{words(12)}</div><p>{quotes[at % 20]}</p><p>{words(9)}</p>" for at in range(40)]
+    htmls += [f"<article>{quotes[at]} {words(5)}</article>" for at in range(5)]
+    htmls += [f"<p>{words(30)}</p>"] * 6 + ["short"] * 3
+    made = [(at, f"http://h.org/{at}", html) for at, html in enumerate(htmls)]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string")
+    whole = extract_host(pd.DataFrame(made, columns=["page_id", "url", "_html"]), "page_id", "url")
+    expected = {row.page_id: (row.text, row.n_repeated_words) for row in whole.itertuples()}
+    assert all(quote not in text for quote in quotes for text, _ in list(expected.values())[:40])
+    assert [expected[at][1] for at in range(40, 45)] == [10] * 5
+    assert {expected[at][0] for at in range(45, 51)} == {htmls[45][3:-4]}
+    for size in (2, 20):
+        monkeypatch.setattr("stowline.llm.html_text.PART_PAGES", size)
+        assert {row.page_id: (row.text, row.n_repeated_words) for row in extract_text(pages).collect()} == expected
+
+
 def test_copied_page_without_article():
     """The same html under two urls keeps its text."""
     text = "one two three four five six seven eight nine ten"
