@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stowline.llm import url_filter
 from stowline.llm.decontamination import contamination
+from stowline.llm.filter_audit import filter_audit
 from stowline.llm.html_text import extract_text
 from stowline.llm.kd_shards import shard_documents
 from stowline.llm.near_dup import near_duplicates
 from stowline.llm.packing import pack
+from stowline.llm.periodic_runs import periodic_runs
+from stowline.llm.pii import personal_data
 from stowline.llm.quality import judge_documents
 from stowline.llm.tables import table
 from stowline.llm.token_count import count_tokens
@@ -78,6 +81,18 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), END_ID, SEQUENCE)
 
 
+def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data(table(spark, folder, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs(table(spark, folder, "documents"))
+
+
 QUERIES = {
     name: function for name, function in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }
@@ -159,4 +174,39 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM facts
 """
 
-ORACLE = {"op4_warc": _OP4, "op6_decontamination": _OP6, "op7_quality": _OP7}
+_OP12 = f"""
+WITH doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS7} AS w FROM documents),
+first AS (SELECT text, min(doc_id) AS lo FROM doc GROUP BY text),
+mark AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+masked AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+         + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT
+         + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > lo, false)::INT AS mask
+  FROM doc JOIN first USING (text) LEFT JOIN mark USING (doc_id)
+),
+cell AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masked GROUP BY part, mask),
+letter AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(name, bit)),
+orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letter a JOIN letter b ON b.bit <> a.bit JOIN letter c ON c.bit NOT IN (a.bit, b.bit)
+  JOIN letter d ON d.bit NOT IN (a.bit, b.bit, c.bit) JOIN letter e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)
+),
+steps AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+  FROM orders CROSS JOIN (SELECT unnest(range(1, 6)) AS step)
+),
+counted AS (
+  SELECT part, filter_order, step::INT AS step, bit,
+         coalesce(sum(n) FILTER (mask & (before + bit) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+  FROM cell CROSS JOIN steps GROUP BY part, filter_order, step, bit
+)
+SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counted
+"""
+
+ORACLE = {"op4_warc": _OP4, "op6_decontamination": _OP6, "op7_quality": _OP7, "op12_filter_audit": _OP12}
