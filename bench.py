@@ -76,7 +76,7 @@ def main() -> None:
     for build in (
         tables.inventory, lambda: tables.inventory(raw=True), tables.deep_inventory, tables.exclusions,
         tables.many_exclusions, tables.version_dirs, tables.application_inventory, tables.size_lines,
-        tables.listing_lines, tables.tick_rows, tables.windows, tables.interest_csv, lambda: tables.interest_csv(None),
+        tables.listing_lines, tables.tick_rows, tables.windows, tables.interest_csv,
     ):
         build()
     prepared = time.perf_counter() - begun
