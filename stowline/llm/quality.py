@@ -1,23 +1,28 @@
 """Quality rules: per-document counts, and line frequency across the documents of a host.
 
-Lines are compared after lower-casing, turning digits into 0 and joining words by single spaces. A line is
-above the limit when it stands in more than `line_share` of its host's distinct texts, and in more than
-`line_texts` of them; exact copies count as one text, and so do near copies (the groups that near_dup finds among
-the texts whose lines may be above the limits), so a group of copies does not make its own lines frequent. A document is
-depleted when its other lines hold less than `left_share` of its words.
+Lines are compared after lower-casing A-Z, turning 0-9 into 0 and joining words by single spaces; their hashes are ordered
+as unsigned 64-bit numbers. Copies of a text in one host count as one text, and near copies count once by a key:
+
+1. A line is shared when it stands in more than `line_texts` distinct texts of its host.
+2. A text whose words outside shared lines are fewer than `left_share` of all has the smallest two hashes of its shared
+   lines as its key, every other text is its own key. Texts that differ in a few words differ in few lines, so a group of
+   them has few keys, whatever its size; texts with words of their own count one by one.
+3. A line is above the limits when it stands in more than `line_texts` distinct keys of its host, and in more than
+   `line_share` of them.
+
+A document is depleted when its other lines hold less than `left_share` of its words.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stowline.llm.near_dup import near_duplicates
 from stowline.llm.tables import stored
 from stowline.session import joinable
 
@@ -28,7 +33,7 @@ LINE_SHARE = 0.05
 LEFT_SHARE = 0.2
 SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\x0c\r"
-_DIGIT = re.compile(r"\d")
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
 
 
 def _repeated_words(words: list[bytes]) -> int:
@@ -52,10 +57,9 @@ def _repeated_words(words: list[bytes]) -> int:
 
 
 def line_key(line: str) -> int:
-    """Signed 64-bit hash of a normalised line."""
-    plain = _DIGIT.sub("0", " ".join(line.lower().split()))
-    value = xxhash.xxh3_64_intdigest(plain.encode())
-    return value - (1 << 64) if value >> 63 else value
+    """64-bit hash of a normalised line, less 2^63: signed numbers in the order of the unsigned ones."""
+    plain = b" ".join(line.encode().translate(_PLAIN).split())
+    return int.from_bytes(hashlib.md5(plain).digest()[:8], "big") - (1 << 63)
 
 
 def _measure(text: str) -> tuple:
@@ -107,65 +111,45 @@ def measure_documents(docs: DataFrame, key: str, text: str, host: str) -> DataFr
     )
 
 
-def _candidate_lines(measured: DataFrame, line_texts: int, line_share: float) -> DataFrame:
-    """Stored (_host, _text, line, words, _texts, _above): every line that may be above the limits, in each of its exact texts.
-
-    `_above` lines are so with near copies counted apart. Their texts may turn out to be one group, so other lines are
-    tested against the host's `_texts` without them.
-    """
-    texts = measured.groupBy("_host", "_text").agg(F.any_value("_lines").alias("_lines"))
-    lines = texts.select("_host", "_text", F.inline("_lines"))
-    some = lines.groupBy("_host", "line").agg(F.count("*").alias("_in")).filter(F.col("_in") > line_texts)
-    per_host = measured.select("_host", "_text").distinct().groupBy("_host").agg(F.count("*").alias("_texts"))
-    some = some.join(per_host, "_host").withColumn("_above", F.col("_in") > F.col("_texts") * line_share)
-    shared = stored(lines.join(joinable(stored(some, "shared")), ["_host", "line"]), "shared-lines")
-    held = shared.filter("_above").select("_host", "_text").distinct().groupBy("_host").agg(F.count("*").alias("_held"))
-    least = F.col("_texts") - F.coalesce(F.col("_held") - 1, F.lit(0))
-    found = shared.join(joinable(stored(held, "held")), "_host", "left").filter(F.col("_in") > least * line_share)
-    return stored(found.select("_host", "_text", "line", "words", "_texts", "_above"), "candidates")
+def _exact(share: float) -> Column:
+    """A share as a decimal: products with whole numbers have no rounding."""
+    return F.lit(Decimal(str(share)))
 
 
-def near_copies(candidates: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Stored (_text, _group) of the texts with candidate lines that have near copies among each other.
+def shared_lines(measured: DataFrame, line_texts: int, left_share: float) -> tuple[DataFrame, DataFrame]:
+    """(stored texts with their shared lines and `_key`, distinct keys per host).
 
-    No other text counts for a line, so only these are compared. Texts go by their digest: keys may be null or repeat.
+    The first holds (_host, _text, _shared, _key); texts without shared lines are left out. A text's shared lines are
+    gathered in one row, as they came.
     """
-    some = joinable(stored(candidates.select(F.hex("_text").alias("_id")).distinct(), "candidate-texts"))
-    named = docs.select(F.hex(_digest(text)).alias("_id"), F.col(text).alias("text")).join(some, "_id", "left_semi")
-    texts = stored(named.groupBy("_id").agg(F.any_value("text").alias("text")), "compared")
-    found = near_duplicates(texts, "_id", "text")
-    groups = found.groupBy("component_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
-    found = found.join(groups, "component_id", "left_semi")
-    return stored(found.select(F.unhex("_id").alias("_text"), F.unhex("component_id").alias("_group")), "near-copies")
-
+    texts = measured.groupBy("_host", "_text").agg(F.any_value(F.struct("_lines", "n_words")).alias("_of"))
+    lines = texts.select("_host", "_text", F.col("_of.n_words").alias("_words"), F.inline("_of._lines"))
+    often = lines.groupBy("_host", "line").agg(F.count("*").alias("_in")).filter(F.col("_in") > line_texts).drop("_in")
+    held = lines.join(joinable(stored(often, "often")), ["_host", "line"], "left_semi")
+    gathered = held.groupBy("_host", "_text", "_words").agg(F.collect_list(F.struct("line", "words")).alias("_shared"))
+    left = F.col("_words") - F.aggregate("_shared", F.lit(0).cast("long"), lambda total, one: total + one["words"])
+    least = F.slice(F.sort_array(F.transform("_shared", lambda one: one["line"])), 1, 2)
+    key = F.when(left < F.col("_words") * _exact(left_share), F.concat_ws(" ", least.cast("array<string>"))).otherwise(F.hex("_text"))
+    found = stored(gathered.select("_host", "_text", "_shared", key.alias("_key")), "shared-lines")
+    # all texts of a host, without those that share their key with another one
+    per_host = measured.select("_host", "_text").distinct().groupBy("_host").agg(F.count("*").alias("_texts"))
+    of_key = found.groupBy("_host", "_key").agg(F.count("*").alias("_n")).groupBy("_host").agg((F.sum("_n") - F.count("*")).alias("_less"))
+    keys = per_host.join(of_key, "_host", "left").select("_host", (F.col("_texts") - F.coalesce("_less", F.lit(0))).alias("_keys"))
+    return found, stored(keys, "host-keys")
 
-def _above_limits(candidates: DataFrame, groups: DataFrame | None, line_texts: int, line_share: float) -> DataFrame:
-    """(_host, line) above the limits. Texts, or groups of near copies, are counted after map-side combining.
 
-    In the host's number of texts, the near copies among the texts of `_above` lines count once.
-    """
-    if groups is None:
-        return candidates.filter("_above").select("_host", "line").distinct()
-    rows = candidates.join(joinable(groups), "_text", "left").withColumn("_group", F.coalesce("_group", "_text"))
-    counts = rows.groupBy("_host", "line", "_texts", "_group").count().groupBy("_host", "line", "_texts").agg(F.count("*").alias("_in"))
-    held = rows.filter("_above").select("_host", "_text", "_group").distinct()
-    sizes = held.groupBy("_host", "_group").agg((F.count("*") - 1).alias("_more")).groupBy("_host").agg(F.sum("_more").alias("_more"))
-    some = counts.filter(F.col("_in") > line_texts).join(joinable(stored(sizes, "copies")), "_host", "left")
-    texts = F.col("_texts") - F.coalesce("_more", F.lit(0))
-    return some.filter(F.col("_in") > texts * line_share).select("_host", "line")
+def above_limits(found: DataFrame, keys: DataFrame, line_texts: int, line_share: float) -> DataFrame:
+    """(_host, line) above the limits, from `shared_lines`; keys are combined before they are shuffled."""
+    each = found.select("_host", "_key", F.explode("_shared.line").alias("line")).distinct()
+    counts = each.groupBy("_host", "line").agg(F.count("*").alias("_in")).filter(F.col("_in") > line_texts)
+    return counts.join(joinable(keys), "_host").filter(F.col("_in") > F.col("_keys") * _exact(line_share)).select("_host", "line")
 
 
 def frequent_lines(
-    measured: DataFrame,
-    line_texts: int = LINE_TEXTS,
-    line_share: float = LINE_SHARE,
-    docs: DataFrame | None = None,
-    text: str = "text",
+    measured: DataFrame, line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE
 ) -> DataFrame:
-    """(_host, line) above the limits. Near copies count as one text if the measured `docs` are given, exact copies always."""
-    candidates = _candidate_lines(measured, line_texts, line_share)
-    groups = None if docs is None else near_copies(candidates, docs, text)
-    return _above_limits(candidates, groups, line_texts, line_share)
+    """(_host, line) above the limits."""
+    return above_limits(*shared_lines(measured, line_texts, left_share), line_texts, line_share)
 
 
 def judge_documents(
@@ -183,17 +167,18 @@ def judge_documents(
     copies of a text in one host get the same verdict. An empty table gives no rows; other columns are left out.
     """
     measured = stored(measure_documents(docs, key, text, host), "measured")
-    candidates = _candidate_lines(measured, line_texts, line_share)
-    frequent = _above_limits(candidates, near_copies(candidates, docs, text), line_texts, line_share)
+    found, keys = shared_lines(measured, line_texts, left_share)
+    frequent = joinable(stored(above_limits(found, keys, line_texts, line_share), "frequent"))
     # worked out once for each text of a host, not for each copy
-    removed = candidates.join(frequent, ["_host", "line"]).groupBy("_host", "_text").agg(F.sum("words").alias("_removed"))
-    joined = measured.drop("_lines").join(removed, ["_host", "_text"], "left")
+    lines = found.select("_host", "_text", F.inline("_shared"))
+    removed = lines.join(frequent, ["_host", "line"], "left_semi").groupBy("_host", "_text").agg(F.sum("words").alias("_removed"))
+    joined = measured.drop("_lines").join(joinable(stored(removed, "removed")), ["_host", "_text"], "left")
     return joined.select(
         key,
         *_NAMES[:5],
         F.coalesce("_removed", F.lit(0)).alias("n_frequent_words"),
         base_failed().alias("base_failed"),
-        (~base_failed() & (F.col("n_words") - F.coalesce("_removed", F.lit(0)) >= F.col("n_words") * left_share)).alias("kept"),
+        (~base_failed() & (F.col("n_words") - F.coalesce("_removed", F.lit(0)) >= F.col("n_words") * _exact(left_share))).alias("kept"),
     )
 
 

@@ -142,7 +142,8 @@ WITH doc AS (
 ),
 line AS (
   SELECT doc_id, host, text, i, l, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS n,
-         trim(regexp_replace(regexp_replace(lower(l), '[0-9]', '0', 'g'), '\\s+', ' ', 'g')) AS plain
+         substr(md5(array_to_string(regexp_extract_all(
+           translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^\\x20\\x09-\\x0D]+'), ' ')), 1, 16) AS plain
   FROM (SELECT doc_id, host, text, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, ls[i] AS l FROM doc)
 ),
 dup AS (
@@ -157,9 +158,21 @@ rep AS (
   FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1)
   GROUP BY doc_id
 ),
-host_texts AS (SELECT host, count(DISTINCT text) AS t FROM doc GROUP BY host),
+host_line AS (SELECT host, text, plain, sum(n) AS n FROM (SELECT DISTINCT host, text, i, plain, n FROM line WHERE n > 0) GROUP BY host, text, plain),
+shared AS (SELECT host, plain FROM host_line GROUP BY host, plain HAVING count(*) > 20),
+held AS (
+  SELECT host, text, sum(n) AS n, array_to_string(list_sort(list(plain))[1:2], ' ') AS least FROM host_line JOIN shared USING (host, plain) GROUP BY host, text
+),
+keyed AS (
+  SELECT host, text, CASE WHEN len({_WORDS7}) - n < len({_WORDS7}) * 0.2 THEN least ELSE 'text ' || text END AS key FROM held
+),
+host_keys AS (
+  SELECT host, count(DISTINCT coalesce(key, 'text ' || text)) AS t FROM (SELECT DISTINCT host, text FROM doc) LEFT JOIN keyed USING (host, text) GROUP BY host
+),
 often AS (
-  SELECT host, plain FROM (SELECT host, plain, count(DISTINCT text) AS c FROM line WHERE n > 0 GROUP BY host, plain) JOIN host_texts USING (host)
+  SELECT host, plain FROM (
+    SELECT host, plain, count(DISTINCT key) AS c FROM host_line JOIN shared USING (host, plain) JOIN keyed USING (host, text) GROUP BY host, plain
+  ) JOIN host_keys USING (host)
   WHERE c > 20 AND c > t * 0.05
 ),
 gone AS (SELECT doc_id, sum(n) AS n FROM line JOIN often USING (host, plain) GROUP BY doc_id),
