@@ -2,7 +2,8 @@
 
 1. Each document's set of word shingles becomes a digest of the set, a signature of `BANDS * ROWS` minima kept
    to 8 bits each, and one hash per band of `ROWS` minima.
-2. Documents with one set are one class; its smallest id stands for it from here on.
+2. Documents with one set are one class, numbered; the class is what is compared from here on. Sets of one id are joined
+   at the end.
 3. Candidates share a band. First every member of a bucket meets the bucket's centre only (a centre drawn per
    bucket, so a document meets several). Links found there merge groups of near copies, however large.
 4. Buckets that still hold more than one component meet their best linked member in the same way: the text that copies
@@ -140,7 +141,7 @@ def plausible(left: np.ndarray, right: np.ndarray, least: dict[int, int]) -> np.
     return kept
 
 
-def _pruned(pairs: DataFrame, signatures: DataFrame, kind: str) -> DataFrame:
+def _pruned(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """Pairs (a, b) that survive the signature batches."""
     least = least_matches()
 
@@ -155,10 +156,10 @@ def _pruned(pairs: DataFrame, signatures: DataFrame, kind: str) -> DataFrame:
     for side in "ab":
         other = signatures.select(F.col("node").alias(side), F.col("_signature").alias(f"_{side}"))
         pairs = pairs.join(other, side)
-    return pairs.select("a", "b", "_a", "_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, kind: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
     """Stored pairs whose full sets reach the threshold. Only documents of some pair are read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +170,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, kind: str)
                 good.append(reaches(one, other))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    full = _sets(docs, pairs.select("a").union(pairs.select("b")), key, text, kind)
+    full = _sets(docs, pairs.select("a").union(pairs.select("b")), nodes, key, text)
     for side in "ab":
         pairs = pairs.join(full.select(F.col("node").alias(side), F.col("_shingles").alias(f"_{side}")), side)
-    return stored(pairs.select("a", "b", "_a", "_b").mapInArrow(run, f"a {kind}, b {kind}"), "links")
+    return stored(pairs.select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long"), "links")
 
 
 def reaches(one: np.ndarray, other: np.ndarray) -> bool:
@@ -207,7 +208,7 @@ def _best_linked(labelled: DataFrame, links: DataFrame) -> DataFrame:
     return met.select(F.least("node", "_centre").alias("a"), F.greatest("node", "_centre").alias("b")).distinct()
 
 
-def _rest(labelled: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
+def _rest(labelled: DataFrame, nodes: DataFrame) -> DataFrame:
     """(cell, nodes, labels, left, right): the surviving pairs, as positions in `nodes`, of every block that has some.
 
     Set sizes fall into classes of ratio 4/3; a pair is at most one class apart, so a row joins the group of its
@@ -260,33 +261,36 @@ def _rest(labelled: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
                     where = where.reshape(2, -1).tolist()
                     cells.append((cell, [members[at]["node"] for at in some], [members[at]["_label"] for at in some], *where))
             columns = list(zip(*cells)) or [()] * 5
-            ids = pa.list_({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind])
+            ids = pa.list_(pa.int64())
             kinds = (pa.int64(), ids, ids, pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, kinds)), ["cell", "nodes", "labels", "left", "right"])
 
     cell = F.xxhash64("band", "_class", "_block.i", "_block.j").alias("cell")
     return groups.select(cell, "band", "_block.i", "_block.j", "_members").mapInArrow(
-        run, f"cell long, nodes array<{kind}>, labels array<{kind}>, left array<int>, right array<int>"
+        run, "cell long, nodes array<long>, labels array<long>, left array<int>, right array<int>"
     )
 
 
-def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str, kind: str) -> DataFrame:
-    """(node, _shingles) of the needed documents, which are read again and stored."""
+def _sets(docs: DataFrame, needed: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """Stored (node, _shingles) of the needed classes, each from a document of it that is read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [shingle_set(one).tobytes() for one in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["node", "_shingles"])
-
-    texts = docs.select(key, text).join(needed.toDF(key).distinct(), key, "left_semi")
-    # rows of one id count as one document: the one with the smallest set bytes stands for it
-    sets = texts.mapInArrow(run, f"node {kind}, _shingles binary").groupBy("node").agg(F.min("_shingles").alias("_shingles"))
+            sets = [shingle_set(one) for one in batch.column(2).to_pylist()]
+            # another row of the id may hold another text
+            good = [xxhash.xxh3_128_digest(one.tobytes()) == digest for one, digest in zip(sets, batch.column(1).to_pylist())]
+            rows = pa.array([one.tobytes() for one in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["node", "_shingles"]).filter(pa.array(good, pa.bool_()))
+
+    wanted = nodes.select("node", "_set", F.col("_first").alias(key)).join(needed.toDF("node").distinct(), "node", "left_semi")
+    texts = docs.select(key, text).join(wanted, key).select("node", "_set", text)
+    sets = texts.mapInArrow(run, "node long, _shingles binary").groupBy("node").agg(F.any_value("_shingles").alias("_shingles"))
     return stored(sets, "sets")
 
 
-def _verified_cells(cells: DataFrame, docs: DataFrame, key: str, text: str, kind: str) -> DataFrame:
+def _verified_cells(cells: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
     """Stored links (a, b) of stored cells. Within a cell, pairs that earlier links have joined are not verified again."""
-    sets = _sets(docs, cells.select(F.explode("nodes")), key, text, kind)
+    sets = _sets(docs, cells.select(F.explode("nodes")), nodes, key, text)
     wanted = cells.select("cell", F.explode("nodes").alias("node"))
     held = wanted.join(sets, "node").groupBy("cell").agg(F.collect_list(F.struct("node", "_shingles")).alias("_held"))  # at most 2 * BLOCK
 
@@ -308,11 +312,10 @@ def _verified_cells(cells: DataFrame, docs: DataFrame, key: str, text: str, kind
                         root[other] = one
                         links.append((nodes[at], nodes[it]))
             columns = list(zip(*links)) or [(), ()]
-            ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-            yield pa.RecordBatch.from_arrays([pa.array(column, ids) for column in columns], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in columns], ["a", "b"])
 
     joined = cells.join(held, "cell").select("nodes", "labels", "left", "right", "_held")
-    return stored(joined.mapInArrow(run, f"a {kind}, b {kind}"), "links")
+    return stored(joined.mapInArrow(run, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -322,24 +325,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     one component. A row without an id is linked with nothing, has no component and is kept. An empty table gives no
     rows; other columns are left out. Ids are whole numbers or strings.
     """
-    kind = docs.schema[key].dataType.simpleString()
     facts = stored(_facts(docs, key, text), "shingled")
     known = facts.filter((F.col("n_shingles") > 0) & F.col(key).isNotNull())
-    classes = known.groupBy("_set").agg(F.min(key).alias("node"))
-    reps = known.join(classes.select(F.col("node").alias(key)).distinct(), key, "left_semi")
-    one_each = reps.groupBy(F.col(key).alias("node")).agg(
-        F.min_by(F.struct("n_shingles", "_signature", "_bands"), "_set").alias("_of")
+    classes = known.groupBy("_set").agg(
+        F.min(key).alias("_first"), F.any_value(F.struct("n_shingles", "_signature", "_bands")).alias("_of")
     )
-    nodes = stored(one_each.select("node", "_of.*"), "nodes")
+    nodes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "_set", "_first", "_of.*"), "nodes")
     signatures = nodes.select("node", "_signature")
     bands = nodes.select("node", "n_shingles", F.explode("_bands").alias("band"))
-    drawn = F.struct(F.xxhash64("node", "band"), "node", "n_shingles")
+    # one centre for most bands of a group, so a member meets few
+    drawn = F.struct(F.xxhash64("node"), "node", "n_shingles")
     buckets = bands.groupBy("band").agg(F.count("*").alias("_n"), F.min(drawn).alias("_centre")).filter(F.col("_n") > 1)
     buckets = stored(buckets.select("band", F.col("_centre.node").alias("_centre"), F.col("_centre.n_shingles").alias("_size")), "buckets")
     shared = stored(bands.join(buckets, "band"), "members")
     pairs = shared.filter((F.col("node") != F.col("_centre")) & _close(F.col("n_shingles"), F.col("_size")))
     pairs = pairs.select(F.least("node", "_centre").alias("a"), F.greatest("node", "_centre").alias("b")).distinct()
-    links = _verified(stored(_pruned(pairs, signatures, kind), "survivors"), docs, key, text, kind)
+    links = _verified(stored(_pruned(pairs, signatures), "survivors"), docs, nodes, key, text)
     found = components(links)
     members = shared.select("band", "node", "n_shingles")
     for step in ("best linked", "rest"):
@@ -347,14 +348,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if labelled.isEmpty():
             break
         if step == "best linked":
-            survivors = stored(_pruned(_best_linked(labelled, links), signatures, kind), "survivors")
-            more = _verified(survivors, docs, key, text, kind)
+            survivors = stored(_pruned(_best_linked(labelled, links), signatures), "survivors")
+            more = _verified(survivors, docs, nodes, key, text)
         else:
-            more = _verified_cells(stored(_rest(labelled, nodes, kind), "cells"), docs, key, text, kind)
+            more = _verified_cells(stored(_rest(labelled, nodes), "cells"), docs, nodes, key, text)
         if not more.isEmpty():
             links = links.union(more)
             found = components(links)
-    owner = classes.join(found, "node", "left").select("_set", F.coalesce("component", "node").alias("_component"))
+    return _assigned(facts, known, nodes, links, found, key)
+
+
+def _assigned(facts: DataFrame, known: DataFrame, nodes: DataFrame, links: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The rows of `facts` with their component: the smallest id of any set that links or ids in common reach."""
+    of_id = known.select(key, "_set").distinct()
+    several = of_id.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select(key)
+    ids = stored(of_id.join(several, key, "left_semi").join(nodes.select("_set", "node"), "_set").select(key, "node"), "sets-of-ids")
+    if not ids.isEmpty():
+        first = ids.groupBy(key).agg(F.min("node").alias("b"))
+        same = ids.join(first, key).select(F.col("node").alias("a"), "b").filter(F.col("a") != F.col("b"))
+        found = components(links.union(same))
+    owned = nodes.select("_set", "node", "_first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = owned.groupBy("component").agg(F.min("_first").alias("_component"))
+    owner = owned.join(least, "component").select("_set", "_component")
     joined = facts.select(key, "n_shingles", "_set").join(owner, "_set", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col(key))
     component = F.when(F.col(key).isNotNull(), component)

@@ -103,3 +103,16 @@ def test_components(spark):
     alone = {node for node in parent if node not in result}
     assert all(root(node) == node and sum(root(other) == node for other in parent) == 1 for node in alone)
     assert result == {node: root(node) for node in parent if node not in alone}
+
+
+def test_one_id_with_several_texts(spark):
+    """Every text of an id keeps its links, and the id holds them together."""
+    rng = random.Random(12)
+    one, other = (" ".join(f"{letter}{rng.randrange(10**6)}" for _ in range(300)) for letter in "ab")
+    made = [(1, one), (1, other), (2, one + " more"), (3, other + " more"), (4, one), (5, other), (6, "by itself"), (None, one)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    result = {(row.doc_id, row.component_id, row.kept) for row in near_duplicates(docs).collect()}
+    assert result == {(1, 1, True), *((at, 1, False) for at in (2, 3, 4, 5)), (6, 6, True), (None, None, True)}
+    apart = docs.filter("doc_id <> 1")
+    result = {(row.doc_id, row.component_id) for row in near_duplicates(apart).collect()}
+    assert result == {(2, 2), (4, 2), (3, 3), (5, 3), (6, 6)}
