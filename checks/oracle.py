@@ -5,6 +5,8 @@ from __future__ import annotations
 from checks.queries import CYCLE_MOMENTS, CYCLE_NOW, NOW
 from checks.views import (
     EXCLUSION,
+    HOT_MILLIS,
+    HOT_SYM,
     QUOTA_LINE,
     RAW_PATH,
     RIC,
@@ -113,6 +115,10 @@ SPREAD = f"""{OWNED}, spread AS (
  sizes AS (SELECT path, {total('length')} AS size_bytes FROM spread GROUP BY path)"""
 LEVEL = "len(string_split(path, '/')) - 1"
 EXCL = f"excl AS (SELECT {EXCLUSION} AS path FROM nation)"
+HOT_TIME = (
+    "CASE WHEN event_id % 3 = 0 THEN make_timestamp((1600000200000 + CASE WHEN event_id % 30 = 0 THEN 1000 "
+    "ELSE event_id * {} % 300000 END) * 1000) ELSE ts END"
+)
 MANY = f"""many AS (
   SELECT {order_exclusion("strftime(o_orderdate, '%Y%m%d')")} AS path FROM orders
   UNION ALL SELECT path FROM inv WHERE mtime < TIMESTAMP '1996-01-01')"""
@@ -406,9 +412,14 @@ ORACLE: dict[str, str] = {
         SELECT path, CAST(floor((epoch(TIMESTAMP '{NOW}') - epoch(mtime)) / 86400) AS BIGINT) AS age_days
         FROM inv WHERE ends_with(path, '/_SUCCESS'))
       SELECT * FROM aged WHERE age_days >= 1500""",
-    "prefix_anti_small": f"WITH {INV}, {EXCL} SELECT path, length FROM inv WHERE NOT {under('excl')}",
+    "prefix_anti_small": f"WITH {INV}, {EXCL} SELECT {RAW_PATH} AS path, length FROM (SELECT * FROM inv WHERE NOT {under('excl')})",
     "prefix_anti_large": f"""WITH {INV}, {MANY}, {hits('hit', 'inv', 'many')}
-      SELECT path, length FROM inv WHERE path NOT IN (SELECT full_path FROM hit)""",
+      SELECT {RAW_PATH} AS path, length FROM (SELECT * FROM inv WHERE path NOT IN (SELECT full_path FROM hit))""",
+    "prefix_anti_nested": f"""WITH {INV}, {MANY}, {EXCL}, closed AS (SELECT path FROM many UNION ALL SELECT path FROM excl),
+      hot AS (SELECT CASE WHEN length % 3 = 0 THEN '/project/abcd/feed/hot' ELSE path END AS path,
+                     CASE WHEN length % 3 = 0 THEN 'hdfs://nn:8020/project/abcd/feed/hot' ELSE {RAW_PATH} END AS shown, length FROM inv),
+      {hits('hit', 'hot', 'closed')}
+      SELECT shown AS path, length FROM hot WHERE path NOT IN (SELECT full_path FROM hit)""",
     "latest_version": f"WITH {VERS} SELECT parent, name FROM ranked WHERE place = 1",
     "old_version_dirs": f"WITH {VERS} SELECT parent, name, parent || '/' || name AS path FROM ranked WHERE place > 1",
     "find_old_local": f"""WITH {INV}, {EXCL}, {VERS.split(', ranked AS')[0].split(chr(10) + ' ranked AS')[0].rstrip(',')},
@@ -430,8 +441,8 @@ ORACLE: dict[str, str] = {
       WHERE mtime < TIMESTAMP '{NOW}' - INTERVAL 2000 DAY AND NOT {under('excl')}""",
     "final_list": f"""WITH {INV}, {EXCL}, {MANY}, both_lists AS (SELECT path FROM excl UNION ALL SELECT path FROM many),
       {hits('hit', 'inv', 'both_lists')}
-      SELECT DISTINCT path FROM inv WHERE mtime < TIMESTAMP '{NOW}' - INTERVAL 1500 DAY
-        AND path NOT IN (SELECT full_path FROM hit)""",
+      SELECT DISTINCT {RAW_PATH} AS path FROM (
+        SELECT * FROM inv WHERE mtime < TIMESTAMP '{NOW}' - INTERVAL 1500 DAY AND path NOT IN (SELECT full_path FROM hit))""",
     "safe_path_rows": f"""WITH {INV} SELECT path, count(*) AS lines FROM inv
       WHERE NOT regexp_matches(path, '/(model|alert|feed|process)/') GROUP BY path""",
     "merged_exclusions": f"WITH {INV}, {EXCL}, {MANY} SELECT path FROM excl UNION SELECT path FROM many",
@@ -455,6 +466,9 @@ ORACLE: dict[str, str] = {
       WHERE EXISTS (SELECT 1 FROM wins WHERE sym = ric AND ts BETWEEN s AND e) GROUP BY sym""",
     "interval_pairs": f"""WITH {TICKS}, {interest()}
       SELECT tick_id, sym, row_key AS window_key FROM ticks JOIN wins ON sym = ric AND ts BETWEEN s AND e""",
+    "interval_pairs_hot": f"""WITH t AS (SELECT event_id AS tick_id, {HOT_SYM} AS sym, {HOT_TIME.format('7919')} AS ts FROM events),
+      w AS (SELECT event_id AS row_key, {HOT_SYM} AS ric, {HOT_TIME.format('104729')} AS s, {HOT_MILLIS} AS n FROM events)
+      SELECT tick_id, sym, row_key AS window_key FROM t JOIN w ON sym = ric AND ts BETWEEN s AND s + n * INTERVAL 1 MILLISECOND""",
     "covered_seconds": f"""WITH {ALL_WINDOWS}, o AS (
         SELECT ric, s, e, max(e) OVER (PARTITION BY ric ORDER BY s, row_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
         FROM wins),

@@ -50,7 +50,7 @@ from stowline.operators.filesystem import delete_paths, outcome_counts, safe_pat
 from stowline.operators.grid import day_slots, symbol_batches
 from stowline.operators.intervals import covered_ranges, drop_repeats, interval_join, ticks_in_windows
 from stowline.operators.packing import pack_windows
-from stowline.operators.prefix import anti_join_by_directory, exclude_below, exclusion_keys
+from stowline.operators.prefix import anti_join_by_order, exclude_below, exclusion_keys
 from stowline.operators.versions import latest_versions, old_versions, version_directories
 from stowline.plans import cleanup, extraction, quota, retention, usage
 from stowline.session import materialize, scratch_folder
@@ -346,14 +346,22 @@ def markers_old(t):
 
 @query
 def prefix_anti_small(t):
-    return exclude_below(t.inventory(), t.exclusions()).select("path", "length")
+    return exclude_below(t.inventory(raw=True), t.exclusions()).select("path", "length")
 
 
 @query
 def prefix_anti_large(t):
     keys = exclusion_keys(t.many_exclusions())
-    depths = [row[0] for row in keys.select("_pieces").distinct().collect()]
-    return anti_join_by_directory(t.inventory(), keys, depths).select("path", "length")
+    return anti_join_by_order(t.inventory(raw=True), keys).select("path", "length")
+
+
+@query
+def prefix_anti_nested(t):
+    """Exclusions of all depths, one inside the other, and a hot path that a third of the rows share."""
+    rows = t.inventory(raw=True)
+    hot = F.when(F.col("length") % 3 == 0, F.lit("hdfs://nn:8020/project/abcd/feed/hot")).otherwise(F.col("path"))
+    closed = t.many_exclusions().unionByName(t.exclusions())
+    return anti_join_by_order(rows.withColumn("path", hot), exclusion_keys(closed)).select("path", "length")
 
 
 @query
@@ -381,7 +389,7 @@ def find_old_listing(t):
 
 @query
 def final_list(t):
-    scheduled = retention.older_than(t.inventory(), NOW, 1500)
+    scheduled = retention.older_than(t.inventory(raw=True), NOW, 1500)
     dynamic = t.many_exclusions()
     return cleanup.final_list(scheduled.unionByName(scheduled), dynamic, t.exclusions())
 
@@ -466,6 +474,13 @@ def interval_pairs(t):
     return pairs.select("tick_id", "sym", F.col("row_key").alias("window_key"))
 
 
+@query
+def interval_pairs_hot(t):
+    """A third of all ticks and windows on one symbol within five minutes."""
+    pairs = interval_join(t.hot_ticks(), t.hot_windows())
+    return pairs.select("tick_id", "sym", F.col("row_key").alias("window_key"))
+
+
 @query
 def covered_seconds(t):
     ranges = covered_ranges(t.windows())

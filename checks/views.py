@@ -101,6 +101,16 @@ RIC = (
 WINDOW_SECONDS = "(60 + event_id % 120)"
 
 
+HOT_SYM = "CASE WHEN event_id % 3 = 0 THEN 'HOT' ELSE 'U' || user_id END"
+HOT_MILLIS = "CASE WHEN event_id % 300 = 0 THEN 20000 ELSE 20 + event_id % 60 END"
+
+
+def hot_time(otherwise: str, step: str) -> str:
+    """SQL text: for a third of the events an instant within five minutes, for some of them the same one."""
+    millis = f"CASE WHEN event_id % 30 = 0 THEN 1000 ELSE event_id * {step} % 300000 END"
+    return f"CASE WHEN event_id % 3 = 0 THEN timestamp_millis(1600000200000 + {millis}) ELSE {otherwise} END"
+
+
 _STORED: dict[tuple, str] = {}
 
 
@@ -240,6 +250,16 @@ class Tables:
             f"CAST(ts AS TIMESTAMP) + make_dt_interval(0, 0, 0, {WINDOW_SECONDS}) AS end",
         )
 
+    @stored
+    def hot_ticks(self) -> DataFrame:
+        return self.events().selectExpr(f"{HOT_SYM} AS sym", f"{hot_time('CAST(ts AS TIMESTAMP)', '7919')} AS ts", "event_id AS tick_id")
+
+    @stored
+    def hot_windows(self) -> DataFrame:
+        start = hot_time("CAST(ts AS TIMESTAMP)", "104729")
+        rows = self.events().selectExpr("event_id AS row_key", f"{HOT_SYM} AS ric", f"{start} AS start", f"{HOT_MILLIS} AS length")
+        return rows.select("row_key", "ric", "start", F.expr("start + make_dt_interval(0, 0, 0, length / 1000.0)").alias("end"))
+
     @stored
     def interest_csv(self) -> DataFrame:
         """An interest row per event as CSV columns, with quoted, blank and unreadable fields."""

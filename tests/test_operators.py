@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from stowline.operators import prefix
+from stowline.operators import intervals, prefix
 from stowline.operators.directories import all_directory_sizes, directory_sizes, listed_sizes, tops_and_children
 from stowline.operators.grid import day_slots, interval_minutes, symbol_batches
 from stowline.operators.intervals import covered_ranges, drop_repeats, interval_join, ticks_in_windows
@@ -101,7 +101,7 @@ def test_prefix_forms_agree_with_brute_force(spark):
     depths, none = prefix.split_depths(keys)
     assert none == []
     small = prefix.anti_join_by_depth(rows, keys, depths)
-    large = prefix.anti_join_by_directory(rows, keys, depths)
+    large = prefix.anti_join_by_order(rows, keys)
     assert sorted(r.path for r in small.collect()) == wanted
     assert sorted(r.path for r in large.collect()) == wanted
 
@@ -112,7 +112,7 @@ def test_the_root_excludes_every_absolute_path(spark, root):
     closed = spark.createDataFrame([(root,)], "path string")
     assert [r.path for r in prefix.exclude_below(rows, closed).collect()] == ["b/c"]
     keys = prefix.exclusion_keys(closed)
-    assert [r.path for r in prefix.anti_join_by_directory(rows, keys, [1]).collect()] == ["b/c"]
+    assert [r.path for r in prefix.anti_join_by_order(rows, keys).collect()] == ["b/c"]
 
 
 def test_too_many_exclusions_take_the_other_form(spark, monkeypatch):
@@ -128,6 +128,26 @@ def test_too_many_exclusions_take_the_other_form(spark, monkeypatch):
     )
 
 
+def test_merging_in_path_order(spark):
+    """Against brute force over many partitions, with nested and hot paths, odd characters and nulls."""
+    rng = random.Random(2)
+    parts = ["a", "b", "ab", "a b", "a-", "a\x01", "\x00", "é", "a.b"]
+    make = lambda most: "/" + "/".join(rng.choices(parts, k=rng.randint(1, most)))
+    paths = [make(6) for _ in range(1500)] + ["/a/b/ab"] * 700 + [None, "/", "a/b", "hdfs://nn:1/a/b/é"]
+    closed = [make(5) for _ in range(60)] + ["/a/b", "/a/b/ab/"]
+    rows = spark.createDataFrame(list(enumerate(paths)), "n int, path string").repartition(4)
+    keys = prefix.exclusion_keys(spark.createDataFrame([(one,) for one in closed], "path string"))
+    bare = lambda path: path[path.index("/", 7):] if path.startswith("hdfs:") else path
+    wanted = [at for at, path in enumerate(paths) if path is None or not excluded(bare(path), closed)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(row.n for row in prefix.anti_join_by_order(rows, keys).collect()) == wanted
+        plan = prefix.in_path_order(rows, keys)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in plan
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_no_exclusions_keep_everything(spark):
     rows = spark.createDataFrame([("/a",)], "path string")
     assert prefix.exclude_below(rows, spark.createDataFrame([], "path string")).count() == 1
@@ -185,8 +205,6 @@ def test_versions(spark):
 
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_ticks_in_windows_equal_brute_force(spark, monkeypatch, limit):
-    from stowline.operators import intervals
-
     monkeypatch.setattr(intervals, "BROADCAST_RANGES", limit)
     rng = random.Random(3)
     symbol = lambda: "HOT" if rng.random() < 0.4 else f"S{rng.randint(0, 5)}"
@@ -209,6 +227,26 @@ def test_ticks_in_windows_equal_brute_force(spark, monkeypatch, limit):
     assert sorted(r.tick_id for r in once.collect()) == sorted(set(kept))
 
 
+def test_hot_cells_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "HOT_PAIRS", 200)
+    monkeypatch.setattr(intervals, "CUTS", 8)
+    rng = random.Random(4)
+    at = lambda: BASE + timedelta(milliseconds=rng.choice([5000, rng.randrange(290_000), rng.randrange(40)]))
+    ticks = [("H", at(), n) for n in range(400)] + [("A", at(), n) for n in range(400, 405)] + [(None, at(), 405), ("H", None, 406)]
+    windows = []
+    for n in range(200):
+        start = at()
+        windows.append(("H" if n % 4 else "A", start, start + timedelta(milliseconds=rng.choice([0, 1, 50, 100_000, 9_000_000])), n))
+    windows.append((None, BASE, BASE + timedelta(days=1), 200))
+    pairs = intervals.interval_join(
+        spark.createDataFrame(ticks, "sym string, ts timestamp, n int"),
+        spark.createDataFrame(windows, "ric string, start timestamp, end timestamp, k int"),
+    )
+    wanted = sorted((n, k) for sym, ts, n in ticks for ric, start, end, k in windows if sym and ts and sym == ric and start <= ts <= end)
+    assert sorted((row.n, row.k) for row in pairs.collect()) == wanted
+    assert pairs.columns == ["sym", "ts", "n", "ric", "start", "end", "k"]
+
+
 def test_covered_ranges_do_not_overlap(spark):
     rows = [("A", BASE, BASE + timedelta(minutes=12)), ("A", BASE + timedelta(minutes=1), BASE + timedelta(minutes=2))]
     rows += [("A", BASE + timedelta(minutes=11), BASE + timedelta(minutes=13))]
@@ -220,8 +258,6 @@ def test_covered_ranges_do_not_overlap(spark):
 
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_windows_of_any_length(spark, monkeypatch, limit):
-    from stowline.operators import intervals
-
     monkeypatch.setattr(intervals, "BROADCAST_RANGES", limit)
     rng = random.Random(8)
     lengths = [timedelta(0), timedelta(seconds=300), timedelta(hours=5), timedelta(days=40), timedelta(days=3660)]

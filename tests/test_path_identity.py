@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stowline.functions.sizes import parse_size
 from stowline.operators.filesystem import delete_paths
-from stowline.operators.prefix import anti_join_by_directory, exclude_below, exclusion_keys
+from stowline.operators.prefix import anti_join_by_order, exclude_below, exclusion_keys
 from stowline.operators.versions import latest_versions, old_versions
 from stowline.plans import extraction
 from stowline.sources import interest, inventory
@@ -20,7 +20,7 @@ def test_exclusions_meet_paths_under_any_spelling(spark):
     excluded = paths(spark, "/p/x", "hdfs://nn:8020/p/y/", "file:/p/q")
     assert [row.path for row in exclude_below(given, excluded).collect()] == ["hdfs://nn:8020/p/xy"]
     keys = exclusion_keys(excluded)
-    assert [row.path for row in anti_join_by_directory(given, keys, [3]).collect()] == ["hdfs://nn:8020/p/xy"]
+    assert [row.path for row in anti_join_by_order(given, keys).collect()] == ["hdfs://nn:8020/p/xy"]
 
 
 def test_bare_paths_belong_to_the_default_file_system(spark, tmp_path, monkeypatch):
