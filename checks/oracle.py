@@ -552,6 +552,15 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT 'gone' || path, 'File Not Found' FROM gone UNION ALL SELECT 'gone' || path, 'File Not Found' FROM gone
       UNION ALL SELECT path, 'Error: outside the allowed root' FROM gone
       UNION ALL SELECT path, 'Error: outside the allowed root' FROM gone""",
+    "delete_resumed": f"""WITH {TREE}, {EXCL}, runs AS (SELECT unnest(['plain', 'resumed']) AS run),
+      places AS (SELECT DISTINCT top, top || '/' || team AS path FROM tree)
+      SELECT run, path, CASE WHEN regexp_matches(top, '(model|alert)$') THEN 'Directory Deleted (Skip Trash)' ELSE 'left' END AS status
+      FROM places CROSS JOIN runs
+      UNION ALL SELECT run, 'gone' || path, 'File Not Found' FROM excl CROSS JOIN runs
+      UNION ALL SELECT run, 'gone' || path, 'File Not Found' FROM excl CROSS JOIN runs
+      UNION ALL SELECT run, path, 'Error: outside the allowed root' FROM (SELECT DISTINCT path FROM excl) CROSS JOIN runs""",
+    "deletion_journal": f"""WITH {TREE} SELECT DISTINCT top || '/' || team AS path, 1 AS intents,
+      'Directory Deleted (Skip Trash)' AS status, 1 AS attempts FROM tree WHERE regexp_matches(top, '(model|alert)$')""",
     "purge_markers": f"""WITH {TREE}, marker AS (
         SELECT top || '/' || team || '/year=' || year(mtime) || '/_SUCCESS' AS path, max(mtime) AS mtime FROM tree GROUP BY 1)
       SELECT path, CASE WHEN floor((epoch(TIMESTAMP '{NOW}') - epoch(mtime)) / 86400) >= 1700

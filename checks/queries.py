@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.views import Tables
@@ -46,7 +47,7 @@ from stowline.operators.directories import (
     directories_at,
     tops_and_children,
 )
-from stowline.operators.filesystem import delete_paths, outcome_counts, safe_paths
+from stowline.operators.filesystem import delete_paths, journal_rows, outcome_counts, safe_paths
 from stowline.operators.grid import day_slots, symbol_batches
 from stowline.operators.intervals import covered_ranges, drop_repeats, interval_join, ticks_in_windows
 from stowline.operators.packing import pack_windows
@@ -750,6 +751,51 @@ def delete_listed(t):
     return rows.select(shown.alias("path"), "status")
 
 
+def _places(t, folder: str) -> DataFrame:
+    """The places of two tops, directories that are not there, and paths outside the folder."""
+    place = F.concat(F.lit(f"{folder}/top="), "top_dir", F.lit("/team="), "team")
+    there = _placed(t).filter(F.col("top_dir").isin("model", "alert")).select(place.alias("path")).distinct()
+    gone = t.exclusions().select(F.concat(F.lit(folder), F.lit("/gone"), "path").alias("path"))
+    return materialize(there.unionByName(gone).unionByName(gone).unionByName(t.exclusions().select("path").distinct()))
+
+
+@query
+def delete_resumed(t):
+    """One deletion goes through; the other one's tasks fail half-way, and a second run ends it with the first's journal."""
+
+    def stop(path):
+        if path.endswith("=fx"):
+            raise RuntimeError("stopped by the rehearsal")
+
+    shown = []
+    for label in ("plain", "resumed"):
+        folder = _local(_tree(t))
+        listed, journal = _places(t, folder), scratch_folder(t.spark, "journal")
+        if label == "resumed":
+            try:
+                delete_paths(listed, folder, dry_run=False, journal=journal, before=stop)
+                raise AssertionError("the first run was not stopped")
+            except PythonException:
+                pass
+        statuses = delete_paths(listed, folder, dry_run=False, journal=journal)
+        left = inventory.list_tree(t.spark, folder, max_depth=2).filter(F.col("is_dir") & F.col("path").contains("/team="))
+        rows = statuses.unionByName(left.select("path", F.lit("left").alias("status")))
+        bare = F.when(F.col("path").startswith(folder), _relative("path", folder)).otherwise(F.col("path"))
+        shown.append(rows.select(F.lit(label).alias("run"), bare.alias("path"), "status"))
+    return shown[0].unionByName(shown[1])
+
+
+@query
+def deletion_journal(t):
+    """What a deletion wrote down: one intent and one outcome for every path that was there."""
+    folder, journal = _local(_tree(t)), scratch_folder(t.spark, "journal")
+    delete_paths(_places(t, folder), folder, dry_run=False, journal=journal)
+    rows = journal_rows(t.spark, journal).groupBy("path").agg(
+        F.count_if(F.col("phase") == "intent").alias("intents"), F.max("status").alias("status"), F.count_distinct("run", "attempt").alias("attempts")
+    )
+    return rows.withColumn("path", _relative("path", folder))
+
+
 def _touch_markers(frames):
     """Write a success marker per row, with the time given; on the executors, into the shared folder."""
     for frame in frames:

@@ -1,10 +1,13 @@
 import os
 from datetime import datetime
 
+import pandas as pd
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from stowline.operators.filesystem import OUTSIDE_ROOT, delete_paths, outcome_counts
+from stowline.operators import filesystem
+from stowline.operators.filesystem import OUTSIDE_ROOT, delete_paths, journal_statuses, outcome_counts
 from stowline.plans import cleanup, extraction
 from stowline.sinks import files
 from stowline.sources import interest, inventory, texts
@@ -87,6 +90,50 @@ def test_deletes_run_once_and_only_inside_the_root(spark, root):
     assert {r.status: r.paths for r in outcome_counts(done).collect()}[OUTSIDE_ROOT] == 3
 
 
+def test_a_retried_task_reports_its_own_deletes(root, tmp_path_factory):
+    """The first attempt ends after one delete; the second one gives the statuses that one attempt would have given."""
+    book = str(tmp_path_factory.mktemp("book"))
+    wanted = [f"{root}/a/x", f"{root}/a/y/f 2", f"{root}/nope", f"{root}/a/x", f"{root}/b", "/etc/hostname"]
+    frame = pd.DataFrame({"path": wanted, "allowed": [True] * 5 + [False], "was": [None] * 6})
+    seen = []
+
+    def stop(path):
+        seen.append(path)
+        if len(seen) == 2:
+            raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        list(filesystem._delete_job(False, book, stop)(iter([frame])))
+    assert not (root / "a/x").exists() and (root / "b").exists()
+    (found,) = filesystem._delete_job(False, book)(iter([frame]))
+    assert found["status"].tolist() == [
+        "Directory Deleted (Skip Trash)", "File Deleted (Skip Trash)", "File Not Found", "File Not Found",
+        "Directory Deleted (Skip Trash)", OUTSIDE_ROOT,
+    ]
+
+
+def test_a_new_run_goes_on_with_the_journal(spark, root, tmp_path_factory):
+    book = str(tmp_path_factory.mktemp("book"))
+    listed = spark.createDataFrame([(f"{root}/{name}",) for name in ("a/x", "b", "c", "nope")], "path string")
+
+    def stop(path):
+        if path.endswith("/c"):
+            raise RuntimeError("lost")
+
+    assert journal_statuses(spark, book + "/none").count() == 0
+    with pytest.raises(PythonException):
+        delete_paths(listed, str(root), dry_run=False, journal=book, before=stop)
+    result = {row.path[len(str(root)) + 1 :]: row.status for row in delete_paths(listed, str(root), dry_run=False, journal=book).collect()}
+    deleted = "Directory Deleted (Skip Trash)"
+    assert result == {"a/x": deleted, "b": deleted, "c": deleted, "nope": "File Not Found"}
+    kept = {row.path[len(str(root)) + 1 :]: (row.is_dir, row.status) for row in journal_statuses(spark, book).collect()}
+    assert kept["c"] == (True, deleted) and "nope" not in kept
+    # what is made again afterwards is deleted again, and what was never there stays missing
+    (root / "b").mkdir()
+    again = {row.path[len(str(root)) + 1 :]: row.status for row in delete_paths(listed, str(root), dry_run=False, journal=book).collect()}
+    assert again["b"] == deleted and again["nope"] == "File Not Found" and not (root / "b").exists()
+
+
 def test_purge_markers(spark, root):
     found = inventory.list_tree(spark, str(root))
     assert cleanup.purge_markers(found, datetime.now(), str(root), dry_run=False)[0].count() == 0
