@@ -63,10 +63,15 @@ def parsed_size(text: str, base: int) -> str:
     steps = " ".join(f"WHEN '{name}' THEN {float(base**power)!r}" for power, name in enumerate(["B", "KB", "MB", "GB", "TB"]))
     number = f"TRY_CAST({words}[1] AS DOUBLE)"
     return (
-        f"CASE WHEN len({words}) = 2 THEN coalesce(trunc({number} * CASE {unit} {steps} END)::BIGINT, 0) ELSE 0 END"
+        f"CASE WHEN len({words}) <> 2 OR {number} * CASE {unit} {steps} END IS NULL THEN 0::HUGEINT "
+        f"WHEN abs({number} * CASE {unit} {steps} END) < 1e30 THEN trunc({number} * CASE {unit} {steps} END)::HUGEINT END"
     )
 
 
+def wide(value: str) -> str:
+    return f"CAST({value} AS DECIMAL(38, 0))"
+
+
 def total(value: str) -> str:
     return f"CAST(sum({value}) AS BIGINT)"
 
@@ -272,9 +277,9 @@ def word_team(path: str, words: list[str]) -> str:
     return f"CASE {steps} ELSE 'others' END"
 
 
-def pivoted(words: list[str], wrap, source: str, key: str) -> str:
+def pivoted(words: list[str], wrap, source: str, key: str, kind: str = "BIGINT") -> str:
     columns = ", ".join(
-        f"{wrap(f'coalesce(CAST(sum(CASE WHEN team = {chr(39)}{word}{chr(39)} THEN bytes END) AS BIGINT), 0)')} AS {word}"
+        f"{wrap(f'coalesce(CAST(sum(CASE WHEN team = {chr(39)}{word}{chr(39)} THEN bytes END) AS {kind}), 0)')} AS {word}"
         for word in [*words, "others"]
     )
     return f"SELECT {key} AS base_path, {columns} FROM {source} GROUP BY 1"
@@ -327,8 +332,9 @@ ORACLE: dict[str, str] = {
     "report_pivot": f"""WITH {SIZES}, rows AS (
         SELECT {joined("string_split(path, '/')", 1, '6')} AS base, {word_team('path', ['ib', 'eq', 'ld', 'bm'])} AS team,
                {parsed_size('size', 1000)} AS bytes FROM lines
-        UNION ALL SELECT '/project/abcd/efgh/ijkl/none', 'others', 0)
-      {pivoted(['ib', 'eq', 'ld', 'bm'], cell, 'rows', 'base')}""",
+        UNION ALL SELECT '/project/abcd/efgh/ijkl/none', 'others', 0),
+      large AS (SELECT base, count(*) FILTER (bytes IS NULL) AS too_large FROM rows GROUP BY base)
+      SELECT p.*, too_large FROM ({pivoted(['ib', 'eq', 'ld', 'bm'], cell, 'rows', 'base', 'HUGEINT')}) p JOIN large ON base_path = base""",
     "top_report": f"""WITH {SPREAD}, tops AS (
         SELECT *, string_split(path, '/')[4] AS name FROM sizes
         WHERE starts_with(path, '/project/abcd/') AND {LEVEL} = 3)
@@ -356,9 +362,10 @@ ORACLE: dict[str, str] = {
           list_slice(p, 7, len(p)), lambda s: {first_word('s', MORE_WORDS)}), lambda x: x IS NOT NULL)[1], 'other') AS team
         FROM split),
       g AS (
-        SELECT base_dir, team, {total('bytes')} AS total_bytes, CAST(0 AS TINYINT) AS is_total FROM teams GROUP BY 1, 2
-        UNION ALL SELECT NULL, team, {total('bytes')}, CAST(1 AS TINYINT) FROM teams GROUP BY team)
-      SELECT * REPLACE (coalesce(base_dir, '-') AS base_dir), CASE WHEN is_total = 0
+        SELECT base_dir, team, coalesce(sum(bytes), 0)::HUGEINT AS total_bytes, CAST(0 AS TINYINT) AS is_total,
+               count(*) FILTER (bytes IS NULL) AS too_large FROM teams GROUP BY 1, 2
+        UNION ALL SELECT NULL, team, coalesce(sum(bytes), 0)::HUGEINT, CAST(1 AS TINYINT), count(*) FILTER (bytes IS NULL) FROM teams GROUP BY team)
+      SELECT * REPLACE (coalesce(base_dir, '-') AS base_dir, {wide('total_bytes')} AS total_bytes), CASE WHEN is_total = 0
           THEN team || ' size in /project/abcd/efgh/ijkl/' || base_dir || ' = ' || {binary('total_bytes')}
           ELSE team || ' size for old dirs = ' || {binary('total_bytes')} END AS line FROM g""",
     "topk_usage": f"WITH {SPREAD} SELECT * FROM sizes ORDER BY size_bytes DESC, path LIMIT 50",
@@ -390,7 +397,8 @@ ORACLE: dict[str, str] = {
     "size_parse_format": f"""WITH {SIZES}, b AS (
         SELECT path, size, {parsed_size('size', 1024)} AS binary_bytes, {parsed_size('size', 1000)} AS decimal_bytes
         FROM lines)
-      SELECT *, {binary('binary_bytes')} AS binary_text, {si('decimal_bytes', 'k')} AS si_text,
+      SELECT * REPLACE ({wide('binary_bytes')} AS binary_bytes, {wide('decimal_bytes')} AS decimal_bytes),
+        binary_bytes IS NULL AS too_large, {binary('binary_bytes')} AS binary_text, {si('decimal_bytes', 'k')} AS si_text,
         {si('binary_bytes', 'K')} AS si_upper, {cell('decimal_bytes')} AS cell FROM b""",
     "classify_modes": f"""WITH {SIZES}, s AS (SELECT path, string_split(path, '/') AS p FROM lines)
       SELECT path, CASE WHEN len(p) < 4 THEN 'unknown' ELSE p[4] END AS top,
@@ -483,9 +491,9 @@ ORACLE: dict[str, str] = {
       SELECT first_row, {stamp('s')} AS start, {stamp('e')} AS "end", rows, array_to_string(names, ',') AS syms, first_ric
       FROM batches""",
     "window_requests": f"""WITH RECURSIVE {interest()}, {packed(5, 20)}
-      SELECT first_row, rows, {request('s', 'e', 'names')} AS request FROM batches""",
+      SELECT row_number() OVER (ORDER BY first_ric NULLS FIRST, s, first_row) - 1 AS position, first_row, rows, {request('s', 'e', 'names')} AS request FROM batches""",
     "window_requests_by_start": f"""WITH RECURSIVE {ALL_WINDOWS}, {packed(5, 20)}
-      SELECT first_row, rows, {request('s', 'e', 'names')} AS request FROM batches""",
+      SELECT row_number() OVER (ORDER BY s, first_ric NULLS FIRST, first_row) - 1 AS position, first_row, rows, {request('s', 'e', 'names')} AS request FROM batches""",
     "sym_batches": f"WITH {batched(20)} SELECT batch_id, array_to_string(names, ',') AS syms FROM chunks",
     "slot_grid": f"""WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events),
       slots AS (SELECT day, CAST(day AS TIMESTAMP) + to_minutes(unnest(generate_series(0, 1439, 7))) AS s FROM days)
@@ -532,13 +540,17 @@ ORACLE: dict[str, str] = {
     "interest_rejects": f"WITH {interest()} SELECT * FROM interest WHERE end_text = 'bad'",
     "tick_file": f"WITH {TICKS} SELECT * REPLACE ({stamp('ts')} AS ts) FROM ticks",
     "request_file": f"""WITH RECURSIVE {ALL_WINDOWS}, {packed(5, 20)}
-      SELECT {request('s', 'e', 'names')} AS value FROM batches""",
+      SELECT row_number() OVER (ORDER BY first_ric NULLS FIRST, s, first_row) - 1 AS position, {request('s', 'e', 'names')} AS value FROM batches""",
     "live_dir_sizes": f"""WITH {TREE}, {EXCL}, sized AS (
         SELECT top || '/' || team AS path, {total('bytes')} AS size_bytes FROM tree GROUP BY 1
         UNION ALL SELECT top, {total('bytes')} FROM tree GROUP BY 1
         UNION ALL SELECT DISTINCT 'gone' || path, NULL FROM excl)
       SELECT path, coalesce(size_bytes, -1) AS size_bytes, {INVALID.format("'OK'")} AS status, {INVALID.format(si('size_bytes', 'K'))} AS size
       FROM sized""",
+    "directory_size_job": f"""WITH {TREE}, sized AS (
+        SELECT top || '/' || team AS path, {total('bytes')} AS size_bytes FROM tree GROUP BY 1
+        UNION ALL SELECT top, {total('bytes')} FROM tree GROUP BY 1)
+      SELECT *, {si('size_bytes', 'k')} AS size_human_readable FROM sized""",
     "tree_directories": f"WITH {TREE} SELECT top AS path FROM tree UNION SELECT top || '/' || team FROM tree",
     "top_directories": f"WITH {TREE} SELECT DISTINCT top AS path FROM tree",
     "pruned_tree": f"""WITH {TREE} SELECT top || '/' || team AS path, {total('bytes')} AS bytes FROM tree

@@ -40,7 +40,7 @@ from stowline.functions.paths import (
     relative_to,
     strip_scheme,
 )
-from stowline.functions.sizes import format_binary, format_cell, format_si, parse_size
+from stowline.functions.sizes import format_binary, format_cell, format_si, parse_size, size_too_large
 from stowline.operators.directories import (
     all_directory_sizes,
     directories,
@@ -53,7 +53,7 @@ from stowline.operators.intervals import covered_ranges, drop_repeats, interval_
 from stowline.operators.packing import pack_windows
 from stowline.operators.prefix import anti_join_by_order, exclude_below, exclusion_keys
 from stowline.operators.versions import latest_versions, old_versions, version_directories
-from stowline.plans import cleanup, extraction, quota, retention, usage
+from stowline.plans import cleanup, extraction, jobs, quota, retention, usage
 from stowline.session import materialize, scratch_folder
 from stowline.sinks.files import (
     append_path_list,
@@ -290,6 +290,7 @@ def size_parse_format(t):
         {
             "binary_bytes": parse_size(F.col("size"), 1024),
             "decimal_bytes": parse_size(F.col("size"), 1000),
+            "too_large": size_too_large(F.col("size")),
         }
     )
     return sized.select(
@@ -514,13 +515,13 @@ def pack_windows_by_count(t):
 @query
 def window_requests(t):
     packed = extraction.window_requests(interest.interest_windows(t.raw_interest()))
-    return packed.select("first_row", "rows", "request")
+    return packed.select("position", "first_row", "rows", "request")
 
 
 @query
 def window_requests_by_start(t):
     packed = extraction.window_requests(t.windows(), extraction.BY_START)
-    return packed.select("first_row", "rows", "request")
+    return packed.select("position", "first_row", "rows", "request")
 
 
 @query
@@ -663,8 +664,8 @@ def tick_file(t):
 def request_file(t):
     folder = scratch_folder(t.spark, "requests")
     batches = extraction.window_requests(t.windows())
-    write_requests(batches, folder, [*extraction.BY_SYMBOL, "first_row"])
-    return texts.read_lines(t.spark, folder)
+    write_requests(batches, folder)
+    return texts.read_numbered_lines(t.spark, folder)
 
 
 # ---- file-system jobs: on trees that Spark writes from the tables --------------
@@ -704,6 +705,22 @@ def live_dir_sizes(t):
     return sizes.select(_relative("path", folder).alias("path"), "size_bytes", "status", "size").fillna(-1, ["size_bytes"])
 
 
+@query
+def directory_size_job(t):
+    """The job from its settings alone: list, measure, write, and what was written."""
+    folder, output = _local(_tree(t)), scratch_folder(t.spark, "dir-sizes")
+    settings = {"basePath": folder, "recursiveLevel": "2", "outputPath": output}
+    try:
+        for name, value in settings.items():
+            t.spark.conf.set(f"spark.cleanup.{name}", value)
+        jobs.directory_size_job(t.spark)
+    finally:
+        for name in settings:
+            t.spark.conf.unset(f"spark.cleanup.{name}")
+    written = t.spark.read.csv(output, header=True, schema="path string, size_bytes bigint, size_human_readable string")
+    return written.withColumn("path", _relative("path", folder))
+
+
 @query
 def tree_directories(t):
     folder = _local(_tree(t))

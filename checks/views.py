@@ -79,7 +79,8 @@ SIZE_PATH = (
 )
 SIZE_TEXT = (
     "CASE WHEN o_orderkey % 37 = 0 THEN 'INVALID_PATH' WHEN o_orderkey % 53 = 0 THEN 'x GB' "
-    "WHEN o_orderkey % 59 = 0 THEN '5GB' "
+    "WHEN o_orderkey % 59 = 0 THEN '5GB' WHEN o_orderkey % 61 = 0 THEN (9000000 + o_custkey) || '.7 TB' "
+    "WHEN o_orderkey % 67 = 0 THEN (80000 + o_custkey % 100) || '.3e6 GB' WHEN o_orderkey % 71 = 0 THEN '1e40 TB' "
     "ELSE (o_custkey % 100) || '.' || (o_orderkey % 10) || ' ' || "
     "CASE o_orderkey % 7 WHEN 0 THEN 'B' WHEN 1 THEN 'KB' WHEN 2 THEN 'MB' WHEN 3 THEN 'GB' WHEN 4 THEN 'TB' "
     "WHEN 5 THEN 'gb' ELSE 'XB' END END"

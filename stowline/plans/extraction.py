@@ -21,6 +21,7 @@ from stowline.functions.requests import request_text, templated_request
 from stowline.functions.times import parse_day
 from stowline.operators.grid import day_slots, day_start, interval_minutes, slot_end, symbol_batches
 from stowline.operators.intervals import SLICE_SECONDS, drop_repeats, ticks_in_windows
+from stowline.operators.numbering import number_rows
 from stowline.operators.packing import pack_windows
 
 BY_SYMBOL = ["first_ric", "start"]
@@ -35,10 +36,14 @@ def window_requests(
     key: str = "row_key",
     **options,
 ) -> DataFrame:
-    """Packed windows with their request text, ordered by first symbol (default) or by start."""
+    """Packed windows with their request text and `position`, ordered by first symbol (default) or by start.
+
+    Positions count from 0 through the whole result; they are numbered within range partitions.
+    """
     batches = pack_windows(windows, key, max_minutes, max_rows, **options)
     request = request_text(F.col("start"), F.col("end"), F.col("syms"))
-    return batches.withColumn("request", request).orderBy(*(order or BY_SYMBOL), "first_row")
+    numbered = number_rows(batches.withColumn("request", request), [*(order or BY_SYMBOL), "first_row"], "position")
+    return numbered.orderBy("position")
 
 
 def first_day(raw: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stowline.fixed_values import BASE_PATH, DEEP_BASE_PATH, MARKER_DAYS, OLD_DISTRIBUTED_DAYS
+from stowline.fixed_values import BASE_PATH, DEEP_BASE_PATH, MARKER_DAYS, OLD_DISTRIBUTED_DAYS, OLD_LOCAL_DAYS
 from stowline.functions.paths import file_name
 from stowline.plans import cleanup, extraction, retention, usage
 from stowline.sinks.files import publish_csv, write_csv, write_path_list, write_requests
@@ -79,7 +79,7 @@ def window_request_job(spark: SparkSession, interest_path: str, output: str, by_
     """Request lines for the packed windows of an interest list."""
     order = extraction.BY_START if by_start else extraction.BY_SYMBOL
     windows = interest.interest_windows(interest.read_raw_interest(spark, interest_path))
-    write_requests(extraction.window_requests(windows, order), output, [*order, "first_row"])
+    write_requests(extraction.window_requests(windows, order), output)
 
 
 def cycle_job(
@@ -91,18 +91,23 @@ def cycle_job(
     permanent: str | None = None,
     temporary: str | None = None,
     versioned: str | None = None,
-    days: int = OLD_DISTRIBUTED_DAYS,
+    days: int | None = None,
     dry_run: bool = True,
     protected: tuple[str, ...] = (),
+    strict_grace: bool = False,
+    journal: str | None = None,
 ) -> tuple[str, DataFrame | None]:
     """One run of the deletion cycle: (phase, scheduled paths or delete statuses or nothing).
 
     Without a coming cycle it schedules one and writes its list; on the day it subtracts the
     cycle's own, the temporary and the permanent exclusions and deletes; before it, it reminds.
-    `versioned` lists directories of which only the highest version is kept.
+    `versioned` lists directories of which only the highest version is kept; `days` is then that of local files by
+    default, else that of distributed ones. With `strict_grace` the deletion waits for the cycle's date itself. `journal`
+    is where the deletes are written down, for a run that goes on after a lost one.
     """
+    days = days if days is not None else OLD_LOCAL_DAYS if versioned else OLD_DISTRIBUTED_DAYS
     names = one_level_directories(spark, cycle_folder).select(file_name("path").alias("name"))
-    status = cleanup.cycle_status(names, now).first()
+    status = cleanup.cycle_status(names, now, strict_grace).first()
     day = (status.cycle_date or status.planned_date).strftime("%Y%m%d")
     place = f"{cycle_folder.rstrip('/')}/scheduled_deletion_{day}"
     kept = texts.path_list_or_empty(spark, permanent)
@@ -120,4 +125,4 @@ def cycle_job(
     final = cleanup.final_list(scheduled, *lists)
     write_path_list(final, f"{place}/final_deletion_list_{day}.txt")
     written = texts.path_list_or_empty(spark, f"{place}/final_deletion_list_{day}.txt")
-    return status.phase, cleanup.delete_paths(written, allowed_root, dry_run, protected)
+    return status.phase, cleanup.delete_paths(written, allowed_root, dry_run, protected, journal)

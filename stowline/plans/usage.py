@@ -21,7 +21,7 @@ from stowline.fixed_values import (
 )
 from stowline.functions.classify import keyword_in_segments, pattern_in, with_top_and_team, word_in
 from stowline.functions.paths import component, leading_pieces, parent, rebase, relative_to
-from stowline.functions.sizes import format_binary, format_cell, format_si, parse_size
+from stowline.functions.sizes import format_binary, format_cell, format_si, parse_size, size_too_large
 from stowline.functions.times import days_before, like_column
 from stowline.operators.directories import directory_sizes, listed_sizes, tops_and_children
 
@@ -148,29 +148,35 @@ def team_pivot(
     expected: Sequence[str] = (),
     pieces: int = 6,
     formatted: bool = True,
+    errors: str | None = None,
 ) -> DataFrame:
     """Bytes of `(path, size_bytes)` rows by base path, one column per team and `others`.
 
-    Expected base paths enter as zero rows, so the missing ones show up without a join.
+    Expected base paths enter as zero rows, so the missing ones show up without a join. `errors` names a flag of rows whose
+    size is missing; they are counted in a column of that name.
     """
     rows = sizes.select(
         leading_pieces("path", pieces).alias("base_path"),
         word_in(F.col("path"), teams).alias("team"),
         F.coalesce("size_bytes", F.lit(0).cast("bigint")).alias("bytes"),
+        (F.col(errors) if errors else F.lit(False)).cast("bigint").alias("_errors"),
     )
     if expected:
-        blank = [(path, "others", 0) for path in expected]
-        rows = rows.unionByName(sizes.sparkSession.createDataFrame(blank, "base_path string, team string, bytes bigint"))
+        blank = [(path, "others", 0, 0) for path in expected]
+        rows = rows.unionByName(sizes.sparkSession.createDataFrame(blank, "base_path string, team string, bytes bigint, _errors bigint"))
     columns = [*teams, "others"]
     sums = [F.sum(F.when(F.col("team") == team, F.col("bytes")).otherwise(F.lit(0))).alias(team) for team in columns]
-    table = rows.groupBy("base_path").agg(*sums)
+    table = rows.groupBy("base_path").agg(*sums, F.sum("_errors").alias("_errors"))
     cells = [format_cell(F.col(team)).alias(team) if formatted else F.col(team) for team in columns]
-    return table.select("base_path", *cells).orderBy("base_path")
+    counted = [F.col("_errors").alias(errors)] if errors else []
+    return table.select("base_path", *cells, *counted).orderBy("base_path")
 
 
 def report_pivot(report: DataFrame, **options) -> DataFrame:
-    """The pivot from a `path,size` report with decimal size texts."""
-    return team_pivot(report.select("path", parse_size(F.col("size"), 1000).alias("size_bytes")), **options)
+    """The pivot from a `path,size` report with decimal size texts; `too_large` counts the sizes that no cell holds."""
+    size = F.col("size")
+    sized = report.select("path", parse_size(size, 1000).alias("size_bytes"), size_too_large(size, 1000).alias("too_large"))
+    return team_pivot(sized, errors="too_large", **options)
 
 
 def group_wise_usage(
@@ -222,16 +228,20 @@ def old_directory_summary(
 ) -> DataFrame:
     """Bytes by (base directory, team) and by team alone, from `path,size` lines.
 
-    The lines are summed once; the overall totals are grouping sets over that small result.
+    The lines are summed once; the overall totals are grouping sets over that small result. `too_large` counts the lines
+    whose size no total holds.
     """
     pieces = F.split("path", "/")
     pairs = size_lines.groupBy(
         F.coalesce(F.get(pieces, F.lit(base_index)), F.lit("unknown")).alias("base_dir"),
         keyword_in_segments(pieces, base_index, keywords).alias("team"),
-    ).agg(F.sum(parse_size(F.col("size"), 1024)).alias("bytes"))
+    ).agg(
+        F.coalesce(F.sum(parse_size(F.col("size"), 1024)), F.lit(0)).cast("decimal(38,0)").alias("bytes"),
+        F.count_if(size_too_large(F.col("size"), 1024)).alias("large"),
+    )
     report = pairs.groupingSets(
         [[F.col("base_dir"), F.col("team")], [F.col("team")]], F.col("base_dir"), F.col("team")
-    ).agg(F.sum("bytes").alias("total_bytes"), F.grouping("base_dir").alias("is_total"))
+    ).agg(F.sum("bytes").alias("total_bytes"), F.sum("large").alias("too_large"), F.grouping("base_dir").alias("is_total"))
     size = format_binary(F.col("total_bytes"))
     label = F.when(
         F.col("is_total") == 0,

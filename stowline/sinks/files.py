@@ -31,9 +31,9 @@ def append_path_list(df: DataFrame, path: str, column: str = "path") -> None:
     write_path_list(rows, path, "append", column)
 
 
-def write_requests(requests: DataFrame, path: str, order: list[str]) -> None:
-    """One request per line; the part files follow `order`."""
-    requests.orderBy(*order).select(F.col("request").alias("value")).write.mode("overwrite").text(path)
+def write_requests(requests: DataFrame, path: str) -> None:
+    """One request per line in the order of `position`: part files by name, lines within them."""
+    requests.orderBy("position").select(F.col("request").alias("value")).write.mode("overwrite").text(path)
 
 
 def preview(df: DataFrame, rows: int, *order) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stowline.functions.staging import once
 from stowline.functions.times import cycle_date, parse_minute
+from stowline.operators.numbering import number_rows
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -17,6 +18,14 @@ def _trimmed() -> Column:
     return F.regexp_replace("value", "^\\s+|\\s+$", "")
 
 
+def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(position, value): lines numbered from 0 through all files, by file path and place in the file."""
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    lines = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("_line"))
+    # a block is read by one task from its start, so the running number orders its lines
+    return number_rows(lines, ["_file", "_block", "_line"], "position").select("position", "value")
+
+
 def path_rows(lines: DataFrame) -> DataFrame:
     """One trimmed path per line, blank lines dropped, repeats kept."""
     return lines.select(_trimmed().alias("path")).filter(F.col("path") != "")

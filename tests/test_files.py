@@ -134,6 +134,14 @@ def test_a_new_run_goes_on_with_the_journal(spark, root, tmp_path_factory):
     assert again["b"] == deleted and again["nope"] == "File Not Found" and not (root / "b").exists()
 
 
+def test_request_lines_keep_their_order(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("4999 - id AS position", "'line ' || (4999 - id) AS request").repartition(7)
+    files.write_requests(rows, str(tmp_path / "requests"))
+    assert [tuple(row) for row in texts.read_numbered_lines(spark, str(tmp_path / "requests")).orderBy("position").collect()] == [
+        (at, f"line {at}") for at in range(5000)
+    ]
+
+
 def test_purge_markers(spark, root):
     found = inventory.list_tree(spark, str(root))
     assert cleanup.purge_markers(found, datetime.now(), str(root), dry_run=False)[0].count() == 0

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stowline.functions.sizes import parse_size
+from stowline.functions.sizes import parse_size, size_too_large
 from stowline.operators.filesystem import delete_paths
 from stowline.operators.prefix import anti_join_by_order, exclude_below, exclusion_keys
 from stowline.operators.versions import latest_versions, old_versions
@@ -60,11 +60,12 @@ def test_versions_of_any_length(spark):
     assert {row.name for row in old_versions(given).collect()} == {"1.0", "1", long, "1." + "9" * 45}
 
 
-def test_sizes_out_of_range_are_no_zero(spark):
-    sizes = spark.createDataFrame([("9000000 TB",)], "size string").select(parse_size(F.col("size")))
-    with pytest.raises(Exception, match="beyond 64 bits"):
-        sizes.collect()
-    assert spark.createDataFrame([("8000000 TB",)], "size string").select(parse_size(F.col("size"))).first()[0] == 8000000 * 1024**4
+def test_sizes_of_any_length(spark):
+    given = ["9000000 TB", "8000000 TB", "123456789012345.7 TB", "-9000001.3 TB", "1e40 TB", "1e16 TB", "1.9 B"]
+    rows = spark.createDataFrame([(text,) for text in given], "size string").select(parse_size(F.col("size")), size_too_large(F.col("size"))).collect()
+    expected = [int(float(text.split()[0]) * (1024**4 if "TB" in text else 1)) for text in given]
+    assert [row[0] for row in rows] == [size if abs(size) < 10**30 else None for size in expected]
+    assert [row[1] for row in rows] == [abs(size) >= 10**30 for size in expected]
 
 
 def rows_of(spark, *rows):
