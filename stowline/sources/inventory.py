@@ -25,6 +25,7 @@ INVENTORY = T.StructType(
     ]
 )
 TASKS_PER_CORE = 4
+PATHS_PER_TASK = 2_000
 _ROWS_PER_FRAME = 50_000
 
 
@@ -82,9 +83,10 @@ def _list_job(rows_of):
                 except Exception as problem:
                     # one unreadable directory becomes a row of its own and never fails the job
                     pending.append((uri, True, 0, None, str(problem) or type(problem).__name__))
-                while len(pending) >= _ROWS_PER_FRAME:
-                    yield frame(pending[:_ROWS_PER_FRAME])
-                    pending = pending[_ROWS_PER_FRAME:]
+                if len(pending) >= _ROWS_PER_FRAME:
+                    for first in range(0, len(pending), _ROWS_PER_FRAME):
+                        yield frame(pending[first : first + _ROWS_PER_FRAME])
+                    pending = []
         if pending:
             yield frame(pending)
 
@@ -110,9 +112,9 @@ def qualified(spark: SparkSession, path: Column | str) -> Column:
 
 
 def spread_tasks(paths: DataFrame, rows: int) -> DataFrame:
-    """Hash the paths over several tasks per core, fewer when there are only a few paths."""
+    """Hash the paths over several tasks per core: fewer when there are only a few paths, more when a task would get too many."""
     tasks = paths.sparkSession.sparkContext.defaultParallelism * TASKS_PER_CORE
-    return paths.repartition(max(1, min(tasks, rows)), "path")
+    return paths.repartition(max(1, min(tasks, rows), -(-rows // PATHS_PER_TASK)), "path")
 
 
 def list_tree(
