@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from stowline.llm.tables import stored
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+def _done(edges: DataFrame) -> bool:
+    """Whether all edges (a, b) are stars: each larger end has one edge and is the smaller end of none."""
+    end = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"))))
+    ends = edges.select(end.alias("_end")).groupBy("_end.node").agg(F.sum("_end.up").alias("up"), F.min("_end.up").alias("least"))
+    return not ends.filter((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("least") == 0))).agg(F.count("*")).first()[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,8 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct()
     edges = stored(edges, "edges")
-    mark = _mark(edges)
-    while mark[0]:
+    while not _done(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -30,10 +32,6 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
         edges = stored(small.filter(F.col("a") != F.col("b")).distinct(), "edges")
-        new = _mark(edges)
-        if new == mark:
-            break
-        mark = new
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -4,8 +4,8 @@
    to 8 bits each, and one hash per band of `ROWS` minima.
 2. Documents with one set are one class, numbered; the class is what is compared from here on. Sets of one id are joined
    at the end.
-3. Candidates share a band. First every member of a bucket meets the bucket's centre only (a centre drawn per
-   bucket, so a document meets several). Links found there merge groups of near copies, however large.
+3. Candidates share a band. First every member of a bucket meets the bucket's centre only (its class with the
+   smallest number; a document meets the centres of several buckets). Links found there merge groups of near copies, however large.
 4. Buckets that still hold more than one component meet their best linked member in the same way: the text that copies
    were made from is linked to all of them, though they may not be linked to each other.
 5. Buckets that still hold more than one component meet in full, in blocks of bounded size inside the tasks:
@@ -187,22 +187,22 @@ def _close(one, other):
     return 100 * F.least(one, other) >= PERCENT * F.greatest(one, other)
 
 
-def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component, with their components as `_label`."""
-    labelled = members.join(found.withColumnRenamed("component", "_label"), "node", "left")
-    labelled = labelled.withColumn("_label", F.coalesce("_label", "node"))
+def _labelled(members: DataFrame, found: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component, with component and number of links, a row per bucket."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("_links"))
+    labelled = members.join(found.withColumnRenamed("component", "_label"), "node", "left").join(degree, "node", "left")
+    label, number = F.coalesce("_label", "node").alias("_label"), F.coalesce("_links", F.lit(0)).alias("_links")
+    labelled = labelled.select("node", "n_shingles", label, number, F.explode("_met.band").alias("band"))
     mixed = labelled.groupBy("band").agg(F.count("*").alias("_n"), F.min("_label").alias("_low"), F.max("_label").alias("_high"))
     # the centre has met all others, so two members have nothing left
     mixed = mixed.filter((F.col("_n") > 2) & (F.col("_low") != F.col("_high"))).select("band")
     return labelled.join(mixed, "band", "left_semi")
 
 
-def _best_linked(labelled: DataFrame, links: DataFrame) -> DataFrame:
+def _best_linked(labelled: DataFrame) -> DataFrame:
     """Pairs (a, b) of a bucket's member with most links and its members in other components."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("_links"))
-    ranked = labelled.join(degree, "node", "left").withColumn("_links", F.coalesce("_links", F.lit(0)))
     best = F.max(F.struct("_links", F.xxhash64("node").alias("h"), "node", "n_shingles", "_label"))
-    centres = ranked.groupBy("band").agg(best.alias("_c")).filter("_c._links > 0")
+    centres = labelled.groupBy("band").agg(best.alias("_c")).filter("_c._links > 0")
     centres = centres.select("band", F.col("_c.node").alias("_centre"), F.col("_c.n_shingles").alias("_size"), F.col("_c._label").alias("_other"))
     met = labelled.join(centres, "band").filter((F.col("_label") != F.col("_other")) & _close(F.col("n_shingles"), F.col("_size")))
     return met.select(F.least("node", "_centre").alias("a"), F.greatest("node", "_centre").alias("b")).distinct()
@@ -333,32 +333,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nodes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "_set", "_first", "_of.*"), "nodes")
     signatures = nodes.select("node", "_signature")
     bands = nodes.select("node", "n_shingles", F.explode("_bands").alias("band"))
-    # one centre for most bands of a group, so a member meets few
-    drawn = F.struct(F.xxhash64("node"), "node", "n_shingles")
-    buckets = bands.groupBy("band").agg(F.count("*").alias("_n"), F.min(drawn).alias("_centre")).filter(F.col("_n") > 1)
-    buckets = stored(buckets.select("band", F.col("_centre.node").alias("_centre"), F.col("_centre.n_shingles").alias("_size")), "buckets")
-    shared = stored(bands.join(buckets, "band"), "members")
-    pairs = shared.filter((F.col("node") != F.col("_centre")) & _close(F.col("n_shingles"), F.col("_size")))
-    pairs = pairs.select(F.least("node", "_centre").alias("a"), F.greatest("node", "_centre").alias("b")).distinct()
+    # the least node is the centre: one for most bands of a group, so a member meets few, and what it links to is mostly final
+    buckets = bands.groupBy("band").agg(F.count("*").alias("_n"), F.min(F.struct("node", "n_shingles")).alias("_centre"))
+    buckets = stored(buckets.filter(F.col("_n") > 1).drop("_n"), "buckets")
+    met = F.collect_list(F.struct("band", "_centre")).alias("_met")  # at most BANDS
+    members = stored(bands.join(buckets, "band").groupBy("node", "n_shingles").agg(met), "members")
+    pairs = members.select("node", "n_shingles", F.explode(F.array_distinct("_met._centre")).alias("_centre"))
+    pairs = pairs.filter((F.col("node") != F.col("_centre.node")) & _close(F.col("n_shingles"), F.col("_centre.n_shingles")))
+    pairs = pairs.select(F.col("_centre.node").alias("a"), F.col("node").alias("b"))
     links = _verified(stored(_pruned(pairs, signatures), "survivors"), docs, nodes, key, text)
     found = components(links)
-    members = shared.select("band", "node", "n_shingles")
     for step in ("best linked", "rest"):
-        labelled = stored(_labelled(members, found), "mixed")
+        labelled = stored(_labelled(members, found, links), "mixed")
         if labelled.isEmpty():
             break
         if step == "best linked":
-            survivors = stored(_pruned(_best_linked(labelled, links), signatures), "survivors")
+            survivors = stored(_pruned(_best_linked(labelled), signatures), "survivors")
             more = _verified(survivors, docs, nodes, key, text)
         else:
             more = _verified_cells(stored(_rest(labelled, nodes), "cells"), docs, nodes, key, text)
         if not more.isEmpty():
             links = links.union(more)
-            found = components(links)
-    return _assigned(facts, known, nodes, links, found, key)
+            found = components(_stars(found).union(more))
+    return _assigned(facts, known, nodes, found, key)
+
+
+def _stars(found: DataFrame) -> DataFrame:
+    """Components as edges (a, b) from each node to the smallest."""
+    return found.toDF("a", "b")
 
 
-def _assigned(facts: DataFrame, known: DataFrame, nodes: DataFrame, links: DataFrame, found: DataFrame, key: str) -> DataFrame:
+def _assigned(facts: DataFrame, known: DataFrame, nodes: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """The rows of `facts` with their component: the smallest id of any set that links or ids in common reach."""
     of_id = known.select(key, "_set").distinct()
     several = of_id.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select(key)
@@ -366,7 +371,7 @@ def _assigned(facts: DataFrame, known: DataFrame, nodes: DataFrame, links: DataF
     if not ids.isEmpty():
         first = ids.groupBy(key).agg(F.min("node").alias("b"))
         same = ids.join(first, key).select(F.col("node").alias("a"), "b").filter(F.col("a") != F.col("b"))
-        found = components(links.union(same))
+        found = components(_stars(found).union(same))
     owned = nodes.select("_set", "node", "_first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = owned.groupBy("component").agg(F.min("_first").alias("_component"))
     owner = owned.join(least, "component").select("_set", "_component")
