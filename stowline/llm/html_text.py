@@ -45,14 +45,21 @@ CHROME = frozenset(
     "replies disqus share sharing social related recommended widget toolbar pagination pager login search".split()
 )
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>?|</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Markup of a well-formed page in one search; a lone "<" is a tag that does not end, after which `_Tokens` goes on.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>?|</?([A-Za-z][^\s/>\"']*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?=/?[A-Za-z])", re.S
+)
+_MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[A-Za-z])")
+_NAME = re.compile(r"</?([A-Za-z][^\s/>\"']*)")
+_SPECIAL = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _RAW_END = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in RAW}
 _WORDS = re.compile(r"[^\W_]+")
 _NEGATED = frozenset(("no", "not", "has", "have", "with", "without", "hide", "is"))
 
 
-def _is_chrome(attributes: str) -> bool:
+def _is_chrome(attributes: str, whole: bool = False) -> bool:
+    """Whether attributes mark menus, adverts and the like; with `whole`, all words of a class or id have to say so."""
     if not attributes:
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
@@ -64,11 +71,67 @@ def _is_chrome(attributes: str) -> bool:
         if name in ("class", "id"):
             for one in value.split():
                 words = _WORDS.findall(one)
-                if words and (words[0] in CHROME or words[-1] in CHROME) and not _NEGATED.intersection(words):
+                if whole:
+                    if words and CHROME.issuperset(words):
+                        return True
+                elif words and (words[0] in CHROME or words[-1] in CHROME) and not _NEGATED.intersection(words):
                     return True
     return False
 
 
+class _Tokens:
+    """Markup of a page from left to right. Time is linear in the page's length, however many tags never end.
+
+    A ">" between quotes does not end a tag. A tag that does not end, or has a quote without its other one, is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.special = -1  # the first quote or ">" after the latest tag's begin
+        self.dead: set[int] = set()  # opening quotes after which a tag does not end
+
+    def _next_special(self, at: int) -> int:
+        found = _SPECIAL.search(self.page, at)
+        return found.start() if found else len(self.page)
+
+    def _tag_end(self, at: int) -> int:
+        """The place behind the ">" of the tag whose inside begins here, or -1."""
+        if at > self.last:
+            return -1
+        if self.special < at:
+            self.special = self._next_special(at)
+        place, passed = self.special, []
+        while place <= self.last and place not in self.dead:
+            if self.page[place] == ">":
+                return place + 1
+            passed.append(place)
+            other = self.page.find(self.page[place], place + 1)
+            if other < 0:
+                break
+            place = self._next_special(other + 1)
+        self.dead.update(passed)
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, str, str] | None:
+        """(begin, end, name, attributes) of the next markup; the name is empty for comments and declarations."""
+        page = self.page
+        while found := _MARKUP.search(page, at):
+            begin, at = found.span()
+            kind = found[0]
+            if kind == "<!--":
+                end = page.find("-->", at)
+                return begin, end + 3 if end >= 0 else len(page), "", ""
+            if kind == "<![CDATA[":
+                return begin, at, "", ""
+            if kind in ("<!", "<?"):
+                return begin, page.find(">", at) + 1 or len(page), "", ""
+            end = self._tag_end(at)
+            if end >= 0:
+                name = _NAME.match(page, begin, end)
+                return begin, end, name[1], page[name.end() : end - 1]
+        return None
+
+
 def blocks_of(page: str) -> list[tuple[str, str]]:
     """(zone, text) of every block that has text, in page order; references decoded, white space made one space."""
     out: list[tuple[str, str]] = []
@@ -93,14 +156,27 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
         zone = new
 
     at = 0
-    while found := _TOKEN.search(page, at):
-        if zone != "skip" and found.start() > at:
-            held.append(page[at : found.start()])
-        at = found.end()
-        name = (found[1] or "").lower()
+    tokens = None
+    while True:
+        if tokens is None:
+            if not (match := _TOKEN.search(page, at)):
+                break
+            begin, end = match.span()
+            if end - begin == 1:
+                tokens = _Tokens(page)
+                continue
+            name, attributes = match.groups("")
+        else:
+            if not (found := tokens.after(at)):
+                break
+            begin, end, name, attributes = found
+        if zone != "skip" and begin > at:
+            held.append(page[at:begin])
+        at = end
+        name = name.lower()
         if not name:
             continue
-        closing = page.startswith("</", found.start())
+        closing = page.startswith("</", begin)
         if name not in INLINE and name not in _RAW_END:
             if zone != "skip":
                 close_block()
@@ -115,14 +191,14 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
             at = end.start() if end else len(page)
             at = page.find(">", at) + 1 or len(page)
             continue
-        if name in VOID or found[2].endswith("/") and name in INLINE:
+        if name in VOID or attributes.endswith("/") and name in INLINE:
             continue
         inner = zone
         if zone in ("open", "article"):
-            if name in SKIPPED or name not in ("html", "body", "article", "main") and _is_chrome(found[2]):
+            if name in SKIPPED or name not in ("html", "body", "article", "main") and _is_chrome(attributes, zone == "article"):
                 inner = "skip" if name == "head" else "chrome"
-            elif name in ("article", "main") or 'role="main"' in found[2]:
-                inner = "chrome" if name == "article" and zone == "article" and _is_chrome(found[2]) else "article"
+            elif name in ("article", "main") or 'role="main"' in attributes:
+                inner = "chrome" if name == "article" and zone == "article" and _is_chrome(attributes, True) else "article"
         if inner != zone:
             close_block()
         stack.append((name, inner))

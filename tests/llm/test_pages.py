@@ -3,6 +3,7 @@
 import hashlib
 import html as entities
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -58,6 +59,16 @@ def test_too_few_labels(spark, labels, score):
     assert url_filter.judge_urls(urls, [], model).first().score == score
 
 
+def test_repeated_urls_are_weights(spark):
+    """A URL that holds half of all rows is drawn once; its rows all count in the statistics."""
+    rows_of = [("http://hot.net/x?a=1", 1)] * 600 + [(f"http://h{at}.com/p/{at}", 0) for at in range(300)] + [(f"http://b{at}.net/fr/{at}", 1) for at in range(300)]
+    labelled = spark.createDataFrame(rows_of, "url string, blocked int").repartition(4)
+    model = url_filter.fit(labelled, train_rows=200)
+    assert model.base == 900 / 1200
+    assert {row["n"] for row in model.statistics.groupBy("name").sum("n").toDF("name", "n").collect()} == {1200.0}
+    assert model.scored(labelled, "url").selectExpr("avg(int((score >= 0.5) = (blocked = 1)))").first()[0] > 0.95
+
+
 def test_held_out_accuracy(spark):
     """Trees trained on one half of the labelled urls, judged on the other."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
@@ -132,6 +143,31 @@ def test_blocks():
     assert blocks_of("") == [] and blocks_of("plain < text") == [("open", "plain < text")]
 
 
+@pytest.mark.parametrize("form", ["<a ", '<a "', "<a '\"", "<a", "<", "<!--", "<a href='x\" "])
+@pytest.mark.parametrize("tail", ["", ">", '">', "'>"])
+def test_tags_that_never_end(form, tail):
+    """Time is in proportion to the page: eight times the page takes no more than some 8 times as long."""
+    took = []
+    for size in (100_000, 800_000):
+        begin = time.process_time()
+        blocks_of("<p>before<p>" + form * (size // len(form)) + tail)
+        took.append(time.process_time() - begin)
+    assert took[1] < 24 * took[0] + 0.3
+    assert blocks_of("<p>before<p>" + form)[0] == ("open", "before")
+
+
+def test_markup_after_an_open_tag():
+    assert blocks_of("<p>a<p>b <i 'c <nav>d</nav><p>e") == [("open", "a"), ("open", "b <i 'c"), ("chrome", "d"), ("open", "e")]
+    assert blocks_of("<p title='>' class=x>a<b\"c'>'\">d") == [("open", "ad")]
+
+
+def test_article_sections_named_like_furniture_stay():
+    kept = ["<section id='related-work'>one</section>", "<figure id='header-image'>two</figure>", "<div class='signup-rates'>three</div>", "<p class='comments-on-the-law'>four"]
+    gone = ["<div class='comments'>x</div>", "<div class='social-share'>x</div>", "<aside>x</aside>", "<div id='newsletter'>x</div>", "<div role='search'>x</div>"]
+    page = "<article>" + "".join(kept + gone) + "</article><div class='signup-rates'>x</div>"
+    assert [text for zone, text in blocks_of(page) if zone == "article"] == ["one", "two", "three", "four"]
+
+
 def test_repeated_runs():
     rng = np.random.default_rng(1)
     for _ in range(100):
