@@ -111,13 +111,13 @@ class UrlModel:
 
 
 def _with_shares(made: DataFrame, statistics: DataFrame, base: float, own: Column | None) -> DataFrame:
-    """Smoothed blocked shares of the suffix buckets; a labelled row's own label is left out of its shares."""
+    """Smoothed blocked shares of the suffix buckets; the labels of a labelled row and its copies are left out of its shares."""
     for name in _SUFFIXES:
         table = statistics.filter(F.col("name") == name).select(F.col("bucket").alias(name), F.col("n").alias("_n"), F.col("blocked").alias("_blocked"))
         made = made.join(F.broadcast(table), name, "left")  # at most SUFFIX_BUCKETS rows
         rows, blocked = F.coalesce("_n", F.lit(0)), F.coalesce("_blocked", F.lit(0.0))
         if own is not None:
-            rows, blocked = rows - 1, blocked - own
+            rows, blocked = rows - F.col("weight"), blocked - own * F.col("weight")
         made = made.withColumn(f"{name}_share", (blocked + base * PRIOR_ROWS) / (rows + PRIOR_ROWS)).drop("_n", "_blocked")
     return made
 
@@ -125,26 +125,31 @@ def _with_shares(made: DataFrame, statistics: DataFrame, base: float, own: Colum
 def fit(labelled: DataFrame, url: str = "url", label: str = "blocked", train_rows: int = TRAIN_ROWS) -> UrlModel:
     """Fit on labelled URLs (label 1 for block, 0 for allow; other rows are left out).
 
-    Suffix statistics cover all labelled rows; the trees see at most about `train_rows` of them, drawn by the URL's hash.
+    Suffix statistics cover all labelled rows; the trees see at most about `train_rows` distinct ones with their counts as
+    weights, drawn by the URL's hash.
     Without labelled rows every URL scores 0; with one class, that class.
     """
     rows = labelled.filter(F.col(label).isin(0, 1)).select(url, F.col(label).cast("double").alias("label"))
+    # equal rows are one row with a weight, so a URL of many rows is worked out, and drawn, once
+    rows = stored(rows.groupBy(url, "label").agg(F.count("*").cast("double").alias("weight")), "labelled")
     made = _with_features(rows, url)
-    total, base = made.agg(F.count("*"), F.coalesce(F.avg("label"), F.lit(0.0))).first()
+    total, weight, blocked = rows.agg(F.count("*"), F.sum("weight"), F.sum(F.col("weight") * F.col("label"))).first()
+    base = blocked / weight if total else 0.0
     pairs = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.col(name).alias("bucket")) for name in _SUFFIXES)))
-    counted = made.select("label", pairs.alias("_pair")).groupBy("_pair.name", "_pair.bucket").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
+    counted = made.select("label", "weight", pairs.alias("_pair")).groupBy("_pair.name", "_pair.bucket")
+    counted = counted.agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("blocked"))
     statistics = stored(counted, "suffixes")
     if not 0 < base < 1:
         return UrlModel(None, statistics, base)
     share = min(1.0, train_rows / total)
     drawn = F.pmod(F.xxhash64(F.lit("train"), url), F.lit(1 << 20)) < int(share * (1 << 20))
-    train = _with_shares(made.filter(drawn), statistics, base, F.col("label"))
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="_vector").transform(train).select("_vector", "label")
+    train = stored(_with_shares(made.filter(drawn), statistics, base, F.col("label")).select(*FEATURES, "label", "weight"), "drawn")
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="_vector").transform(train).select("_vector", "label", "weight")
     booster = GBTClassifier(
-        featuresCol="_vector", labelCol="label", predictionCol="_prediction", maxIter=12, maxDepth=4, maxBins=32, stepSize=0.2, seed=7, checkpointInterval=-1
+        featuresCol="_vector", labelCol="label", weightCol="weight", predictionCol="_prediction", maxIter=12, maxDepth=4, maxBins=32, stepSize=0.2, seed=7, checkpointInterval=-1
     )
     booster.setRawPredictionCol("_raw").setProbabilityCol("_probability")
-    return UrlModel(booster.fit(vectors.coalesce(4)), statistics, base)  # bounded by train_rows
+    return UrlModel(booster.fit(vectors.coalesce(4)), statistics, base)  # the drawn rows are stored: train_rows at most, by expectation
 
 
 def judge_urls(urls: DataFrame, rules: list[tuple[str, str]], model: UrlModel, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
