@@ -2,7 +2,7 @@
 
 Every node is cut along its widest metadata dimension (the width as a share of the whole table's) where
 half of its bytes lie on either side, until the leaves reach the target bytes. Rows at the cut are
-told apart by the key, so a value that many rows share does not stop the cut from being even. All nodes
+told apart by a number of their own, so a value that many rows share does not stop the cut from being even. All nodes
 of a level are cut together. A median is found by histograms of BINS bins within the range that still
 holds it: sums per (node, bin), never rows, reach the driver.
 """
@@ -92,7 +92,7 @@ def _level(rows: DataFrame, names: list[str], tie: str, size: str, nodes: list[i
 def assign_shards(rows: DataFrame, names: list[str], tie: str, size: str, shards: int) -> DataFrame:
     """Adds `shard` (0 to shards - 1) to a stored table. `names`, `tie` and `size` are whole-number columns without nulls.
 
-    `shards` is a power of two. An empty table stays empty; rows that agree in all dimensions and the key stay together.
+    `shards` is a power of two. An empty table stays empty; rows that agree in all dimensions and the tie stay together.
     """
     depth = int(math.log2(shards))
     if 1 << depth != shards:
@@ -112,8 +112,8 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     """(key, size, text_crc32, shard, slot) of every row: shards of near equal bytes, slots gapless from 0.
 
     The dimensions are the key, the text's bytes, the length column, and the source and language as hashes. Null texts
-    have no bytes (size 1, crc of nothing); nulls in other columns count as -1. Repeated keys stay together in a
-    shard. An empty table gives no rows; other columns are left out.
+    have no bytes (size 1, crc of nothing); nulls in other columns count as -1. Rows are numbered as
+    they are stored, so repeated keys are cut apart like others, and keys may be any 64-bit numbers. An empty table gives no rows; other columns are left out.
     """
     octets = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
     code = lambda name: F.coalesce(F.pmod(F.xxhash64(name), F.lit(1 << 16)), F.lit(-1)).cast("long")
@@ -121,14 +121,15 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
         F.col(key),
         (octets + 1).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("_key"),
+        F.shiftright(F.coalesce(F.col(key).cast("long"), F.lit(-1)), 1).alias("_key"),  # distances of any two fit 64 bits
+        F.monotonically_increasing_id().alias("_row"),
         F.coalesce(F.col(length).cast("long"), F.lit(-1)).alias("_length"),
         F.when(F.col(source).isNull(), -1).otherwise(code(source)).cast("long").alias("_source"),
         F.when(F.col(lang).isNull(), -1).otherwise(code(lang)).cast("long").alias("_lang"),
     )
     rows = stored(facts, "shard-facts")
-    placed = assign_shards(rows, ["_key", "size", "_length", "_source", "_lang"], "_key", "size", shards)
-    numbered = number_rows(placed.select(key, "size", "text_crc32", "shard", "_key"), ["shard", "_key"], "_number")
+    placed = assign_shards(rows, ["_key", "size", "_length", "_source", "_lang"], "_row", "size", shards)
+    numbered = number_rows(placed.select(key, "size", "text_crc32", "shard", "_row"), ["shard", key, "_row"], "_number")
     counts = numbered.groupBy("shard").agg(F.min("_number").alias("_first"))  # one row per shard
     return numbered.join(F.broadcast(counts), "shard").select(
         key, "size", "text_crc32", "shard", (F.col("_number") - F.col("_first")).alias("slot")

@@ -185,6 +185,18 @@ def test_shards_are_even_with_ties(spark):
     assert max(sizes) - min(sizes) <= 8 * max(len(text) for text in texts)
 
 
+def test_shards_of_repeated_and_extreme_ids(spark):
+    """Rows of one id, half of the table, are spread; ids at both ends of 64 bits do not overflow."""
+    rows_of = [(7, "w" * 100)] * 300 + [(at * 31, "w" * (at % 9)) for at in range(300)]
+    result = shard_documents(spark.createDataFrame([(*row, "s", "en", 1) for row in rows_of], "doc_id long, text string, source string, lang string, n_chars long"), 16).collect()
+    sizes = check_shards(rows_of, result, 16)
+    assert max(sizes) - min(sizes) <= 4 * 101
+    ends = [(-(1 << 63), "a"), ((1 << 63) - 1, "b"), (0, "c"), (-1, "d"), (1, "e")] * 40
+    result = shard_documents(spark.createDataFrame([(*row, "s", "en", 1) for row in ends], "doc_id long, text string, source string, lang string, n_chars long"), 16).collect()
+    sizes = check_shards(ends, result, 16)
+    assert max(sizes) - min(sizes) <= 8
+
+
 def test_shard_query(spark, tmp_path):
     docs = [(doc[0], doc[1]) for doc in rows("documents")]
     result = QUERIES["op9_kd_shards"](spark, SMALL)
