@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from stowline.llm.chunks import id_encoder
 from stowline.llm.tables import attempt_file, new_folder, opened, stored
@@ -88,8 +89,7 @@ def rank_of_ids(encoded: DataFrame, vocabulary: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_py(), width), minlength=vocabulary)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), width), minlength=vocabulary)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
 
@@ -115,12 +115,14 @@ def write_files(
     """(manifest, folder): the manifest has one row (file_no, path, n_docs, n_tokens) per file, in key order.
 
     Each document's ids are followed by the end id. Null and empty texts are the end id alone. Repeated keys
-    stay apart, null keys come first. An empty table gives no files. File names belong to task attempts and
+    stay apart, null keys come first; keys of other types than whole numbers are refused. An empty table gives no files. File names belong to task attempts and
     only the manifest says which count, so retried tasks do no harm.
     """
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise ValueError(f"column {key} must hold whole numbers")
     folder = folder or new_folder(spark, "token-files")
     vocabulary = Tokenizer.from_file(tokenizer_file).get_vocab_size()
     width = _width(vocabulary)
