@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stowline.fixed_values import SIZE_INVALID
 from stowline.functions.paths import ancestor, ancestors, depth, is_under, normalize, parent, strip_scheme
 from stowline.functions.staging import once
+from stowline.operators.subtrees import subtree_parts
 from stowline.session import joinable, materialize
 
 
@@ -58,22 +59,18 @@ def directory_sizes(inventory: DataFrame, base: str, levels: int = 1) -> DataFra
 def all_directory_sizes(inventory: DataFrame) -> DataFrame:
     """Bytes below every directory of the inventory."""
     own = _owned(inventory).groupBy("_dir").agg(F.sum("_bytes").alias("_bytes"))
-    return (
-        spread(own, ancestors("_dir"), ["_bytes"])
-        .groupBy("path")
-        .agg(F.sum("_bytes").alias("size_bytes"))
-    )
+    return subtree_parts(own).groupBy("path").agg(F.sum("_bytes").alias("size_bytes"))
 
 
 def listed_sizes(inventory: DataFrame, listed: DataFrame, column: str = "path") -> DataFrame:
     """(path, size_bytes, status) for every listed line, repeats kept; unknown directories are invalid.
 
-    Only ancestors that are listed go on to the second sum.
+    Only directories that are listed go on to the second sum.
     """
     wanted = listed.select(F.col(column).alias("path"), normalize(strip_scheme(column)).alias("_dir"))
     keys = joinable(materialize(wanted.select("_dir").distinct()))
     own = _owned(inventory).groupBy("_dir").agg(F.sum("_bytes").alias("_bytes"))
-    hits = spread(own, ancestors("_dir"), ["_bytes"]).withColumnRenamed("path", "_dir").join(keys, "_dir", "left_semi")
+    hits = subtree_parts(own).withColumnRenamed("path", "_dir").join(keys, "_dir", "left_semi")
     sizes = hits.groupBy("_dir").agg(F.sum("_bytes").alias("size_bytes"))
     return wanted.join(sizes.hint("merge"), "_dir", "left").select(
         "path",
