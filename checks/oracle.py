@@ -490,6 +490,9 @@ ORACLE: dict[str, str] = {
     "pack_windows_by_count": f"""WITH RECURSIVE {ALL_WINDOWS}, {packed(600, 5)}
       SELECT first_row, {stamp('s')} AS start, {stamp('e')} AS "end", rows, array_to_string(names, ',') AS syms, first_ric
       FROM batches""",
+    "pack_windows_wide": f"""WITH RECURSIVE {ALL_WINDOWS}, {packed(60 * 24 * 365, 100_000)}
+      SELECT first_row, {stamp('s')} AS start, {stamp('e')} AS "end", rows, array_to_string(names, ',') AS syms, first_ric
+      FROM batches""",
     "window_requests": f"""WITH RECURSIVE {interest()}, {packed(5, 20)}
       SELECT row_number() OVER (ORDER BY first_ric NULLS FIRST, s, first_row) - 1 AS position, first_row, rows, {request('s', 'e', 'names')} AS request FROM batches""",
     "window_requests_by_start": f"""WITH RECURSIVE {ALL_WINDOWS}, {packed(5, 20)}

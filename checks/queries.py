@@ -512,6 +512,13 @@ def pack_windows_by_count(t):
     )
 
 
+@query
+def pack_windows_wide(t):
+    return pack_windows(t.windows(), max_minutes=60 * 24 * 365, max_rows=100_000).select(
+        "first_row", stamp("start"), stamp("end"), "rows", F.array_join("syms", ",").alias("syms"), "first_ric"
+    )
+
+
 @query
 def window_requests(t):
     packed = extraction.window_requests(interest.interest_windows(t.raw_interest()))
