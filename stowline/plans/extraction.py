@@ -26,6 +26,7 @@ from stowline.operators.packing import pack_windows
 
 BY_SYMBOL = ["first_ric", "start"]
 BY_START = ["start", "first_ric"]
+DAYS_PER_STRETCH = 1_024
 
 
 def window_requests(
@@ -69,17 +70,32 @@ def slot_requests(raw: DataFrame, minutes: int | None = None, symbols_per_reques
     return slots.withColumn("request", request_text(F.col("start"), F.col("end"), F.col("syms")))
 
 
+def _days_between(batches: DataFrame) -> DataFrame:
+    """(batch_id, syms, day_no, day) for every day from `_first` to `_last`; none when `_last` comes first.
+
+    Days come in stretches that are dealt over the cluster before they are opened, so neither array of a row is longer
+    than a few thousand elements, up to the year 9999.
+    """
+    last_stretch = F.floor(F.date_diff("_last", "_first") / DAYS_PER_STRETCH).cast("int")
+    stretches = F.when(last_stretch >= 0, F.sequence(F.lit(0), last_stretch))
+    dealt = batches.select("*", F.explode(stretches).alias("_stretch")).repartition("batch_id", "_stretch")
+    begin = F.col("_stretch") * DAYS_PER_STRETCH
+    end = F.least(begin + DAYS_PER_STRETCH - 1, F.date_diff("_last", "_first"))
+    numbered = dealt.select("batch_id", "syms", "_first", F.explode(F.sequence(begin, end)).alias("day_no"))
+    return numbered.select("batch_id", "syms", "day_no", F.date_add("_first", F.col("day_no")).alias("day"))
+
+
 def _day_batches(raw: DataFrame, minutes: int, symbols_per_request: int, all_days: bool) -> DataFrame:
     ends = interest_range(raw)
     first, last = ends.select("start_day").scalar(), ends.select("end_day").scalar()
     batches = symbol_batches(raw, symbols_per_request).withColumn("_first", first).withColumn("_last", last)
-    days = (
-        F.sequence("_first", "_last", F.expr("interval 1 day")) if all_days else F.array("_first", "_last")
-    )
+    if all_days:
+        days = _days_between(batches)
+    else:
+        days = batches.select("batch_id", "syms", F.posexplode(F.array("_first", "_last")).alias("day_no", "day"))
     start = day_start(F.col("day"))
     return (
-        batches.select("batch_id", "syms", F.posexplode(days).alias("day_no", "day"))
-        .filter(F.col("day").isNotNull())  # no readable day, no request
+        days.filter(F.col("day").isNotNull())  # no readable day, no request
         .withColumn("start", start)
         .withColumn("end", slot_end(F.col("start"), minutes))
     )
@@ -91,7 +107,7 @@ def endpoint_day_requests(
     symbols_per_request: int = DAY_SYMBOLS,
     all_days: bool = False,
 ) -> DataFrame:
-    """Every symbol batch for the first and the last day, both even when equal; `all_days` fills between."""
+    """Every symbol batch for the first and the last day, both even when equal; `all_days` fills between, each day once."""
     rows = _day_batches(raw, interval_minutes(minutes, DAY_MINUTES), symbols_per_request, all_days)
     return rows.withColumn("request", request_text(F.col("start"), F.col("end"), F.col("syms")))
 

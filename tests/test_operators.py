@@ -56,6 +56,39 @@ def test_packing_equals_the_sequential_walk(spark, monkeypatch, seed):
     assert found == shape(fold(rows, timedelta(minutes=minutes), most))
 
 
+@pytest.mark.parametrize("most, minutes, gap", [(1_000, 1, 1), (100_000, 10_000_000, 30), (40, 10_000_000, 1), (700, 3, 0)])
+def test_packing_with_many_rows_a_batch(spark, monkeypatch, most, minutes, gap):
+    from stowline.operators import packing
+
+    monkeypatch.setattr(packing, "BLOCKS_PER_CHAIN", 3)
+    rng = random.Random(most)
+    rows = []
+    for key in range(3_000):
+        start = BASE + timedelta(seconds=rng.randint(0, gap * 900))
+        # a few windows are far longer than the others
+        length = rng.randint(0, 20) if rng.random() < 0.99 else rng.randint(0, 4_000)
+        rows.append((f"S{rng.randint(0, 9)}", start, start + timedelta(seconds=length), key))
+    df = spark.createDataFrame(rows, "ric string, start timestamp, end timestamp, row_key bigint").repartition(5)
+    packed = pack_windows(df, max_minutes=minutes, max_rows=most, block_rows=64).collect()
+    found = sorted((r.start, r.end, r.rows, list(r.syms), r.first_ric) for r in packed)
+    assert found == shape(fold(rows, timedelta(minutes=minutes), most))
+
+
+def test_exit_tables_give_every_exit_back():
+    import numpy as np
+    from types import SimpleNamespace
+
+    from stowline.operators.packing import _exit, _pieces
+
+    for seed in range(200):
+        rng = np.random.default_rng(seed)
+        exits = np.cumsum(rng.choice([0, 1, 5, -3], size=rng.integers(1, 40), p=[0.45, 0.45, 0.05, 0.05])) + 200
+        table = SimpleNamespace(**dict(zip(("begins", "exits", "slopes"), _pieces(exits))))
+        assert _exit(table, np.arange(len(exits))).tolist() == exits.tolist()
+        assert [int(_exit(table, at)) for at in range(len(exits))] == exits.tolist()
+    assert len(_pieces(np.arange(100_000) + 7)[0]) == 1 and len(_pieces(np.zeros(100_000, dtype=int))[0]) == 1
+
+
 def test_packing_of_nothing(spark):
     empty = spark.createDataFrame([], "ric string, start timestamp, end timestamp, row_key bigint")
     assert pack_windows(empty).count() == 0
@@ -179,6 +212,37 @@ def test_directory_sizes(tree):
     assert {(r.path, r.size_bytes) for r in all_directory_sizes(tree).collect()} >= {("/p", 116), ("/pq", 7)}
 
 
+def test_subtree_sums_of_deep_trees(spark):
+    from stowline.operators.subtrees import subtree_parts
+
+    rng = random.Random(5)
+    own, names = {}, ["a", "a!", "a-b", "ab", "\x01", "\u00e9", "b"]
+    deep = "".join(f"/d{level}" for level in range(40))
+    for _ in range(600):
+        # a third of all directories lie far below one chain
+        above = deep if rng.random() < 0.34 else ""
+        own["".join([above, *(f"/{rng.choice(names)}" for _ in range(rng.randint(1, 8)))])] = rng.choice([None, 0, 3, 2**40])
+    own["/a//b"], own[deep], own["/"], own[None] = 5, 7, 11, 13
+    wanted = {}
+    for path, size in own.items():
+        pieces = (path or "").split("/")
+        for level in range(2, len(pieces) + 1) if path != "/" else ():
+            at = "/".join(pieces[:level])
+            if size is None:
+                wanted.setdefault(at, None)
+            else:
+                wanted[at] = (wanted.get(at) or 0) + size
+    df = spark.createDataFrame(list(own.items()), "_dir string, _bytes bigint").repartition(7)
+    parts = subtree_parts(df).collect()
+    found = {}
+    for path, size in parts:
+        found[path] = size if found.get(path) is None else found[path] + (size or 0)
+    assert found == wanted
+    # rows follow the directories; only those open at a partition's end come again
+    assert len(parts) <= len(wanted) + 8 * 49
+    assert subtree_parts(df.limit(0)).count() == 0
+
+
 def test_listed_sizes_keep_repeats_and_mark_unknown(spark, tree):
     listed = spark.createDataFrame([("/p/m/",), ("/p/m/",), ("/none",), ("/p/empty",)], "path string")
     found = sorted((r.path, r.size_bytes, r.status) for r in listed_sizes(tree, listed).fillna(-1).collect())

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 
@@ -177,6 +177,19 @@ def test_endpoint_days_come_twice_when_equal(spark):
     assert sorted((r.day_no, tuple(r.syms)) for r in alone.collect()) == [(0, ("A",)), (0, ("B",)), (1, ("A",)), (1, ("B",))]
 
 
+def test_all_days_reach_a_stray_last_date(spark):
+    schema = "row_key bigint, ric string, start_text string, end_text string"
+    rows = [(at, f"S{at:03}", "2025-03-07T10:00:00Z", "2025-03-07T10:05:00Z") for at in range(25)]
+    stray = spark.createDataFrame([*rows, (99, "S000", "2025-03-07T10:00:00Z", "9999-12-31T10:00:00Z")], schema)
+    days = extraction._day_batches(stray, 1440, 25, True)
+    count, first, last, numbers = days.selectExpr("count(*)", "min(day)", "max(day)", "count(distinct day_no)").first()
+    wanted = (date(9999, 12, 31) - date(2025, 3, 7)).days + 1
+    assert (count, str(first), str(last), numbers) == (wanted, "2025-03-07", "9999-12-31", wanted)
+    assert days.selectExpr("max(abs(datediff(day, date'2025-03-07') - day_no))").first()[0] == 0
+    backwards = spark.createDataFrame([(0, "A", "2025-03-07T10:00:00Z", "2025-03-01T10:05:00Z")], schema)
+    assert extraction.endpoint_day_requests(backwards, all_days=True).count() == 0
+
+
 def test_slot_requests_use_the_first_day_in_file_order(spark):
     raw = spark.createDataFrame(
         [(0, "A", "", ""), (1, "A", "2025-03-09T10:00:00Z", ""), (2, "B", "2025-03-07T10:00:00Z", "")],
