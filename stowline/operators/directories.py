@@ -8,7 +8,7 @@ from stowline.fixed_values import SIZE_INVALID
 from stowline.functions.paths import ancestor, ancestors, depth, is_under, normalize, parent, strip_scheme
 from stowline.functions.staging import once
 from stowline.operators.subtrees import subtree_parts
-from stowline.session import joinable, materialize
+from stowline.session import is_small, materialize
 
 
 def _owned(inventory: DataFrame, base: str | None = None) -> DataFrame:
@@ -65,12 +65,16 @@ def all_directory_sizes(inventory: DataFrame) -> DataFrame:
 def listed_sizes(inventory: DataFrame, listed: DataFrame, column: str = "path") -> DataFrame:
     """(path, size_bytes, status) for every listed line, repeats kept; unknown directories are invalid.
 
-    Only directories that are listed go on to the second sum.
+    Only directories that are listed go on to the second sum. Few listed ones are broadcast and met before any
+    further shuffle; for many the sums come from the path order, so no row is shuffled once per ancestor.
     """
     wanted = listed.select(F.col(column).alias("path"), normalize(strip_scheme(column)).alias("_dir"))
-    keys = joinable(materialize(wanted.select("_dir").distinct()))
+    keys = materialize(wanted.select("_dir").distinct())
     own = _owned(inventory).groupBy("_dir").agg(F.sum("_bytes").alias("_bytes"))
-    hits = subtree_parts(own).withColumnRenamed("path", "_dir").join(keys, "_dir", "left_semi")
+    few = is_small(keys)
+    parts = spread(own, ancestors("_dir"), ["_bytes"]) if few else subtree_parts(own)
+    met = F.broadcast(keys) if few else keys.hint("merge")
+    hits = parts.withColumnRenamed("path", "_dir").join(met, "_dir", "left_semi")
     sizes = hits.groupBy("_dir").agg(F.sum("_bytes").alias("size_bytes"))
     return wanted.join(sizes.hint("merge"), "_dir", "left").select(
         "path",

@@ -61,8 +61,8 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def joinable(side: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """A stored join side: broadcast when its counted rows and bytes are few, otherwise never broadcast.
+def is_small(side: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored side may be broadcast, from its counted rows and bytes.
 
     Spark's own estimate does not know how far an exploded or derived side grows. Texts count by their bytes, other
     columns by 16 a row.
@@ -70,6 +70,9 @@ def joinable(side: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = B
     texts = [F.coalesce(F.octet_length(f"`{name}`"), F.lit(0)) for name, kind in side.dtypes if kind == "string"]
     width = sum(texts, F.lit(16 * len(side.columns)).cast("bigint"))
     rows, bytes_ = side.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
-    if rows <= max_rows and bytes_ <= max_bytes:
-        return F.broadcast(side)
-    return side.hint("merge")
+    return rows <= max_rows and bytes_ <= max_bytes
+
+
+def joinable(side: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored join side: broadcast when its counted rows and bytes are few, otherwise never broadcast."""
+    return F.broadcast(side) if is_small(side, max_rows, max_bytes) else side.hint("merge")

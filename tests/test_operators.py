@@ -243,7 +243,11 @@ def test_subtree_sums_of_deep_trees(spark):
     assert subtree_parts(df.limit(0)).count() == 0
 
 
-def test_listed_sizes_keep_repeats_and_mark_unknown(spark, tree):
+@pytest.mark.parametrize("few", [True, False])
+def test_listed_sizes_keep_repeats_and_mark_unknown(spark, monkeypatch, tree, few):
+    from stowline.operators import directories
+
+    monkeypatch.setattr(directories, "is_small", lambda side: few)
     listed = spark.createDataFrame([("/p/m/",), ("/p/m/",), ("/none",), ("/p/empty",)], "path string")
     found = sorted((r.path, r.size_bytes, r.status) for r in listed_sizes(tree, listed).fillna(-1).collect())
     assert found == [("/none", -1, "INVALID_PATH"), ("/p/empty", 0, "OK"), ("/p/m/", 16, "OK"), ("/p/m/", 16, "OK")]
