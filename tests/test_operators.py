@@ -315,6 +315,35 @@ def test_hot_cells_are_cut(spark, monkeypatch):
     assert pairs.columns == ["sym", "ts", "n", "ric", "start", "end", "k"]
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_one_instant_is_dealt_out(spark, monkeypatch, limit):
+    """Ticks and windows of one instant meet in blocks, none of which holds all their pairs."""
+    monkeypatch.setattr(intervals, "BROADCAST_RANGES", limit)
+    monkeypatch.setattr(intervals, "HOT_PAIRS", 400)
+    monkeypatch.setattr(intervals, "CUTS", 8)
+    ticks = [("H", BASE, n) for n in range(130)] + [("H", BASE + timedelta(seconds=n), 200 + n) for n in range(90)]
+    windows = [("H", BASE - timedelta(seconds=n % 3), BASE + timedelta(seconds=n % 5), n) for n in range(110)]
+    windows += windows[:7]
+    t = spark.createDataFrame(ticks, "sym string, ts timestamp, n int")
+    w = spark.createDataFrame(windows, "ric string, start timestamp, end timestamp, k int")
+    wanted = sorted((n, k) for _, ts, n in ticks for _, start, end, k in windows if start <= ts <= end)
+    assert sorted((row.n, row.k) for row in intervals.interval_join(t, w).collect()) == wanted
+
+
+def test_blocks_bound_the_pairs_of_one_piece(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "HOT_PAIRS", 100)
+    cut = spark.range(95).selectExpr("'H' AS _sym", "id AS n", "CASE WHEN id < 90 THEN 0 ELSE 1 END AS _piece")
+    held = spark.range(43).selectExpr("'H' AS _sym", "id AS k", "CASE WHEN id < 40 THEN 0 ELSE 1 END AS _piece")
+    keys = ["_sym", "_piece"]
+    met = [one.join(other, [*keys, "_block"]) for one, other in [intervals._dealt(cut, held, keys)]][0].collect()
+    pairs = [(row.n, row.k) for row in met]
+    assert len(pairs) == len(set(pairs)) == 90 * 40 + 5 * 3
+    blocks = {}
+    for row in met:
+        blocks[row["_piece"], row["_block"]] = blocks.get((row["_piece"], row["_block"]), 0) + 1
+    assert len(blocks) == 9 * 4 + 1 and max(blocks.values()) <= 2 * 100
+
+
 def test_covered_ranges_do_not_overlap(spark):
     rows = [("A", BASE, BASE + timedelta(minutes=12)), ("A", BASE + timedelta(minutes=1), BASE + timedelta(minutes=2))]
     rows += [("A", BASE + timedelta(minutes=11), BASE + timedelta(minutes=13))]
