@@ -21,8 +21,20 @@ from stowline.llm.tables import stored, table
 from stowline.session import joinable
 
 
+# whole texts travel to Python workers in batches; every core holds one on both sides
+BATCH_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """At most BATCH_ROWS texts at a time in each task's Arrow buffers; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """The documents with a row number in a column of its own, stored so that all readers see the same numbers."""
+    _small_batches(docs.sparkSession)
     row, taken = "row", {name.lower() for name in docs.columns}
     while row in taken:
         row += "_"
@@ -61,6 +73,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining documents, packed into sequences; rows without an id and repeated ids are packed a row each."""
+    _small_batches(spark)
     return pack(docs, public_tokenizers.path(TOKENIZER), END_ID, SEQUENCE)
 
 

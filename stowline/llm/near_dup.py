@@ -89,8 +89,8 @@ def _facts(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, short, bands = [], [], [], []
-            for text_of in batch.column(1).to_pylist():
-                shingles = shingle_set(text_of)
+            for text_of in batch.column(1):  # one text at a time
+                shingles = shingle_set(text_of.as_py())
                 sizes.append(len(shingles))
                 digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                 if len(shingles):
@@ -276,7 +276,7 @@ def _sets(docs: DataFrame, needed: DataFrame, nodes: DataFrame, key: str, text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(one) for one in batch.column(2).to_pylist()]
+            sets = [shingle_set(one.as_py()) for one in batch.column(2)]
             # another row of the id may hold another text
             good = [xxhash.xxh3_128_digest(one.tobytes()) == digest for one, digest in zip(sets, batch.column(1).to_pylist())]
             rows = pa.array([one.tobytes() for one in sets], pa.binary())

@@ -62,3 +62,18 @@ def test_contaminated_rows_go_alone(spark):
     docs = spark.createDataFrame([(1, "x " + passage, 1), (1, "clean", 1), (None, "clean too", 1), (None, passage, 1)], schema)
     kept = corpus_pipeline.decontamination(spark, docs, SMALL).collect()
     assert sorted((row.doc_id or 0, row.text) for row in kept) == [(0, "clean too"), (1, "clean")]
+
+
+def test_texts_travel_in_small_batches(spark, tmp_path):
+    """Every stage bounds the texts that a task holds at once; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    try:
+        for given, wanted in (("10000", corpus_pipeline.BATCH_ROWS), ("0", corpus_pipeline.BATCH_ROWS), ("7", 7)):
+            for begin in (corpus_pipeline._numbered, lambda rows: corpus_pipeline.packing(spark, rows, str(tmp_path))):
+                spark.conf.set(name, given)
+                begin(docs)
+                assert int(spark.conf.get(name)) == wanted
+    finally:
+        spark.conf.set(name, before)
