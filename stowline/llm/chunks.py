@@ -18,13 +18,24 @@ import numpy as np
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _WIDE_SPACE = re.compile(f"[{WHITE}]{{2}}|^\n|[{WHITE}]\\Z")
 _BREAK = re.compile(f"(?<=[^{WHITE}]) ")
+# WHITE holds a range
+_RARE_SPACE = [mark for mark in re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))) if mark not in " \n"]
+_MARKS = (".", ",")
 MEMO_ENTRIES = 500_000
 _JOINED_CHARS = 200_000
 
 
+def _plain_space(text: str) -> bool:
+    """Whether white space stands between other characters only, one at a time. Plain searches decide for most texts."""
+    for mark in _RARE_SPACE:
+        if mark in text:
+            return not _WIDE_SPACE.search(text)
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text.startswith("\n") or text.endswith((" ", "\n")))
+
+
 def split_chunks(text: str) -> list[str]:
     """The chunks; `spelled` tells what each but the first stands for."""
-    if not _WIDE_SPACE.search(text):
+    if _plain_space(text):
         return text.replace("\n", " \n").split(" ")
     first, *rest = _BREAK.split(text)
     return [first, *(" " + chunk for chunk in rest)]
@@ -58,6 +69,10 @@ class ChunkMemo:
     def __init__(self, compute: Callable[[list[str]], list], entries: int = MEMO_ENTRIES):
         self.compute, self.entries, self.young, self.old = compute, entries, {}, {}
 
+    def clear(self) -> None:
+        """Forgets everything; mappings that `learn` gave stay as they are."""
+        self.young, self.old = {}, {}
+
     def learn(self, chunks: set[str]) -> dict:
         """A mapping that holds all these chunks."""
         absent = chunks.difference(self.young)
@@ -90,6 +105,7 @@ class IdEncoder:
         shown = byte_alphabet()
         self.shown = {byte: shown[byte] for byte in range(256)}
         self.line_break = self._whole("\n")
+        self.marks = {mark: self._pre_token(mark) for mark in _MARKS}
         self.memo = ChunkMemo(self._values)
 
     def _whole(self, text: str) -> bytes:
@@ -105,15 +121,16 @@ class IdEncoder:
     def _values(self, chunks: list[str]) -> list[bytes]:
         """Most chunks are letters, or letters and one mark: one or two pre-tokens for certain. The rest goes to the tokenizer."""
         out: list = [None] * len(chunks)
-        rest = []
+        rest, marks, young, old = [], self.marks, self.memo.young, self.memo.old
         for at, chunk in enumerate(chunks):
-            body = chunk[1:-1] if chunk[-1] in ".," else chunk[1:]
+            mark = marks.get(chunk[-1], b"")
+            body = chunk[1:-1] if mark else chunk[1:]
             if body.isalpha():
                 if chunk[0] == "\n":
                     ids = self.line_break + self._pre_token(body)
-                elif (ids := self.memo.young.get(body)) is None:
+                elif (ids := young.get(body) or old.get(body)) is None:
                     ids = self._pre_token(" " + body)
-                out[at] = ids + self._pre_token(chunk[-1]) if chunk[-1] in ".," else ids
+                out[at] = ids + mark
             elif chunk[-1] in WHITE:
                 out[at] = self._whole(chunk)  # its white space would join that of the next chunk
             else:
@@ -152,7 +169,7 @@ class IdEncoder:
                     yield self._whole(text)
                 else:
                     head = self._whole(chunks[0]) if chunks[0] else b""
-                    yield head + b"".join([known[chunk] for chunk in chunks[1:]])
+                    yield head + b"".join(map(known.__getitem__, chunks[1:]))
 
 
 _encoders: dict[str, IdEncoder] = {}

@@ -173,3 +173,11 @@ def test_plans_hold_every_item(items):
     assert placed == counts
     used, best = sum(bins for bins, _ in plan), fewest(sorted(items, reverse=True), 20)
     assert best <= used <= best + 1
+
+
+@pytest.mark.parametrize("space", ["\t", "\x0b", "\r", "\x85", "\xa0", "　", " ", " ", "\n"])
+def test_white_space_found_like_the_pattern(space):
+    from stowline.llm import chunks
+
+    for text in ("", "a", f"a{space}b", f"a{space} b", f"a {space}b", f"{space}a", f"a{space}", f"a{space}\nb", f"a\n{space}b", f"a b\nc{space}d"):
+        assert chunks._plain_space(text) == (not chunks._WIDE_SPACE.search(text)), repr(text)
