@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from stowline.llm.memos import hold
+
 BLOCK_BYTES = 200_000
 # bytes to normalised bytes: A-Z to a-z, other ASCII that is no letter or digit to a space
 _NORMAL = bytes(
@@ -61,6 +63,7 @@ _built: dict[str, object] = {}
 
 def _automaton(name: str, items: list[tuple], window: int):
     """One automaton at a time per Python worker."""
+    hold(_built)
     if name not in _built:
         _built.clear()
         _built[name] = build_automaton(items, window)

@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from stowline.llm.components import components
+from stowline.llm.memos import hold
 from stowline.llm.tables import stored
 
 SHINGLE = 5
@@ -53,6 +54,11 @@ class _WordHashes(dict):
 _word_hashes = _WordHashes()
 
 
+def _hold_words() -> None:
+    """The words of this worker, not of the driver that sends the task's function."""
+    hold(_word_hashes)
+
+
 def _mix(values: np.ndarray) -> np.ndarray:
     values = (values ^ (values >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return values ^ (values >> np.uint64(32))
@@ -87,6 +93,7 @@ def _facts(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _hold_words()
         for batch in batches:
             sizes, digests, short, bands = [], [], [], []
             for text_of in batch.column(1):  # one text at a time
@@ -275,6 +282,7 @@ def _sets(docs: DataFrame, needed: DataFrame, nodes: DataFrame, key: str, text:
     """Stored (node, _shingles) of the needed classes, each from a document of it that is read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _hold_words()
         for batch in batches:
             sets = [shingle_set(one.as_py()) for one in batch.column(2)]
             # another row of the id may hold another text

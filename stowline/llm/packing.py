@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stowline.llm.chunks import id_encoder
+from stowline.llm.memos import hold
 from stowline.llm.tables import stored
 from stowline.operators.numbering import number_rows
 
@@ -146,6 +147,7 @@ def cut_documents(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = id_encoder(tokenizer_file), end_id.to_bytes(4, "little")
+        hold(encoder.memo)
         for batch in batches:
             owner: list[int] = []
             rows: list[tuple[int, int, int, int]] = []

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import IntegralType
 
 from stowline.llm.chunks import id_encoder
+from stowline.llm.memos import hold
 from stowline.llm.tables import attempt_file, new_folder, opened, stored
 
 MAGIC = b"RKVB0001"
@@ -63,6 +64,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int, key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = id_encoder(tokenizer_file), end_id.to_bytes(4, "little")
+        hold(encoder.memo)
         width = _width(encoder.tokenizer.get_vocab_size())
         for batch in batches:
             ids = [np.frombuffer(one + end, "<u4") for one in encoder.encode_all(batch.column(1).to_pylist())]

@@ -175,6 +175,25 @@ def test_plans_hold_every_item(items):
     assert best <= used <= best + 1
 
 
+def test_one_operator_holds_memory_in_a_worker():
+    """What an operator remembered goes when another one's task begins; a running one still ends with right results."""
+    from stowline.llm import near_dup
+    from stowline.llm.memos import hold
+
+    encoder = id_encoder(FILE)
+    texts = ["one two three", "four five " * 200_000, "six seven"]
+    hold(encoder.memo)
+    running = encoder.encode_all(texts)
+    first = next(running)
+    assert encoder.memo.young
+    near_dup._hold_words()
+    near_dup.shingle_set("one two three")
+    assert not encoder.memo.young and not encoder.memo.old and near_dup._word_hashes
+    assert [np.frombuffer(one, "<u4").tolist() for one in (first, *running)] == [ids(text) for text in texts]
+    hold(encoder.memo)
+    assert not near_dup._word_hashes
+
+
 @pytest.mark.parametrize("space", ["\t", "\x0b", "\r", "\x85", "\xa0", "　", " ", " ", "\n"])
 def test_white_space_found_like_the_pattern(space):
     from stowline.llm import chunks
