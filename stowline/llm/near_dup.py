@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from stowline.llm.components import components
 from stowline.llm.memos import hold
 from stowline.llm.tables import stored
+from stowline.session import joinable
 
 SHINGLE = 5
 PERCENT = 75
@@ -197,6 +198,7 @@ def _close(one, other):
 def _labelled(members: DataFrame, found: DataFrame, links: DataFrame) -> DataFrame:
     """The members of buckets that hold more than one component, with component and number of links, a row per bucket."""
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("_links"))
+    degree = joinable(stored(degree, "degree"))
     labelled = members.join(found.withColumnRenamed("component", "_label"), "node", "left").join(degree, "node", "left")
     label, number = F.coalesce("_label", "node").alias("_label"), F.coalesce("_links", F.lit(0)).alias("_links")
     labelled = labelled.select("node", "n_shingles", label, number, F.explode("_met.band").alias("band"))
@@ -291,6 +293,7 @@ def _sets(docs: DataFrame, needed: DataFrame, nodes: DataFrame, key: str, text:
             yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["node", "_shingles"]).filter(pa.array(good, pa.bool_()))
 
     wanted = nodes.select("node", "_set", F.col("_first").alias(key)).join(needed.toDF("node").distinct(), "node", "left_semi")
+    wanted = joinable(stored(wanted, "wanted"))  # texts are shuffled only for more classes than may be broadcast
     texts = docs.select(key, text).join(wanted, key).select("node", "_set", text)
     sets = texts.mapInArrow(run, "node long, _shingles binary").groupBy("node").agg(F.any_value("_shingles").alias("_shingles"))
     return stored(sets, "sets")
@@ -350,7 +353,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     pairs = pairs.filter((F.col("node") != F.col("_centre.node")) & _close(F.col("n_shingles"), F.col("_centre.n_shingles")))
     pairs = pairs.select(F.col("_centre.node").alias("a"), F.col("node").alias("b"))
     links = _verified(stored(_pruned(pairs, signatures), "survivors"), docs, nodes, key, text)
-    found = components(links)
+    found = joinable(components(links))
     for step in ("best linked", "rest"):
         labelled = stored(_labelled(members, found, links), "mixed")
         if labelled.isEmpty():
@@ -362,7 +365,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             more = _verified_cells(stored(_rest(labelled, nodes), "cells"), docs, nodes, key, text)
         if not more.isEmpty():
             links = links.union(more)
-            found = components(_stars(found).union(more))
+            found = joinable(components(_stars(found).union(more)))
     return _assigned(facts, known, nodes, found, key)
 
 
@@ -373,13 +376,15 @@ def _stars(found: DataFrame) -> DataFrame:
 
 def _assigned(facts: DataFrame, known: DataFrame, nodes: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """The rows of `facts` with their component: the smallest id of any set that links or ids in common reach."""
-    of_id = known.select(key, "_set").distinct()
-    several = of_id.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select(key)
-    ids = stored(of_id.join(several, key, "left_semi").join(nodes.select("_set", "node"), "_set").select(key, "node"), "sets-of-ids")
-    if not ids.isEmpty():
+    several = known.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select(key)
+    several = stored(several, "repeated-ids")
+    if not several.isEmpty():
+        of_id = known.select(key, "_set").join(several, key, "left_semi").distinct()
+        ids = stored(of_id.join(nodes.select("_set", "node"), "_set").select(key, "node"), "sets-of-ids")
         first = ids.groupBy(key).agg(F.min("node").alias("b"))
-        same = ids.join(first, key).select(F.col("node").alias("a"), "b").filter(F.col("a") != F.col("b"))
-        found = components(_stars(found).union(same))
+        same = stored(ids.join(first, key).select(F.col("node").alias("a"), "b").filter(F.col("a") != F.col("b")), "same-id")
+        if not same.isEmpty():
+            found = joinable(components(_stars(found).union(same)))
     owned = nodes.select("_set", "node", "_first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = owned.groupBy("component").agg(F.min("_first").alias("_component"))
     owner = owned.join(least, "component").select("_set", "_component")

@@ -116,3 +116,23 @@ def test_one_id_with_several_texts(spark):
     apart = docs.filter("doc_id <> 1")
     result = {(row.doc_id, row.component_id) for row in near_duplicates(apart).collect()}
     assert result == {(2, 2), (4, 2), (3, 3), (5, 3), (6, 6)}
+
+
+def test_components_take_few_shuffles(spark, monkeypatch):
+    """Edges that are stars already are settled by one stored pass, repeats and self loops among them."""
+    from stowline.llm import components as module
+
+    names = []
+    monkeypatch.setattr(module, "stored", lambda df, name, real=module.stored: names.append(name) or real(df, name))
+    made = [(1, 2), (3, 1), (3, 1), (7, 7), (5, 9), (None, 4)]
+    stars = module.stored(spark.createDataFrame(made, "a long, b long"), "given")
+    assert dict(map(tuple, components(stars).collect())) == {1: 1, 2: 1, 3: 1, 5: 5, 9: 5}
+    assert names == ["given", "least"]
+
+
+def test_repeated_rows_of_an_id_do_not_store_its_sets(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(near_dup, "stored", lambda df, name, real=near_dup.stored: names.append(name) or real(df, name))
+    text = " ".join(f"w{at}" for at in range(30))
+    assert found(documents(spark, [text, "a b", text + " x"])) == [(0, 26, 0, True), (1, 1, 1, True), (2, 27, 0, False)]
+    assert "sets-of-ids" not in names and "repeated-ids" in names
