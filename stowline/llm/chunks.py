@@ -8,11 +8,15 @@ what the tokenizer gave for them. The bound limits memory only: a dropped chunk
 from __future__ import annotations
 
 import re
+import string
 import struct
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, compress, count, pairwise, repeat
+from operator import is_
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # White space as the byte-level pre-tokenizer sees it (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -20,9 +24,12 @@ _WIDE_SPACE = re.compile(f"[{WHITE}]{{2}}|^\n|[{WHITE}]\\Z")
 _BREAK = re.compile(f"(?<=[^{WHITE}]) ")
 # WHITE holds a range
 _RARE_SPACE = [mark for mark in re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))) if mark not in " \n"]
-_MARKS = (".", ",")
+_MARKS = string.punctuation  # none is a letter, a number or white space, so a run of them at the end of a word is a pre-token
 MEMO_ENTRIES = 500_000
 _JOINED_CHARS = 200_000
+_GROUP_CHARS = 2_000_000
+_MARK_ENTRIES = 10_000
+_PACK = [struct.Struct(f"<{size}I").pack for size in range(64)]
 
 
 def _plain_space(text: str) -> bool:
@@ -84,6 +91,17 @@ class ChunkMemo:
         self.young.update(zip(missing, self.compute([spelled(chunk) for chunk in missing])))
         return self.young
 
+    def values(self, chunks: list[str]) -> list:
+        """The value of each of these chunks, which may repeat."""
+        found = list(map(self.young.get, chunks))
+        places = list(compress(count(), map(is_, found, repeat(None))))
+        if places:
+            absent = [chunks[at] for at in places]
+            known = self.learn(set(absent))
+            for at, chunk in zip(places, absent):
+                found[at] = known[chunk]
+        return found
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that byte-level BPE writes for each byte."""
@@ -102,10 +120,9 @@ class IdEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
-        shown = byte_alphabet()
-        self.shown = {byte: shown[byte] for byte in range(256)}
+        self.shown = byte_alphabet()
         self.line_break = self._whole("\n")
-        self.marks = {mark: self._pre_token(mark) for mark in _MARKS}
+        self.marks: dict[str, bytes] = {"": b""}
         self.memo = ChunkMemo(self._values)
 
     def _whole(self, text: str) -> bytes:
@@ -114,23 +131,31 @@ class IdEncoder:
     def _pre_token(self, text: str) -> bytes:
         """The ids of one pre-token, by the library's model."""
         # the space is the only ASCII character here that the byte alphabet writes differently
-        shown = text.replace(" ", self.shown[0x20]) if text.isascii() else text.encode().decode("latin-1").translate(self.shown)
-        tokens = self.model.tokenize(shown)
-        return struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
+        shown = text.replace(" ", self.shown[0x20]) if text.isascii() else "".join(map(self.shown.__getitem__, text.encode()))
+        ids = [token.id for token in self.model.tokenize(shown)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+
+    def _mark_ids(self, marks: str) -> bytes:
+        ids = self._pre_token(marks)
+        if len(self.marks) < _MARK_ENTRIES and len(marks) <= 16:
+            self.marks[marks] = ids
+        return ids
 
     def _values(self, chunks: list[str]) -> list[bytes]:
-        """Most chunks are letters, or letters and one mark: one or two pre-tokens for certain. The rest goes to the tokenizer."""
+        """Most chunks are letters, or letters and marks behind them: one or two pre-tokens for certain. The rest goes to the tokenizer."""
         out: list = [None] * len(chunks)
         rest, marks, young, old = [], self.marks, self.memo.young, self.memo.old
+        fresh: dict[str, bytes] = {}  # letters that stand here with several marks
         for at, chunk in enumerate(chunks):
-            mark = marks.get(chunk[-1], b"")
-            body = chunk[1:-1] if mark else chunk[1:]
+            bare = chunk.rstrip(_MARKS)
+            body = bare[1:]
             if body.isalpha():
+                tail = chunk[len(bare) :]
                 if chunk[0] == "\n":
                     ids = self.line_break + self._pre_token(body)
-                elif (ids := young.get(body) or old.get(body)) is None:
-                    ids = self._pre_token(" " + body)
-                out[at] = ids + mark
+                elif (ids := young.get(body) or old.get(body) or fresh.get(body)) is None:
+                    ids = fresh[body] = self._pre_token(bare)
+                out[at] = ids + (marks.get(tail) or self._mark_ids(tail)) if tail else ids
             elif chunk[-1] in WHITE:
                 out[at] = self._whole(chunk)  # its white space would join that of the next chunk
             else:
@@ -159,17 +184,42 @@ class IdEncoder:
             at = end
         return out
 
+    def _behind_heads(self, tails: list[str]) -> list[bytes]:
+        """The ids of texts whose chunks a space parts. Arrow numbers the distinct chunks, so each is looked up once."""
+        split = pc.split_pattern(pa.array(tails, pa.large_string()), " ")
+        numbered = split.flatten().dictionary_encode()
+        values = self.memo.values(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        pool = np.frombuffer(b"".join(values), "<u4")
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        begins = np.cumsum(sizes) - sizes
+        which = numbered.indices.to_numpy()
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        places = np.repeat(begins[which] - (ends - lengths), lengths)
+        places += np.arange(len(places))
+        raw = pool[places].tobytes()
+        edges = 4 * np.concatenate(([0], ends))[split.offsets.to_numpy()]
+        return [raw[low:high] for low, high in pairwise(edges.tolist())]
+
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text; null counts as empty."""
-        for group in by_size(texts):
-            split = [None if any(word in text for word in self.special) else split_chunks(text) for text in group]
-            known = self.memo.learn(set().union(*(chunks[1:] for chunks in split if chunks)))
-            for text, chunks in zip(group, split):
-                if chunks is None:
-                    yield self._whole(text)
+        for group in by_size(texts, _GROUP_CHARS):
+            heads: list[tuple[bytes, bool]] = []  # (ids, whether chunks among the tails follow)
+            tails: list[str] = []
+            for text in group:
+                if any(word in text for word in self.special):
+                    heads.append((self._whole(text), False))
+                elif _plain_space(text):
+                    head, space, tail = text.replace("\n", " \n").partition(" ")
+                    heads.append((self._whole(head) if head else b"", bool(space)))
+                    if space:
+                        tails.append(tail)
                 else:
-                    head = self._whole(chunks[0]) if chunks[0] else b""
-                    yield head + b"".join(map(known.__getitem__, chunks[1:]))
+                    head, *chunks = split_chunks(text)
+                    heads.append(((self._whole(head) if head else b"") + b"".join(self.memo.values(chunks)), False))
+            behind = iter(self._behind_heads(tails))
+            for head, more in heads:
+                yield head + next(behind) if more else head
 
 
 _encoders: dict[str, IdEncoder] = {}

@@ -26,37 +26,78 @@ from stowline.llm.tables import attempt_file, new_folder, opened, stored
 MAGIC = b"RKVB0001"
 _FOOTER = "<QQ8s"
 FILE_TOKENS = 16_000_000
+GROUP_BYTES = 1 << 20  # documents coded or decoded at a time; a larger one is alone
 
 
 class Codec:
-    """Ranks to control and data bytes and back."""
+    """Ranks to control and data bytes and back. Both ways take many documents at a time, each with blocks of its own."""
 
     def __init__(self, vocabulary: int):
         self.bits = 1 if vocabulary <= 1 << 16 else 2
         self.fields = 8 // self.bits
         shifts = np.arange(self.fields) * self.bits
         # lengths of all codes that one control byte describes
-        self.lengths = ((np.arange(256)[:, None] >> shifts) & ((1 << self.bits) - 1)) + 1
+        self.lengths = (((np.arange(256)[:, None] >> shifts) & ((1 << self.bits) - 1)) + 1).astype(np.uint8)
         self.shifts = shifts.astype(np.uint8)
 
-    def encode(self, ranks: np.ndarray) -> tuple[bytes, bytes]:
-        sizes = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-        fields = np.zeros(-(-len(ranks) // self.fields) * self.fields, np.uint8)
-        fields[: len(ranks)] = sizes - 1
-        control = np.bitwise_or.reduce(fields.reshape(-1, self.fields) << self.shifts, axis=1)
-        byte_rows = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-        return control.astype(np.uint8).tobytes(), byte_rows[np.arange(4) < sizes[:, None]].tobytes()
-
-    def decode(self, control: bytes, data: bytes, count: int) -> np.ndarray:
-        sizes = self.lengths[np.frombuffer(control, np.uint8)].ravel()[:count]
-        begins = np.cumsum(sizes) - sizes
-        padded = np.frombuffer(data + bytes(3), np.uint8)
+    def _places(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the control bytes of each document, the place of each code's field): a document's fields begin on a whole byte."""
+        controls = -(-counts // self.fields)
+        gaps = np.cumsum(controls * self.fields - counts) - (controls * self.fields - counts)
+        return controls, np.arange(counts.sum()) + np.repeat(gaps, counts)
+
+    def encode_many(self, ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """The control and the data blocks of documents that lie one after another, of so many ranks each."""
+        ranks = ranks.astype("<u4", copy=False)
+        sizes = 1 + (ranks > 0xFF).astype(np.uint8)
+        if ranks.max(initial=0) > 0xFFFF:
+            sizes += (ranks > 0xFFFF).astype(np.uint8) + (ranks > 0xFFFFFF)
+        controls, places = self._places(counts)
+        fields = np.zeros(int(controls.sum()) * self.fields, np.uint8)
+        fields[places] = sizes - 1
+        control = np.bitwise_or.reduce(fields.reshape(-1, self.fields) << self.shifts, axis=1) if self.bits > 1 else np.packbits(fields, bitorder="little")
+        widest = int(sizes.max(initial=1))
+        byte_rows = ranks.view(np.uint8).reshape(-1, 4)[:, :widest]
+        data = byte_rows[np.arange(widest, dtype=np.uint8) < sizes[:, None]]
+        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[np.concatenate(([0], np.cumsum(counts)))]
+        return _cut(control.astype(np.uint8, copy=False).tobytes(), np.concatenate(([0], np.cumsum(controls)))), _cut(data.tobytes(), ends)
+
+    def decode_many(self, controls: list[bytes], datas: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """The ranks of all documents, one after another."""
+        _, places = self._places(counts)
+        sizes = self.lengths[np.frombuffer(b"".join(controls), np.uint8)].ravel()[places]
+        begins = np.cumsum(sizes, dtype=np.int64) - sizes
+        padded = np.frombuffer(b"".join(datas) + bytes(3), np.uint8)
         ranks = padded[begins].astype(np.uint32)
         for place in range(1, int(sizes.max(initial=1))):
-            longer = sizes > place
+            longer = np.flatnonzero(sizes > place)
             ranks[longer] |= padded[begins[longer] + place].astype(np.uint32) << np.uint32(8 * place)
         return ranks
 
+    def encode(self, ranks: np.ndarray) -> tuple[bytes, bytes]:
+        (control,), (data,) = self.encode_many(ranks, np.array([len(ranks)]))
+        return control, data
+
+    def decode(self, control: bytes, data: bytes, count: int) -> np.ndarray:
+        return self.decode_many([control], [data], np.array([count]))
+
+
+def _cut(block: bytes, edges: np.ndarray) -> list[bytes]:
+    edges = edges.tolist()
+    return [block[low:high] for low, high in zip(edges, edges[1:])]
+
+
+def _groups(sizes: list[int], most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """(low, high) of consecutive rows of about so many bytes together."""
+    low = held = 0
+    for at, size in enumerate(sizes):
+        held += size
+        if held >= most:
+            yield low, at + 1
+            low, held = at + 1, 0
+    if low < len(sizes):
+        yield low, len(sizes)
+
 
 def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int, key: str, text: str) -> DataFrame:
     """(key, n_tokens, ids): ids as little-endian integers of the narrowest width that holds the vocabulary."""
@@ -67,12 +108,12 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int, key: str
         hold(encoder.memo)
         width = _width(encoder.tokenizer.get_vocab_size())
         for batch in batches:
-            ids = [np.frombuffer(one + end, "<u4") for one in encoder.encode_all(batch.column(1).to_pylist())]
+            ids = [one + end for one in encoder.encode_all(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([len(one) for one in ids], pa.int64()),
-                    pa.array([one.astype(width).tobytes() for one in ids], pa.binary()),
+                    pa.array([len(one) // 4 for one in ids], pa.int64()),
+                    pa.array([one if width == "<u4" else np.frombuffer(one, "<u4").astype(width).tobytes() for one in ids], pa.binary()),
                 ],
                 [key, "n_tokens", "ids"],
             )
@@ -141,14 +182,20 @@ def write_files(
         for batch in batches:
             keys = batch.column(0)
             file_no = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
-            codes = [codec.encode(ranks.value[np.frombuffer(ids.as_py(), width)]) for ids in batch.column(2)]
+            blocks = batch.column(2).to_pylist()
+            controls, datas = [], []
+            for low, high in _groups(list(map(len, blocks))):
+                counts = np.array([len(ids) // np.dtype(width).itemsize for ids in blocks[low:high]])
+                coded = codec.encode_many(ranks.value[np.frombuffer(b"".join(blocks[low:high]), width)], counts)
+                controls += coded[0]
+                datas += coded[1]
             yield pa.RecordBatch.from_arrays(
                 [
                     keys,
                     batch.column(1),
                     pa.array(file_no, pa.int32()),
-                    pa.array([control for control, _ in codes], pa.binary()),
-                    pa.array([data for _, data in codes], pa.binary()),
+                    pa.array(controls, pa.binary()),
+                    pa.array(datas, pa.binary()),
                 ],
                 ["key", "n_tokens", "file_no", "control", "data"],
             )
@@ -209,7 +256,7 @@ def read_files(spark: SparkSession, manifest: DataFrame, folder: str, key: str,
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows: list[tuple] = []
                 for name, ids in decode_file(path, folder):
-                    rows.append((name, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    rows.append((name, start, len(ids), zlib.crc32(ids.astype("<u4", copy=False))))
                     start += len(ids)
                     if len(rows) == 10_000:
                         yield _rows(rows, batch_schema)
@@ -230,7 +277,7 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def decode_file(path: str, folder: str) -> Iterator[tuple]:
-    """(key, ids) of each document of one file, a document at a time."""
+    """(key, ids) of each document of one file, a small group of documents at a time."""
     fs, inside = opened(f"{folder}/ranks.u4")
     with fs.open_input_stream(inside) as file:
         ranks = np.frombuffer(file.read(), "<u4")
@@ -247,6 +294,12 @@ def decode_file(path: str, folder: str) -> Iterator[tuple]:
         index = json.loads(zlib.decompress(file.read(size)))
     with fs.open_input_stream(inside, buffer_size=1 << 20) as file:
         file.read(len(MAGIC))
-        for key, count, _, controls, datas in index:
-            control = file.read(controls)
-            yield key, id_of_rank[codec.decode(control, file.read(datas), count)]
+        for low, high in _groups([controls + datas for *_, controls, datas in index]):
+            group = index[low:high]
+            blocks = [(file.read(controls), file.read(datas)) for *_, controls, datas in group]
+            counts = np.array([count for _, count, *_ in group])
+            ids = id_of_rank[codec.decode_many(*zip(*blocks), counts)]
+            at = 0
+            for key, count, *_ in group:
+                yield key, ids[at : at + count]
+                at += count

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from stowline.llm.chunks import id_encoder
+from stowline.llm.chunks import IdEncoder, id_encoder
 from stowline.llm.packing import pack, plan_bins
 from stowline.llm.queries import QUERIES
 from stowline.llm.token_count import count_tokens, counter
@@ -200,3 +200,31 @@ def test_white_space_found_like_the_pattern(space):
 
     for text in ("", "a", f"a{space}b", f"a{space} b", f"a {space}b", f"{space}a", f"a{space}", f"a{space}\nb", f"a\n{space}b", f"a b\nc{space}d"):
         assert chunks._plain_space(text) == (not chunks._WIDE_SPACE.search(text)), repr(text)
+
+
+def test_chunks_of_a_group_are_looked_up_once():
+    """Repeated words cost no look-up of their own; marks of any kind behind letters give the library's ids."""
+    encoder = IdEncoder(FILE)
+    texts = [" ".join(["one two, three!?"] * 500), "", None, "x", " lead", "a\nb_ c'' d's naïve###\ne 5% f%% 7th wor-d) (in", "two  wide spaces ", "z" * 50 + "-" * 40 + " q" + "?" * 80]
+    seen = []
+    values = encoder.memo.values
+    encoder.memo.values = lambda chunks: seen.extend(chunks) or values(chunks)
+    expected = [np.array(encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+    assert list(encoder.encode_all(texts)) == expected == list(encoder.encode_all(texts))
+    assert len(seen) < 100
+    assert list(encoder.encode_all([None, "", "x"])) == [b"", b"", expected[3]] and list(encoder.encode_all([])) == []
+
+
+@pytest.mark.parametrize("vocabulary", [50_000, 70_000, 1 << 25])
+def test_codes_of_many_documents_like_one_by_one(vocabulary):
+    codec, rng = Codec(vocabulary), np.random.default_rng(7)
+    documents = [rng.integers(0, rng.choice([10, 300, vocabulary]), size).astype("<u4") for size in (0, 1, 7, 8, 9, 0, 100, 1000)]
+    counts = np.array([len(one) for one in documents])
+    controls, datas = codec.encode_many(np.concatenate(documents), counts)
+    assert list(zip(controls, datas)) == [codec.encode(one) for one in documents]
+    assert [len(one) for one in controls] == [-(-size // codec.fields) for size in counts]
+    assert codec.decode_many(controls, datas, counts).tolist() == np.concatenate(documents).tolist()
+    assert codec.decode(controls[-1], datas[-1], 1000).tolist() == documents[-1].tolist()
+    first = documents[-1][0]
+    size = max(1, (int(first).bit_length() + 7) // 8)
+    assert datas[-1][:size] == int(first).to_bytes(size, "little")
