@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 
 from stowline.llm import url_filter
-from stowline.llm.html_text import RUN, blocks_of, extract_host, extract_text, repeated_tokens
+from stowline.llm.html_text import RUN, blocks_of, extract_host, extract_text, opened_slots, packed_slots, repeated_tokens
 from stowline.llm.queries import QUERIES, URL_RULES
 from stowline.llm.warc import archived_pages, chunk_table, plan_records, read_chunks, write_archives
 from tests.llm.common import SMALL, rows
@@ -234,3 +234,44 @@ def test_copied_page_without_article():
     text = "one two three four five six seven eight nine ten"
     pages = pd.DataFrame({"page_id": [1, 2], "url": ["http://h/a", "https://h/a"], "_html": [f"<p>{text}</p>"] * 2})
     assert extract_host(pages, "page_id", "url")["text"].tolist() == [text, text]
+
+
+def test_pages_are_not_shuffled(spark, monkeypatch):
+    """Runs on pages of several batches and tasks are found although no page leaves the task that reads it."""
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join(f"w{one}" for one in rng.integers(0, 10**6, n))
+    quotes = [words(9) for _ in range(12)]
+    htmls = [f"<p>{words(5)} {quotes[at % 12]} {words(int(rng.integers(0, 20)))}</p>" for at in range(36)]
+    htmls += [f"<article>{words(3)} {quotes[0]}</article>", None, "", f"<p>{words(40)}</p>"] + [f"<p>{words(10)}</p><nav>{quotes[3]}</nav>"] * 5 + ["<p>a b"] * 3
+    made = [(at, f"http://{'g' if at % 9 == 8 else 'h'}.org/{at}", html) for at, html in enumerate(htmls)]
+    expected = {}
+    for host in "gh":
+        some = pd.DataFrame([row for row in made if row[1][7] == host], columns=["page_id", "url", "_html"])
+        expected |= {row.page_id: (row.text, row.n_repeated_words) for row in extract_host(some, "page_id", "url").itertuples()}
+    assert expected[36][1] == 9
+    pages = spark.createDataFrame(made, "page_id long, url string, html string")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows_of_batch, chars in ((1, 1000), (3, 1 << 24), (1000, 400), (1000, 1 << 24)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_of_batch)
+            monkeypatch.setattr("stowline.llm.html_text.BATCH_CHARS", chars)
+            for given in (pages, pages.repartition(3)):
+                found = extract_text(given)
+                assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+                assert {row.page_id: (row.text, row.n_repeated_words) for row in found.collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_pages_read_differently_are_refused(spark):
+    pages = spark.range(40).selectExpr("id as page_id", "'u' as url", "concat('<p>a b c d e f g h ', uuid()) as html")
+    with pytest.raises(Exception, match="not read alike twice"):
+        extract_text(pages.selectExpr("page_id", "url", "concat(html, current_timestamp(), rand()) as html")).collect()
+
+
+@pytest.mark.parametrize("count, width", [(0, 10), (1, 1), (1, 1 << 40), (500, 500), (500, 3000), (5000, 1 << 40)])
+def test_packed_slots(count, width):
+    slots = np.array(sorted({at * (width // max(1, count)) for at in range(count)}), np.uint64)
+    block = packed_slots(slots, width)
+    assert opened_slots(block).tolist() == slots.tolist()
+    assert len(block) <= 5 + 2 + len(slots) * (4 + max(0, width // max(1, count)).bit_length()) / 8 + 1
