@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -344,6 +345,51 @@ def test_blocks_bound_the_pairs_of_one_piece(spark, monkeypatch):
     assert len(blocks) == 9 * 4 + 1 and max(blocks.values()) <= 2 * 100
 
 
+def test_rows_at_even_steps_fill_all_places(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "HOT_PAIRS", 100)
+    cut = spark.range(0, 1000, 1, 1).selectExpr("id AS n", "CASE WHEN id % 10 = 3 THEN 0 ELSE id + 5000 END AS _piece")
+    held = spark.range(0, 500, 1, 1).selectExpr("id AS k", "CASE WHEN id % 5 = 4 THEN 0 ELSE id + 1000 END AS _piece")
+    ticks, windows = intervals._dealt(cut, held, ["_piece"])
+    met = ticks.join(windows, ["_piece", "_block"]).select("n", "k", "_block").collect()
+    assert len(met) == len({(row.n, row.k) for row in met}) == 100 * 100
+    sizes = Counter(row["_block"] for row in met)
+    assert len(sizes) > 80 and max(sizes.values()) <= 4 * 100
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_packs_of_windows(spark, monkeypatch, limit):
+    """Pieces that many windows hold whole are met pack by pack, others as before, each pair once."""
+    monkeypatch.setattr(intervals, "BROADCAST_RANGES", limit)
+    monkeypatch.setattr(intervals, "HOT_PAIRS", 100)
+    monkeypatch.setattr(intervals, "CUTS", 8)
+    monkeypatch.setattr(intervals, "PACK", 4)
+    rng = random.Random(11)
+    ticks = [("H", BASE + timedelta(seconds=5), n) for n in range(70)] + [("H", BASE + timedelta(milliseconds=rng.randrange(250_000)), 100 + n) for n in range(90)]
+    ticks += ticks[:9] + [("H", None, 300), (None, BASE, 301), ("A", BASE, 302)]
+    windows = [("H", BASE + timedelta(seconds=5 - n % 2), BASE + timedelta(seconds=5 + n % 3), n) for n in range(60)]
+    windows += [("H", BASE + timedelta(milliseconds=m), BASE + timedelta(milliseconds=m + rng.choice([0, 900, 90_000])), 100 + n) for n, m in enumerate(rng.sample(range(250_000), 40))]
+    windows += windows[:5] + [(None, BASE, BASE + timedelta(days=1), 300), ("A", BASE, BASE, 301), ("H", BASE, None, 302)]
+    t = spark.createDataFrame(ticks, "sym string, ts timestamp, n int")
+    w = spark.createDataFrame(windows, "ric string, start timestamp, end timestamp, k int")
+    wanted = [(*tick, *win) for tick in ticks for win in windows if tick[0] and tick[1] and win[2] and tick[0] == win[0] and win[1] <= tick[1] <= win[2]]
+    pairs = intervals.interval_join(t, w)
+    assert sorted(tuple(row) for row in pairs.collect()) == sorted(wanted)
+    assert pairs.columns == ["sym", "ts", "n", "ric", "start", "end", "k"]
+    assert "_windows" in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_pairs_of_one_instant_are_written_small(spark, monkeypatch, tmp_path, limit):
+    monkeypatch.setattr(intervals, "BROADCAST_RANGES", limit)
+    at = "timestamp_seconds(1600000000)"
+    t = spark.range(0, 600, 1, 3).selectExpr("'H' AS sym", f"{at} AS ts", "id * 30 AS n")
+    w = spark.range(0, 10_000, 1, 3).selectExpr("'H' AS ric", f"{at} AS start", f"{at} AS end", "id * 7919 % 300000 AS k")
+    interval_join(t, w).select("n", "sym", "k").write.parquet(str(tmp_path / "pairs"))
+    found = spark.read.parquet(str(tmp_path / "pairs"))
+    assert found.count() == found.distinct().count() == 600 * 10_000
+    assert sum(part.stat().st_size for part in (tmp_path / "pairs").glob("*.parquet")) < 0.4 * 600 * 10_000
+
+
 def test_covered_ranges_do_not_overlap(spark):
     rows = [("A", BASE, BASE + timedelta(minutes=12)), ("A", BASE + timedelta(minutes=1), BASE + timedelta(minutes=2))]
     rows += [("A", BASE + timedelta(minutes=11), BASE + timedelta(minutes=13))]
